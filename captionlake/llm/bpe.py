@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = 1_000_000
 REMEMBERED = 1_000_000
@@ -360,7 +361,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids_col])
 
-    return docs.mapInArrow(run, docs.schema.add(ids_col, "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -377,4 +378,4 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
             texts = [bytes(x).decode() for x in bpe.joined("token", ids, np.array([len(x) for x in lists], np.int64))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
-    return rows.mapInArrow(run, rows.schema.add(text_col, "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
