@@ -41,11 +41,11 @@ def delete(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: computed once, whoever is lost."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder, in a folder for each value of by, and read again: computed once, whoever is lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
