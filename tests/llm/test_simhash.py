@@ -63,7 +63,7 @@ def test_a_text_longer_than_a_block(monkeypatch):
     text = " ".join(f"Word{n}" for n in range(900))
     want = [plain_fingerprint(text, k) for k in (1, 3, 5)]
     monkeypatch.setattr(simhash, "BLOCK", 37)
-    assert [simhash.fingerprint(text.encode(), k) % 2**64 for k in (1, 3, 5)] == want
+    assert [int(simhash.fingerprint(text.encode(), k)[0]) % 2**64 for k in (1, 3, 5)] == want
 
 
 @pytest.mark.parametrize(("radius", "tile"), [(2, 16), (4, 8), (7, 32), (0, 8)])
@@ -100,3 +100,39 @@ def test_empty_and_null_ids(spark):
     rows = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (3, "z"), (3, "z")], "doc_id long, text string")
     got = simhash.near_duplicates(rows).select("doc_id", "component_id").orderBy(F.col("doc_id")).collect()
     assert [tuple(r) for r in got] == [(None, None), (None, None), (3, 3), (3, 3)]
+
+
+def jaccard(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_texts_keep_one_and_others_stay(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"t{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, groups = [], []
+    for g in range(40):
+        base = fresh(rng.randint(150, 900))
+        texts = [base]
+        for _ in range(rng.randint(0, 4)):  # one of 150 words changed
+            places = set(rng.sample(range(len(base)), len(base) // 150))
+            texts.append([fresh(1)[0] if i in places else w for i, w in enumerate(base)])
+        texts.append(base[: len(base) // 2] + fresh(len(base) // 2))  # too different
+        ids = []
+        for t in texts[:-1]:
+            ids.append(len(rows))
+            rows.append(" ".join(t))
+        groups += [ids, [len(rows)]]
+        rows.append(" ".join(texts[-1]))
+    for ids in groups:
+        assert all(jaccard(rows[ids[0]], rows[i]) >= 0.87 for i in ids)
+    rows += [None, "", "Two words", "two words"]
+    groups += [[len(rows) - 4, len(rows) - 3], [len(rows) - 2, len(rows) - 1]]
+    docs = spark.createDataFrame([(n, t, "x", 0) for n, t in enumerate(rows)] + [(7, rows[7], "x", 1), (None, "null id text one", "x", 1)], "doc_id long, text string, node string, fp int").repartition(3)
+    got = simhash.similar(docs).collect()
+    assert len(got) == len(rows) + 1
+    assert {r.doc_id for r in got if r.kept} == {g[0] for g in groups} | {None}
+    assert simhash.similar(docs.limit(0)).count() == 0
