@@ -95,7 +95,9 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
     runs = Runs(fan)
     for n in range(batches):
         runs.add(lines.filter(F.col("batch") == n).groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("last")))
-    hit = lines.drop("batch").join(runs.totals(min_docs), KEY).filter(~F.col("id").eqNullSafe(F.col("last")))
+    # Written first, so that nothing is grouped on the way to the join and Spark can split a hot key's rows.
+    totals = stored(runs.totals(min_docs), "line-totals")
+    hit = lines.drop("batch").join(totals, KEY).filter(~F.col("id").eqNullSafe(F.col("last")))
     drops = hit.groupBy(F.col("id").alias("drop_id"), F.col("of").alias("drop_of")).agg(F.flatten(F.collect_list("places")).alias("places"))
     drops = stored(drops, "line-drops").hint("shuffle_hash")
     met = rows.join(drops, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("of") == F.col("drop_of")), "left")
