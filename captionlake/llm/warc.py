@@ -11,7 +11,7 @@ the least page identifier is a response; the others are revisits that refer to i
 HTTP header alone. Shorter payloads are all responses.
 
 Files are written by Spark's text writer, a whole archive of about ``ARCHIVE`` bytes to a row and a
-row to a file, and read by Spark's binary file source; the driver sees none of them. A page larger
+row to a file, compressed by gzip, and read by Spark's binary file source; the driver sees none of them. A page larger
 than that is an archive of its own, up to the 2 GB of a Spark row.
 
 A null html is an empty payload, a null url is written as about:blank. A null page identifier is
@@ -22,6 +22,7 @@ gives no archive and no rows. White space and control characters in a url are pe
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -33,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionlake.llm.scratch import new_path, stored
+from captionlake.llm.scratch import delete, new_path, stored
 
 ARCHIVE = 16 << 20
 # Fixed values of the two formats.
@@ -66,7 +67,13 @@ def _in_archives(records: Iterator[bytes], opening, size: int, end: bytes) -> It
 
 
 def _write(archives: DataFrame, path: str, end: str) -> None:
-    archives.write.option("maxRecordsPerFile", 1).option("lineSep", end).text(path)
+    archives.write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "gzip").text(path)
+
+
+def _plain(content: pa.BinaryScalar) -> bytes:
+    """The bytes of an archive, compressed or not."""
+    data = content.as_buffer().to_pybytes()
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -176,9 +183,8 @@ def read_arc(spark: SparkSession, path: str, *, with_payload: bool = True) -> Da
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                content = content.as_buffer().to_pybytes() if content.is_valid else b""
                 rows, size = [], 0
-                for r in parse_arc(content, name):
+                for r in parse_arc(_plain(content), name):
                     head, payload = split_http(bytes(r.block))
                     own = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{r.offset}")
                     page_id = _whole(http_field(head, "X-Page-Id"))
@@ -275,7 +281,7 @@ def read_warc(spark: SparkSession, path: str, *, with_payload: bool = False) ->
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
-                for fields, block in parse_warc(content.as_buffer().to_pybytes(), name):
+                for fields, block in parse_warc(_plain(content), name):
                     if (kind := fields["warc-type"]) not in ("response", "revisit"):
                         continue
                     head, payload = split_http(block)
@@ -304,6 +310,7 @@ def round_trip(pages: DataFrame, *, at_least: int = 0, archive: int = ARCHIVE) -
     folder = new_path(spark, "archives")
     write_arc(pages, f"{folder}/arc", version=2, archive=archive)
     convert(spark, f"{folder}/arc", f"{folder}/warc", at_least=at_least, archive=archive)
+    delete(spark, f"{folder}/arc")
     read = stored(read_warc(spark, f"{folder}/warc").drop("payload", "uri"), "warc-read")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     responses = read.filter("record_type = 'response'")
