@@ -110,9 +110,10 @@ def span_text(start_ms: Column, end_ms: Column, text: Column) -> Column:
 
 
 def human_duration(ms: Column) -> Column:
-    """Hours and minutes, minutes and seconds, or seconds."""
-    h, m, s, _ = (x.cast("long") for x in _clock(ms))
-    return F.when(h > 0, F.format_string("%dh %02dm", h, m)).when(m > 0, F.format_string("%dm %02ds", m, s)).otherwise(F.format_string("%ds", s))
+    """Minutes and seconds, seconds with a tenth, or milliseconds."""
+    seconds, tenths = F.floor(ms / 1000).cast("long"), F.floor(ms % 1000 / 100).cast("long")
+    long = F.format_string("%dm %ds", F.floor(seconds / 60).cast("long"), seconds % 60)
+    return F.when(seconds >= 60, long).when(ms >= 1000, F.format_string("%d.%ds", seconds, tenths)).otherwise(F.format_string("%dms", ms))
 
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#]+)([^?#]*)"
