@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from captionlake.functions.text import parse_seconds, seconds_to_ms, trim_space, words_of
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-WORKER = _struct("version int, language string, duration double, segments array<struct<id:int,start:double,end:double,text:string,words:array<struct<word:string,start:double,end:double,probability:double>>>>")
-TRANSCRIPT = _struct("schema_version int, language string, duration_ms bigint, words array<struct<text:string,start_ms:bigint,end_ms:bigint,confidence:float,speaker:string>>, segments array<struct<start_ms:bigint,end_ms:bigint,text:string,word_start:int,word_end:int>>")
-PROBE = _struct("streams array<struct<index:int,codec_type:string,codec_name:string,sample_rate:string,channels:int,width:int,height:int,r_frame_rate:string>>, format struct<format_name:string,duration:string>")
+_SPOKEN = "array<struct<id:int,start:double,end:double,text:string,words:array<struct<word:string,start:double,end:double,probability:double>>>>"
+WORKER = f"version int, language string, duration double, segments {_SPOKEN}"
+TRANSCRIPT = "schema_version int, language string, duration_ms bigint, words array<struct<text:string,start_ms:bigint,end_ms:bigint,confidence:float,speaker:string>>, segments array<struct<start_ms:bigint,end_ms:bigint,text:string,word_start:int,word_end:int>>"
+PROBE = "streams array<struct<index:int,codec_type:string,codec_name:string,sample_rate:string,channels:int,width:int,height:int,r_frame_rate:string>>, format struct<format_name:string,duration:string>"
 
 
 def worker_transcripts(raw: DataFrame) -> DataFrame:
@@ -32,7 +28,7 @@ def worker_transcripts(raw: DataFrame) -> DataFrame:
         spelt = F.transform(words_of(F.coalesce(s["text"], F.lit(""))), lambda w: F.struct(w.alias("text"), seconds_to_ms(start).alias("start_ms"), seconds_to_ms(end).alias("end_ms"), F.lit(None).cast("float").alias("confidence"), F.lit(None).cast("string").alias("speaker")))
         return F.when(F.coalesce(F.size(s["words"]), F.lit(0)) > 0, given).otherwise(spelt)
 
-    segments = F.coalesce("w.segments", F.array().cast(WORKER["segments"].dataType))
+    segments = F.coalesce("w.segments", F.array().cast(_SPOKEN))
     spread = parsed.select("transcript_id", "w", F.transform(segments, lambda s: F.struct(seconds_to_ms(s["start"]).alias("start_ms"), seconds_to_ms(s["end"]).alias("end_ms"), trim_space(F.coalesce(s["text"], F.lit(""))).alias("text"), words(s).alias("words"))).alias("s"))
     size = F.transform("s", lambda s: F.size(s["words"]))
     upto = lambda i: F.aggregate(F.slice(size, F.lit(1), i), F.lit(0), lambda a, n: a + n)
@@ -56,7 +52,7 @@ def transcript_files(raw: DataFrame) -> DataFrame:
         .when(F.col("words").isNull() | F.col("segments").isNull(), "words or segments are missing")
         .when(F.coalesce(outside, F.lit(False)), "a segment's words are out of range").when(F.coalesce(early, F.lit(False)), "a time is negative")
     )
-    return rows.drop("is_json").withColumn("error", error)
+    return rows.withColumn("error", error).drop("is_json")
 
 
 def words(transcripts: DataFrame) -> DataFrame:
@@ -85,5 +81,5 @@ def media(raw: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """transcript_id (the path) and json: whole files below path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.input_file_name().alias("transcript_id"), F.col("value").alias("json"))
