@@ -2,10 +2,12 @@
 
 Vectors are dealt to shards of about ``SHARD`` by a hash of their identifier, so neither copies nor
 clusters crowd one. In a shard equal vectors are one node. The graph is built in batches: a greedy
-beam search from the medoid proposes neighbours of each new node; pruning takes the nearest
+beam search from the medoid proposes what it finds and what it passes as neighbours of each node; pruning takes the nearest
 candidate and drops those that are nearer to it, by the factor ``alpha``, than to the node, until
 ``degree`` are taken; the edges are then laid backwards too and crowded nodes pruned again. A first
-pass prunes by factor 1, a second by ``alpha``, which keeps diverse, longer edges.
+pass prunes by factor 1, a second by ``alpha``, which keeps diverse, longer edges. As all of a node's
+edges may stay within a tight group, where every two are about as far from each other, each node
+also has ``LONG`` edges to nodes drawn at random, so no search is shut in.
 
 Each query searches every shard by beam search; the best of all shards are kept, with distances
 computed anew in double precision on the original vectors. Every vector is indexed; recall against
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from captionlake.llm.scratch import stored
 
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 24, 48, 128, 1.2
+LONG = 8
 QUERY_BLOCK = 512
 AT_ONCE = 4  # nodes of a beam whose neighbours are looked up in one step
 
@@ -34,29 +37,31 @@ def usable(vector: Column) -> Column:
 
 
 class Graph:
-    """A graph over the rows of data (float32): edges, by node, -1 where there is none."""
+    """A graph over the rows of data (double, so that near copies are told apart): edges, by node, -1 where there is none."""
 
     def __init__(self, data: np.ndarray, edges: np.ndarray, start: int):
         self.data, self.edges, self.start = data, edges, start
         self.norm = np.einsum("nd,nd->n", data, data)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the beam of nodes found, nearest first, and their squared distances; -1 and inf where there are fewer."""
+        """For each query the beam of nodes found, nearest first, and all nodes on the way to them; -1 where there are fewer."""
         q, n = len(queries), len(self.data)
         rows = np.arange(q)[:, None]
         seen = np.zeros((q, n + 1), bool)  # the last for no node
         seen[:, [self.start, n]] = True
         node = np.full((q, beam), -1)
-        far = np.full((q, beam), np.inf, np.float32)
+        far = np.full((q, beam), np.inf)
         node[:, 0] = self.start
         far[:, 0] = self.norm[self.start] - 2 * queries @ self.data[self.start]
         open_ = np.zeros((q, beam), bool)
         open_[:, 0] = True
+        way = []
         while open_.any():
             # The beam is sorted, so the first open places are the nearest.
             pick = np.argsort(~open_, axis=1, kind="stable")[:, :AT_ONCE]
             live = np.take_along_axis(open_, pick, axis=1)
             np.put_along_axis(open_, pick, False, axis=1)
+            way.append(np.where(live, np.take_along_axis(node, pick, axis=1), -1))
             next_ = np.where(live[:, :, None], self.edges[np.take_along_axis(node, pick, axis=1)], -1).reshape(q, -1)
             next_ = np.where(next_ < 0, n, next_)
             next_ = np.where(seen[rows, next_], n, next_)
@@ -67,14 +72,14 @@ class Graph:
             if not len(at):
                 continue
             found = next_[at, place]
-            away = np.full(next_.shape, np.inf, np.float32)
+            away = np.full(next_.shape, np.inf)
             away[at, place] = self.norm[found] - 2 * np.einsum("nd,nd->n", queries[at], self.data[found])
             all_far = np.concatenate([far, away], axis=1)
             best = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
             far = np.take_along_axis(all_far, best, axis=1)
             node = np.take_along_axis(np.concatenate([node, np.where(next_ < n, next_, -1)], axis=1), best, axis=1)
             open_ = np.take_along_axis(np.concatenate([open_, next_ < n], axis=1), best, axis=1) & np.isfinite(far)
-        return np.where(np.isfinite(far), node, -1), far + np.einsum("qd,qd->q", queries, queries)[:, None]
+        return np.where(np.isfinite(far), node, -1), np.concatenate(way, axis=1)
 
 
 def prune(data: np.ndarray, norm: np.ndarray, nodes: np.ndarray, options: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -104,7 +109,7 @@ def prune(data: np.ndarray, norm: np.ndarray, nodes: np.ndarray, options: np.nda
 
 
 def build(data: np.ndarray, *, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, batch: int = 256, seed: int = 0) -> Graph:
-    """data: distinct vectors, float32."""
+    """data: distinct vectors, double."""
     n = len(data)
     rng = np.random.default_rng(seed)
     start = int(np.argmin(((data - data.mean(axis=0)) ** 2).sum(axis=1)))
@@ -112,21 +117,22 @@ def build(data: np.ndarray, *, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
         every = np.tile(np.arange(n), (n, 1))
         every[np.arange(n), np.arange(n)] = -1
         return Graph(data, every, start)
-    edges = rng.integers(0, n, (n, degree))
-    graph = Graph(data, edges, start)
+    every = rng.integers(0, n, (n, degree + LONG))
+    edges = every[:, :degree]
+    graph = Graph(data, every, start)
     for factor in (1.0, alpha):
         order = rng.permutation(n)
         for at in range(0, n, batch):
             nodes = order[at : at + batch]
-            found = graph.search(data[nodes], beam)[0]
-            edges[nodes] = prune(data, graph.norm, nodes, np.concatenate([found, edges[nodes]], axis=1), degree, factor)
-            _lay_back(graph, nodes, degree, factor)
+            options = np.concatenate([*graph.search(data[nodes], beam), edges[nodes]], axis=1)
+            edges[nodes] = prune(data, graph.norm, nodes, options, degree, factor)
+            _lay_back(graph, edges, nodes, factor)
     return graph
 
 
-def _lay_back(graph: Graph, nodes: np.ndarray, degree: int, factor: float) -> None:
-    """For each edge of nodes one in the other direction; nodes that get too many are pruned."""
-    edges = graph.edges
+def _lay_back(graph: Graph, edges: np.ndarray, nodes: np.ndarray, factor: float) -> None:
+    """For each of the edges of nodes one in the other direction; nodes that get too many are pruned."""
+    degree = edges.shape[1]
     source, target = np.repeat(nodes, degree), edges[nodes].ravel()
     source, target = source[target >= 0], target[target >= 0]
     new = ~(edges[target] == source[:, None]).any(axis=1)
@@ -161,7 +167,7 @@ def index(vectors: DataFrame, shards: int) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         ids, exact = ids[order], exact[order]
         _, first, back = np.unique(exact, axis=0, return_index=True, return_inverse=True)
-        graph = build(exact[first].astype(np.float32))
+        graph = build(exact[first])
         # The members of each node, by id: places[n] to places[n + 1] of ids.
         member = np.argsort(back.ravel(), kind="stable")
         places = np.concatenate([[0], np.cumsum(np.bincount(back.ravel(), minlength=len(first)))])
@@ -219,8 +225,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, beam: int = B
                 query_ids, flat = query_ids.values.to_numpy(), flat.values.to_numpy().reshape(-1, dim)
                 ids, places = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(places.as_buffer(), "<i8")
                 data = np.frombuffer(data.as_buffer(), "<f8").reshape(-1, dim)
-                graph = Graph(data.astype(np.float32), np.frombuffer(edges.as_buffer(), "<i4").reshape(len(data), -1).astype(np.int64), start.as_py())
-                nodes = graph.search(flat.astype(np.float32), max(beam, 2 * k))[0]
+                graph = Graph(data, np.frombuffer(edges.as_buffer(), "<i4").reshape(len(data), -1).astype(np.int64), start.as_py())
+                nodes = graph.search(flat, max(beam, 2 * k))[0]
                 got = [(q, *_nearest(f[f >= 0], places, ids, data, v, q, k)) for q, f, v in zip(query_ids.tolist(), nodes, flat, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in got], [len(i) for _, i, _ in got]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in got]), pa.int64()), pa.array(np.concatenate([f for _, _, f in got]), pa.float64())], names=["query_id", "vec_id", "score"])
 

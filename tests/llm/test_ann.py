@@ -42,6 +42,17 @@ def test_recall_order_and_exact_scores(spark):
     assert hits / (10 * len(by)) >= 0.95
 
 
+def test_a_tight_group_shuts_no_search_in():
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(1600, 32))
+    data[:500] = data.mean(axis=0) + 0.05 * rng.normal(size=(500, 32))  # each two about as far from each other, where searches begin
+    graph = ann.build(data)
+    queries = data[::20]
+    found = graph.search(queries, ann.BEAM)[0]
+    exact = np.argsort(((queries[:, None] - data) ** 2).sum(axis=2), axis=1, kind="stable")[:, :10]
+    assert np.mean([len(set(f[:10]) & set(e)) / 10 for f, e in zip(found, exact, strict=True)]) >= 0.95
+
+
 def test_odd_vectors_and_few_candidates(spark):
     rng = random.Random(1)
     good = [(n, [rng.random(), rng.random(), 1.0]) for n in range(6)]
