@@ -176,7 +176,9 @@ def index(vectors: DataFrame, shards: int) -> DataFrame:
         return pa.table([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.binary()] * 4 + [pa.int32()], strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     bucket = F.pmod(F.xxhash64(F.lit("shard"), "id", F.col("vec")[0]), F.lit(shards)).cast("int")
-    return vectors.withColumn("bucket", bucket).groupBy("dim", "bucket").applyInArrow(run, INDEX)
+    # A shard is few bytes and much work: a number of tasks that Spark doesn't lower by size.
+    n = max(shards, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return vectors.withColumn("bucket", bucket).repartition(n, "dim", "bucket").groupBy("dim", "bucket").applyInArrow(run, INDEX)
 
 
 def _nearest(found: np.ndarray, places: np.ndarray, ids: np.ndarray, data: np.ndarray, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
