@@ -81,7 +81,8 @@ def digest_state(digests: DataFrame, folder: str) -> DataFrame:
         changes = spark.createDataFrame([], state.schema)
     # Counts only grow, and so do the greatest rows: the last change of a digest has the maximum of both.
     last = changes.groupBy("digest").agg(F.max("top").alias("top"), F.max("group_size").alias("group_size"))
-    return last.select("digest", F.col("top.id").alias("keep_id"), F.col("top.locator").alias("keep_locator"), "group_size")
+    # Written, so that rows meet it without a grouping on the way and Spark can split a hot digest's rows.
+    return stored(last.select("digest", F.col("top.id").alias("keep_id"), F.col("top.locator").alias("keep_locator"), "group_size"), "dedup-state")
 
 
 def resolve(docs: DataFrame, state: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", place: Column, carry: bool = False, digest=sha256) -> DataFrame:
