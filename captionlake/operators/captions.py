@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from captionlake.functions.text import ends_caption, trim_space
 
-PAUSE_MS = 700
+PAUSE_MS = 700  # fixed value: a pause that breaks a caption
 SEGMENT = ["transcript_id", "segment_index"]
 
 
 @dataclass(frozen=True)
 class Policy:
+    """Fixed values are the defaults: two lines of 42 characters, six seconds."""
+
     max_lines: int = 2
     max_chars: int = 42
     max_ms: int = 6000

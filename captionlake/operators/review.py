@@ -39,6 +39,7 @@ def speaker_turns(words: DataFrame) -> DataFrame:
 
 # -- terms -------------------------------------------------------------------------------------
 
+# Least similarity of a word and of code, and the confidence under which code is doubtful.
 PROSE, CODE, CODE_CONFIDENCE = 0.82, 0.70, 0.85
 
 
@@ -105,8 +106,9 @@ _DOTTED = rf"(?:{_M}\.{_C}\.*(?={_M}|$)|{_M}(?i:dot){_M}{_C}\.*(?={_M}|$))"
 _SLASH = rf"{_M}(?:(?i:slash)|/)(?={_M}|$)"
 _SEGMENT = rf"{_M}{_C}\.*(?={_M}|$){_DOTTED}*+"
 _ADDRESS = re.compile(rf"(?P<host>{_C}(?={_M}){_DOTTED}++)(?!{_M}(?:{_M}|$))(?P<path>{_SLASH}{_SEGMENT}(?:{_SLASH}{_SEGMENT})*+(?:{_SLASH})?+)?+")
+# What is trimmed from a spoken token, and words that an address may follow.
 _EDGE = "\"'`()[]{}<>,;:!?"
-_CUES = {"visit", "open", "at", "on", "website", "url", "link"}
+_BEFORE = {"visit", "open", "at", "on", "website", "url", "link"}
 
 
 def _plain(tokens: list[str], slashes: bool) -> str:
@@ -133,8 +135,8 @@ def spoken_addresses(texts: list[str]) -> list[tuple[int, int, str]]:
     lower = [t.lower() for t in tokens]
     found, n = [], 0
     while n < len(tokens):
-        cued = lower[n] == "www" or n > 0 and (lower[n - 1] in _CUES or n > 1 and lower[n - 2 : n] == ["go", "to"])
-        hit = _ADDRESS.match(joined, begin[n]) if cued else None
+        led = lower[n] == "www" or n > 0 and (lower[n - 1] in _BEFORE or n > 1 and lower[n - 2 : n] == ["go", "to"])
+        hit = _ADDRESS.match(joined, begin[n]) if led else None
         if hit:
             host, path = (hit[g] or "" for g in ("host", "path"))
             name = _plain(host.split(_M), False).lower()

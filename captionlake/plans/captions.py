@@ -68,7 +68,7 @@ REPAIRED = (
     clamped AS (
         SELECT *, CASE WHEN after < end_ms THEN greatest(after, start_ms) ELSE end_ms END AS repaired_ms
         FROM (SELECT *, lead(start_ms) OVER (PARTITION BY transcript_id ORDER BY start_ms, segment_index, place) AS after FROM raw)),
-    cues AS (
+    shown AS (
         SELECT transcript_id, segment_index, place, start_ms, repaired_ms AS end_ms, text, word_start, word_end,
                row_number() OVER (PARTITION BY transcript_id ORDER BY start_ms, segment_index, place) - 1 AS caption_index
         FROM clamped WHERE repaired_ms > start_ms)"""
@@ -118,7 +118,7 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.full_text(words(spark, sf_dir))
 
 
-_FINDING = "SELECT transcript_id, caption_index, '{}' AS id, word_start, word_end, ({})::DOUBLE AS measured, {}::DOUBLE AS allowed FROM cues WHERE {} > {}"
+_FINDING = "SELECT transcript_id, caption_index, '{}' AS id, word_start, word_end, ({})::DOUBLE AS measured, {}::DOUBLE AS allowed FROM shown WHERE {} > {}"
 _MEASURES = {
     "max-duration": ("end_ms - start_ms", 3000),
     "line-count": ("len(string_split(text, chr(10)))", 1),
@@ -136,17 +136,17 @@ def _clock(ms: str, dot: str) -> str:
 QUERIES = {f.__name__: f for f in (pause_groups, captions, timing_repairs, caption_findings, srt_text, vtt_text, plain_text, full_text)}
 SQL = {
     "pause_groups": f"WITH {WORDS} SELECT transcript_id, segment_index, grp::BIGINT AS \"group\", count(*) AS n_words, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM grouped GROUP BY ALL",
-    "captions": f"WITH RECURSIVE {REPAIRED} SELECT * EXCLUDE (place) FROM cues",
+    "captions": f"WITH RECURSIVE {REPAIRED} SELECT * EXCLUDE (place) FROM shown",
     "timing_repairs": f"""WITH RECURSIVE {PACKED}{SHIFTED}
         SELECT transcript_id, CASE WHEN repaired_ms <= start_ms THEN 'dropped' ELSE 'shortened' END AS kind, word_start, word_end, start_ms, end_ms AS original_end_ms, repaired_ms AS repaired_end_ms
         FROM clamped WHERE overlapped OR repaired_ms <= start_ms""",
     "caption_findings": f"WITH RECURSIVE {REPAIRED} " + " UNION ALL ".join(_FINDING.format(k, m, a, m, a) for k, (m, a) in _MEASURES.items()),
     "srt_text": f"""WITH RECURSIVE {REPAIRED}
         SELECT transcript_id, string_agg((caption_index + 1) || chr(10) || {_clock('start_ms', ',')} || ' --> ' || {_clock('end_ms', ',')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY caption_index) AS srt
-        FROM cues GROUP BY transcript_id""",
+        FROM shown GROUP BY transcript_id""",
     "vtt_text": f"""WITH RECURSIVE {REPAIRED}
         SELECT transcript_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_clock('start_ms', '.')} || ' --> ' || {_clock('end_ms', '.')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY caption_index) AS vtt
-        FROM cues GROUP BY transcript_id""",
+        FROM shown GROUP BY transcript_id""",
     "plain_text": r"SELECT conv_id AS transcript_id, regexp_replace(string_agg(trim(text, E' \t\n\r') || chr(10), '' ORDER BY turn), '\n+$', chr(10)) AS text FROM conversations WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) > 0 GROUP BY conv_id",
     "full_text": f"WITH {WORDS} SELECT transcript_id, string_agg(text, ' ' ORDER BY word_index) AS text FROM words GROUP BY transcript_id",
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 MEDIA = ["aac", "aif", "aiff", "flac", "m4a", "mp3", "ogg", "opus", "wav", "avi", "m2ts", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "mts", "ts", "webm"]
 # The extensions of files that terms are taken from.
 TEXTS = ["md", "txt", "rs", "toml", "json", "yaml", "yml", "js", "ts", "tsx", "jsx", "py", "go", "java", "cs", "rb", "swift", "kt", "xml", "ini", "env"]
+# What is trimmed from a token in a file.
 TERM_CHARS = "\"'`()\\[\\]{}<>,;:"
 
 

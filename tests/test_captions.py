@@ -135,10 +135,10 @@ def test_broken_lines(spark):
 
 
 def test_renderings(spark):
-    cues = spark.createDataFrame([(1, 1, 3600, 65250, "second line\ntext"), (1, 0, 1000, 3500, "hello world.")], "transcript_id long, caption_index long, start_ms long, end_ms long, text string")
-    assert R.srt(cues).first()["srt"] == "1\n00:00:01,000 --> 00:00:03,500\nhello world.\n\n2\n00:00:03,600 --> 00:01:05,250\nsecond line\ntext\n\n"
+    made = spark.createDataFrame([(1, 1, 3600, 65250, "second line\ntext"), (1, 0, 1000, 3500, "hello world.")], "transcript_id long, caption_index long, start_ms long, end_ms long, text string")
+    assert R.srt(made).first()["srt"] == "1\n00:00:01,000 --> 00:00:03,500\nhello world.\n\n2\n00:00:03,600 --> 00:01:05,250\nsecond line\ntext\n\n"
     all_ = spark.createDataFrame([(1,), (2,)], "transcript_id long")
-    assert {r.transcript_id: r.vtt for r in R.vtt(cues, all_).collect()} == {1: "WEBVTT\n\n00:01.000 --> 00:03.500\nhello world.\n\n00:03.600 --> 01:05.250\nsecond line\ntext\n\n", 2: "WEBVTT\n\n"}
+    assert {r.transcript_id: r.vtt for r in R.vtt(made, all_).collect()} == {1: "WEBVTT\n\n00:01.000 --> 00:03.500\nhello world.\n\n00:03.600 --> 01:05.250\nsecond line\ntext\n\n", 2: "WEBVTT\n\n"}
     parts = spark.createDataFrame([(1, 1, " b "), (1, 0, " a\n"), (1, 2, ""), (1, 3, " ")], "transcript_id long, segment_index long, text string")
     assert R.plain_text(parts).first()["text"] == "a\nb\n"
     chunks = spark.createDataFrame([(1, 0, "a"), (1, 1, " "), (1, 2, "b"), (2, 0, " ")], "transcript_id long, chunk_index long, text string")

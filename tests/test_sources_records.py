@@ -17,17 +17,17 @@ from captionlake.streaming import batch_log
 def test_worker_output(spark):
     full = {"version": 1, "language": "en", "duration": 2.0, "new": 1, "segments": [
         {"id": 0, "start": 0.0, "end": 1.0, "text": " hello world, ", "words": [{"word": " hello", "start": 0.1, "end": 0.3105, "probability": 0.9}, {"word": "world,", "start": None, "end": None, "probability": 0.5}]},
-        {"id": 1, "start": 1.0, "end": 2.0, "text": "this is cue.", "words": []},
+        {"id": 1, "start": 1.0, "end": 2.0, "text": "this is it.", "words": []},
         {"id": 2, "start": -1.0, "end": 2.0},
     ]}
     raw = spark.createDataFrame([(1, json.dumps(full)), (2, json.dumps({"version": 2, "segments": []})), (3, "{"), (4, None)], "transcript_id long, json string")
     got = {r.transcript_id: r for r in T.worker_transcripts(raw).collect()}
-    assert [(w.text, w.start_ms, w.end_ms) for w in got[1].words] == [("hello", 100, 311), ("world,", 0, 1000), ("this", 1000, 2000), ("is", 1000, 2000), ("cue.", 1000, 2000)]
-    assert [(s.word_start, s.word_end, s.text) for s in got[1].segments] == [(0, 2, "hello world,"), (2, 5, "this is cue."), (5, 5, "")]
+    assert [(w.text, w.start_ms, w.end_ms) for w in got[1].words] == [("hello", 100, 311), ("world,", 0, 1000), ("this", 1000, 2000), ("is", 1000, 2000), ("it.", 1000, 2000)]
+    assert [(s.word_start, s.word_end, s.text) for s in got[1].segments] == [(0, 2, "hello world,"), (2, 5, "this is it."), (5, 5, "")]
     assert got[1].language == "en" and got[1].duration_ms == 2000 and got[1].error is None and got[1].words[3].confidence is None
     assert got[2].error == "unsupported version" and got[2].language == "unknown" and got[3].error and got[4].error
     words = T.words(T.worker_transcripts(raw).filter("error is null")).collect()
-    assert [(w.segment_index, w.word_index, w.text) for w in words] == [(0, 0, "hello"), (0, 1, "world,"), (1, 2, "this"), (1, 3, "is"), (1, 4, "cue.")]
+    assert [(w.segment_index, w.word_index, w.text) for w in words] == [(0, 0, "hello"), (0, 1, "world,"), (1, 2, "this"), (1, 3, "is"), (1, 4, "it.")]
 
 
 def test_transcript_files(spark):
