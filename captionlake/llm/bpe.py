@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = 1_000_000
-REMEMBERED = 1_000_000
+CHUNK = 400_000
+REMEMBERED = 250_000
 _NONE = np.int32(2**31 - 1)
 
 
