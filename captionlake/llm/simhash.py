@@ -18,7 +18,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from captionlake.llm.scratch import stored
 SEED = 42
 TILE = 4096
 BLOCK = 1 << 20
+#: Members of a group, and shingles of them, that are compared with so many others at once; bits of the filter for texts.
+PART, PART_SHINGLES, FILTER = 512, 1 << 20, 1 << 25
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -70,10 +72,10 @@ def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, words: int, size: int = 1) -> np.ndarray:
-    """A text's fingerprint as size signed 64-bit numbers. The first is of the shingles' hashes, others of hashes of these."""
+def _majority(blocks: Iterable[np.ndarray], size: int) -> np.ndarray:
+    """The bits set in more than half of the hashes, as size signed 64-bit numbers. The first is of the hashes, others of hashes of these."""
     ones, n = np.zeros((size, 64), np.int64), 0
-    for hashes in shingle_hashes(text, words):
+    for hashes in blocks:
         n += len(hashes)
         for i in range(size):
             bits = np.unpackbits(_mixed(hashes, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -83,6 +85,22 @@ def fingerprint(text: bytes, words: int, size: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
+def fingerprint(text: bytes, words: int, size: int = 1) -> np.ndarray:
+    """A text's fingerprint as size signed 64-bit numbers, of all its shingles, repeats included."""
+    return _majority(shingle_hashes(text, words), size)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order of size."""
+    found = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def _set_name(own: np.ndarray) -> int:
+    """A hash of a set of shingles, as a signed long."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - 2**63
+
+
 def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each of docs: id_col and fp (a signed long)."""
 
@@ -217,31 +235,116 @@ def bits_apart(similarity: float, bits: int) -> float:
     return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def shared_links(fps: np.ndarray, sets: list[np.ndarray], right: np.ndarray, similarity: float, within: int) -> list[tuple[int, int]]:
+    """Links between members (one of the right with one of the others, or all if none is) that join them as all similar pairs would.
+
+    Pairs within so many bits are compared by their sets, the nearest first, if no links join them yet.
+    """
+    left = np.flatnonzero(~right)
+    other = np.flatnonzero(right) if right.any() else left
+    n = np.array([len(own) for own in sets])
+    far = sum(np.bitwise_count(fps[left, None, i] ^ fps[None, other, i]).astype(np.int32) for i in range(fps.shape[1]))
+    sizes = np.minimum(n[left, None], n[None, other]) >= similarity * np.maximum(n[left, None], n[None, other]) - 1e-6
+    u, v = np.nonzero((far <= within) & sizes)
+    order = np.argsort(far[u, v], kind="stable")
+    root, out = list(range(len(sets))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(left[u[order]].tolist(), other[v[order]].tolist(), strict=True):
+        if (left is not other or a < b) and (x := find(a)) != (y := find(b)):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both / (n[a] + n[b] - both) >= similarity:
+                root[x] = y
+                out.append((a, b))
+    return out
+
+
+def _set_links(texts: DataFrame, candidates: DataFrame, words: int, similarity: float, within: int) -> DataFrame:
+    """Columns a, b: the links among candidates (node, root of its group, fps, n shingles, of one of its texts) that their sets confirm.
+
+    texts: of, text. A group is dealt to parts, and all pairs of its parts are compared, each in one row.
+    """
+    # The texts of candidates are known by a bit each; others of the same bit are dropped by the join.
+    bit = F.pmod("of", F.lit(FILTER)) + 1
+    held = np.zeros((FILTER + 32767 >> 15, 4096), np.uint8)
+    for row in candidates.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect():
+        held[row["at"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    held = held.reshape(-1)
+
+    def sets(batches):
+        met = set()
+        for batch in batches:
+            bits = batch.column(0).to_numpy() & (FILTER - 1)
+            found = {}
+            for i in np.flatnonzero(held[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).tolist():
+                own = shingle_set(batch.column(1)[i].as_buffer().to_pybytes(), words)
+                if (name := _set_name(own)) not in met:
+                    met.add(name)
+                    found[name] = pa.array(own.view(np.int64))
+            own = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found.values())]), pa.int32()), pa.concat_arrays([pa.array([], pa.int64()), *found.values()]))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), own], names=["node", "own"])
+
+    own = texts.select("of", "text").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"])
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")
+    # Groups of more than one part are few, and known by a row each.
+    large = candidates.groupBy("root").agg(parts.alias("parts")).filter("parts > 1")
+    dealt = candidates.join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.join(own, "node").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int"))
+    pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    member = F.struct((F.col("part") > F.col("other")).alias("right"), "node", "fps", "own")
+    keys = ["root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")]
+    pairs = pairs.groupBy(*keys).agg(F.collect_list(member).alias("m")).filter(F.size("m") > 1).select("m")
+
+    def run(batches):
+        for batch in batches:
+            ends = batch.column(0).offsets.to_numpy()
+            right, node, fps, own = batch.column(0).values.flatten()
+            right, node = right.to_numpy(zero_copy_only=False), node.to_numpy()
+            words, cuts = fps.values.to_numpy().view(np.uint64), fps.offsets.to_numpy()
+            hashes, places = own.values.to_numpy().view(np.uint64), own.offsets.to_numpy()
+            out = []
+            for lo, hi in itertools.pairwise(ends.tolist()):
+                found = shared_links(words[cuts[lo] : cuts[hi]].reshape(hi - lo, -1), [hashes[places[j] : places[j + 1]] for j in range(lo, hi)], right[lo:hi], similarity, within)
+                out += [(node[lo + a], node[lo + b]) for a, b in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, size: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents whose shingles are similar, as estimated by fingerprints of size words.
+    """Groups of documents whose sets of shingles have this Jaccard similarity or more, directly or by others.
 
-    Tiles compare the first word, with a radius that 99 % of pairs at this very similarity are
-    within; pairs within it are linked if all words together differ in no more bits than expected
-    there. The standard error of the estimated similarity is about 0.04 for eight words.
+    Fingerprints of size words, of distinct shingles, propose: tiles compare the first word, then all
+    words, each with as many bits as expected at this very similarity and four standard deviations.
+    Each link among the groups so proposed is confirmed by the sets of hashes themselves.
 
     A row for each distinct identifier and text: id_col, of (a hash of the text) and kept, which
     one row of each group is: that of the least identifier, then of the least hash.
     """
-    radius = math.ceil(bits_apart(similarity, 64) + 2.33 * math.sqrt(bits_apart(similarity, 64) * (1 - bits_apart(similarity, 1))))
-    within = math.floor(bits_apart(similarity, 64 * size))
+    apart = bits_apart(similarity, 1)
+    radius, within = (math.ceil(bits * apart + 4 * math.sqrt(bits * apart * (1 - apart))) for bits in (64, 64 * size))
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, size) for t in batch.column(2)]
-            flat = pa.array(np.concatenate(fps) if fps else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * size, pa.int32()), flat)], names=["id", "of", "fps"])
+            sets = [shingle_set(t.as_buffer().to_pybytes(), words) for t in batch.column(2)]
+            fps = [_majority((own[i : i + TILE] for i in range(0, len(own), TILE)), size) for own in sets]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * size, pa.int32()), pa.array(np.concatenate(fps) if fps else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_set_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), flat], names=["id", "of", "node", "n", "fps"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    prints = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), text.cast("binary").alias("text")).mapInArrow(run, f"id {kind}, of long, fps array<long>")
-    prints = stored(prints.withColumn("node", F.xxhash64("fps")), "similar-prints")
-    nodes = stored(prints.groupBy("node").agg(F.first("fps").alias("fps")), "similar-nodes").withColumn("fp", F.col("fps")[0])
-    root = components(links(nodes, radius=radius, within=within))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), text.cast("binary").alias("text"))
+    prints = stored(texts.mapInArrow(run, f"id {kind}, of long, node long, n long, fps array<long>"), "similar-prints")
+    nodes = stored(prints.groupBy("node").agg(F.first("fps").alias("fps"), F.first("n").alias("n"), F.min("of").alias("of")), "similar-nodes").withColumn("fp", F.col("fps")[0])
+    near = components(links(nodes, radius=radius, within=within))
+    near = near.union(near.select("root", "root").distinct())
+    candidates = stored(near.join(nodes.drop("fp"), "node"), "similar-candidates")
+    root = components(_set_links(texts, candidates, words, similarity, within))
     # Only members of groups move; a document alone keeps itself.
     first = F.struct(F.col("id").isNull().alias("none"), "id", "of")
     grouped = prints.select("id", "of", "node").join(root, "node", "left").select("id", "of", F.coalesce("root", "node").alias("root"))

@@ -136,3 +136,46 @@ def test_similar_texts_keep_one_and_others_stay(spark):
     assert len(got) == len(rows) + 1
     assert {r.doc_id for r in got if r.kept} == {g[0] for g in groups} | {None}
     assert simhash.similar(docs.limit(0)).count() == 0
+
+
+def test_a_repeated_line_links_no_different_texts(spark):
+    rng = random.Random(4)
+    fresh = lambda n: " ".join(f"t{rng.randint(0, 10**9)}" for _ in range(n))
+    rows = []
+    for own, times in ((300, 20), (300, 40), (1000, 40)):
+        line = fresh(12)
+        rows += ["\n".join([fresh(own), *[line] * times]) for _ in range(2)]
+        assert jaccard(rows[-2], rows[-1]) < 0.03
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert all(r.kept for r in simhash.similar(docs).collect())
+
+
+def graded():
+    """Texts of three groups whose pairs have similarities of all degrees, some at the limit itself."""
+    rng = random.Random(8)
+    rows = []
+    for size in (40, 200, 300):
+        base = [f"g{size}w{n}" for n in range(size)]
+        for _ in range(45):
+            words = list(base)
+            for _ in range(rng.randint(0, size // 18)):
+                words[rng.randrange(size)] = f"x{rng.randint(0, 10**9)}"
+            rows.append(" ".join(words))
+    rows += [" ".join(f"limit{n}" for n in range(k)) for k in (84, 104, 130)]  # 80, 100 and 126 shingles: 0.8, then less
+    return rows
+
+
+@pytest.mark.parametrize("part", [512, 7])
+def test_similar_equals_brute_force_near_the_limit(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rows = graded()
+    root = list(range(len(rows)))
+    close = [(i, j) for j in range(len(rows)) for i in range(j) if jaccard(rows[i], rows[j]) >= 0.8]
+    assert 100 < len(close) and any(jaccard(rows[i], rows[j]) < 0.82 for i, j in close)
+    for _ in rows:
+        for i, j in close:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in simhash.similar(docs).collect() if r.kept}
+    assert got == set(root)
+    assert 10 < len(got) < len(rows) - 10
