@@ -3,13 +3,16 @@
 import json
 import random
 
+import duckdb
 import pytest
 
 from captionlake.operators import attest as A
 from captionlake.operators import batches as B
 from captionlake.operators import chunks as K
 from captionlake.operators import render as R
+from captionlake.plans import reviews
 from captionlake.sources import files as S
+from captionlake.sources import fixtures
 from captionlake.sources import transcripts as T
 from captionlake.streaming import batch_log
 
@@ -159,3 +162,27 @@ def test_windows_in_a_stream(spark, tmp_path):
     query = batch_log.counted_by_window(events).writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     query.awaitTermination()
     assert [(r.event_type, r.n) for r in spark.table("counted").collect()] == [("view", 2)]
+
+
+def test_whole_chunks_have_the_words_of_long_turns(spark, tmp_path):
+    rng = random.Random(6)
+    word = lambda: "w" * rng.randint(1, 12) + rng.choice(["", "", ",", "."])
+    turns = [(c, n, "host", " ".join(word() for _ in range(rng.choice([0, 3, 90, 180, 400, 900])))) for c in range(12) for n in range(8)]
+    turns += [(12, 0, "host", "x" * 1600), (12, 1, "host", "short"), (12, 2, "host", "a " + "y" * 1500 + " b"), (13, 0, "host", "z" * 1499 + "."), (13, 1, "host", "v " * 750 + "v")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    times = {(r.transcript_id, r.segment_index): (r.start_ms, r.end_ms) for r in fixtures.conversation_segments(spark, str(tmp_path)).collect()}
+    want = {(c, n): x for c in range(14) for n, x in enumerate(plain_chunks([(*times.get((t, k), (0, 0)), text) for t, k, _, text in turns if t == c], reviews.CHUNK))}
+    got = {(r.transcript_id, r.chunk_index): (r.start_ms, r.end_ms, r.text) for r in reviews.whole_chunks(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert sum(len(text.split()) for _, _, text in got.values()) == sum(len(text.split()) for *_, text in turns)
+    groups, last = {}, None
+    for (c, n), (_, _, text) in sorted(want.items()):
+        chars, group = last[1:] if last and last[0] == c else (0, 0)
+        over = chars > 0 and chars + len(text) > reviews.SPAN
+        last = (c, len(text) if over else chars + len(text), group + over)
+        groups[c, n] = last[2]
+    assert {(r.transcript_id, r.chunk_index): r.group for r in reviews.whole_analysis_spans(spark, str(tmp_path)).collect()} == groups
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {tuple(r[:2]): tuple(r[2:]) for r in con.execute(reviews.SQL["whole_chunks"]).fetchall()} == want
+    assert {tuple(r[:2]): r[2] for r in con.execute(reviews.SQL["whole_analysis_spans"]).fetchall()} == groups
