@@ -161,7 +161,7 @@ def spoken_urls(words: DataFrame) -> DataFrame:
         return out.astype({"confidence": "float32"})
 
     # Only transcripts with a word of the kind that joins an address go to Python.
-    joint = F.max(trim_space(F.col("text")).rlike(r"^[\"'`(\[{<]*(\.|(?i)dot\b)")).over(Window.partitionBy("transcript_id"))
+    joint = F.max(trim_space(F.col("text")).rlike(r"^[\s\"'`()\[\]{}<>,;:!?]*(\.|(?i)dot\b)")).over(Window.partitionBy("transcript_id"))
     some = words.select("transcript_id", "word_index", "text", "confidence").withColumn("joint", joint).filter("joint").drop("joint")
     return some.groupBy("transcript_id").applyInPandas(run, "transcript_id long, word_index long, observed string, proposed string, confidence float")
 

@@ -123,3 +123,11 @@ def test_spoken_urls_and_report(spark):
     assert [(r.word_index, r.observed, r.proposed, round(r.confidence, 3)) for r in got.collect()] == [(1, "example .com.", "example.com", 0.4)]
     report = V.report({"low-confidence": V.low_confidence(words), "spoken-url": got})
     assert {(r.kind, r.section) for r in report.collect()} == {("low-confidence", 0), ("spoken-url", 1)} and report.count() == 5
+
+
+def test_spoken_urls_whatever_mark_a_joint_follows(spark):
+    joints = [f"{mark}{joint}" for mark in "\"'`()[]{}<>,;:!?" for joint in (".com", "dot")] + [",:.com", ":)DOT"]
+    texts = {n: ["visit", "example", joint, *([] if "." in joint else ["com"])] for n, joint in enumerate(joints)}
+    rows = [(n, 0, place, t, 0, 1, 0.5, None) for n, words in texts.items() for place, t in enumerate(words)]
+    got = {r.transcript_id: (r.word_index, r.proposed) for r in V.spoken_urls(spark.createDataFrame(rows, WORDS)).collect()}
+    assert got == {n: (1, "example.com") for n in texts}
