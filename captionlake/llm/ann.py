@@ -185,15 +185,17 @@ def _nearest(found: np.ndarray, places: np.ndarray, ids: np.ndarray, data: np.nd
     """The k nearest rows of the nodes found, by exact distance, then id, without those of the query's id."""
     away = np.sqrt(((data[found] - query) ** 2).sum(axis=1))
     out_ids, out_far = [], []
-    need = k
+    need, last = k, np.inf
     for node in np.argsort(away, kind="stable"):
+        if away[node] > last:
+            break
         members = ids[places[found[node]] : places[found[node] + 1]]
         members = members[members != query_id][:k]
         out_ids.append(members)
         out_far.append(np.full(len(members), away[node]))
         need -= len(members)
-        if need <= 0 and (len(out_far) == 1 or away[node] > away.min()):
-            break
+        if need <= 0:
+            last = away[node]  # others as far may have lesser ids
     out_ids, out_far = np.concatenate(out_ids), np.concatenate(out_far)
     order = np.lexsort([out_ids, out_far])[:k]
     return out_ids[order], out_far[order]

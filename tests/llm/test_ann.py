@@ -69,3 +69,13 @@ def test_odd_vectors_and_few_candidates(spark):
     assert ann.search(frame.limit(0), frame.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 0.0], 0, 0), (1, [0.0, 1.0], 0, 0), (2, [1.0, 1.0], 0, 0), (2, [1.0, 1.0], 0, 0)], VECTORS)
     assert sorted((r.query_id, r.vec_id) for r in ann.search(twice, twice.filter("vec_id = 1 and embedding[0] = 1")).collect()) == [(1, 2), (1, 2)]
+
+
+def test_of_equal_distances_the_least_ids():
+    data, query = np.array([[0.5, 0], [0, 1], [1, 0], [-1, 0], [0, -1]]), np.zeros(2)
+    found, places = np.arange(5), np.arange(6)
+    ids, far = ann._nearest(found, places, np.array([9, 8, 7, 2, 1]), data, query, -1, 3)
+    assert ids.tolist() == [9, 1, 2] and far.tolist() == [0.5, 1, 1]
+    # One node with as many copies as asked for, and another as far.
+    ids, _ = ann._nearest(np.arange(2), np.array([0, 2, 3]), np.array([5, 6, 1]), data[1:3], query, -1, 2)
+    assert ids.tolist() == [1, 5]
