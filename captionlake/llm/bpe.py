@@ -9,7 +9,8 @@ the lowest rank of every word and merges all its occurrences, until no word has
 Nulls and empty texts have no ids. A text may be of any length; texts are taken in chunks of
 about ``CHUNK`` characters (a single longer text is a chunk by itself), and the words that a
 worker remembers are forgotten when there are more than ``REMEMBERED``, so memory is bounded.
-Strings of special tokens inside a text give the special ids, as in the tokenizers library.
+Strings of special tokens inside a text give the special ids, as in the tokenizers library. Other
+columns of the input play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,6 +33,32 @@ CHUNK = 400_000
 REMEMBERED = 250_000
 _NONE = np.int32(2**31 - 1)
 
+# Fixed values. The tokenizers library cuts words by the tables of Unicode 16, lowers case by those of 17 and makes normal
+# form C by those of 9; Python 3.13 has 15.1. Ranges are (first, last), as hexadecimal code points.
+# Letters and numbers that 15.1 doesn't know:
+LETTERS_16 = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 "
+    "113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
+)
+NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+# Capital letters that 15.1 has no small letter for, and how far on the small one is:
+LOWER_17 = "1C89-1C89:1 A7CB-A7CB:-A567 A7CC-A7CC:1 A7CE-A7CE:1 A7D2-A7D2:1 A7D4-A7D4:1 A7DA-A7DA:1 A7DC-A7DC:-A641 10D50-10D65:20 16EA0-16EB8:1B"
+# Marks that Unicode 9 doesn't know: they neither move nor combine.
+INERT_MARKS = (
+    "07FD-07FD 0898-089F 08CA-08D3 09FE-09FE 0C3C-0C3C 0D3B-0D3C 0EBA-0EBA 1715-1715 1ABF-1ACE 1DF6-1DFA A82C-A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF "
+    "10F46-10F50 10F82-10F85 11070-11070 1133B-1133B 1145E-1145E 11839-1183A 11930-11930 11938-11938 1193D-1193E 11943-11943 119E0-119E0 11A34-11A34 "
+    "11A47-11A47 11A99-11A99 11D42-11D42 11D44-11D45 11D97-11D97 11F41-11F42 16FF0-16FF1 1E08F-1E08F 1E130-1E136 1E2AE-1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+
+
+def _ranges(spelt: str) -> list[range]:
+    ends = [[int(x, 16) for x in r.split("-")] for r in spelt.split()]
+    return [range(a, b + 1) for a, b in ends]
+
+
+_INERT = re.compile("([" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in _ranges(INERT_MARKS)) + "])")
+_LOWER = {c: c + int(step, 16) for spelt, _, step in (x.partition(":") for x in LOWER_17.split()) for c in _ranges(spelt)[0]}
+
 
 @functools.cache
 def _classes() -> np.ndarray:
@@ -41,6 +68,9 @@ def _classes() -> np.ndarray:
         major = unicodedata.category(chr(c))[0]
         if major in "LN":
             kind[c] = 1 if major == "L" else 2
+    for number, spelt in ((1, LETTERS_16), (2, NUMBERS_16)):
+        for r in _ranges(spelt):
+            kind[r[0] : r[-1] + 1] = number
     for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
         kind[c] = 0
     return kind
@@ -183,8 +213,10 @@ class WordBpe:
     def _plain(self, text: str) -> str:
         if text.isascii():
             return text.lower()
+        parts = _INERT.split(text) if _INERT.search(text) else [text]
+        normal = "".join(p if n % 2 else unicodedata.normalize("NFC", p) for n, p in enumerate(parts))
         # Lower-casing goes character by character: no final form of sigma.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return normal.replace("Σ", "σ").lower().translate(_LOWER)
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """texts: in normal form and lower case. The ids of all, and how many each has."""
@@ -265,7 +297,7 @@ class WordBpe:
                 held, pieces, size = [], [], 0
                 self._forget()
             text = text or ""
-            if self.special_re is not None and "<|" in text and self.special_re.search(text):
+            if any(mark in text for mark in self.special):
                 parts = [(" " + p) if n % 2 else self._plain(p) for n, p in enumerate(self.special_re.split(text))]
             else:
                 parts = [self._plain(text)]
@@ -347,10 +379,9 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with a column of ids more. A column already called so is an error."""
-    if ids_col in docs.columns:
-        raise ValueError(f"there is a column {ids_col} already")
+    """docs with a column of ids more, in place of one already called so."""
     place = docs.columns.index(text_col)
+    kept = [n for n, c in enumerate(docs.columns) if c.lower() != ids_col.lower()]
 
     def run(batches):
         bpe = load(path)
@@ -359,16 +390,15 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             ids = np.concatenate([x for x, _ in got]) if got else np.empty(0, np.int32)
             ends = np.cumsum(np.concatenate([[0], *(c for _, c in got)]))
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), column], names=[*(batch.schema.names[n] for n in kept), ids_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[n] for n in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """rows with the text of their ids more: the tokens joined by one space; a null has an empty text."""
-    if text_col in rows.columns:
-        raise ValueError(f"there is a column {text_col} already")
+    """rows with the text of their ids more, in place of a column already called so: the tokens joined by one space; a null has an empty text."""
     place = rows.columns.index(ids_col)
+    kept = [n for n, c in enumerate(rows.columns) if c.lower() != text_col.lower()]
 
     def run(batches):
         bpe = load(path)
@@ -376,6 +406,6 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
             lists = [x or [] for x in batch.column(place).to_pylist()]
             ids = np.fromiter((i for x in lists for i in x), np.int64)
             texts = [bytes(x).decode() for x in bpe.joined("token", ids, np.array([len(x) for x in lists], np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string())], names=[*(batch.schema.names[n] for n in kept), text_col])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([*(rows.schema.fields[n] for n in kept), T.StructField(text_col, T.StringType())]))

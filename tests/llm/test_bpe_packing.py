@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -53,8 +55,31 @@ def test_encode_then_decode(spark, library):
     for r in out:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
-    with pytest.raises(ValueError):
-        bpe.encode(frame(spark, rows), PATH)
+    # A column already called so gives way.
+    assert bpe.encode(frame(spark, ["a b"]), PATH).columns == ["doc_id", "text", "source", "ids"]
+    twice = bpe.decode(bpe.encode(frame(spark, ["a b"]).withColumnRenamed("source", "DECODED"), PATH), PATH).first()
+    assert twice.decoded == library.decode(twice.ids, skip_special_tokens=False) and len(twice) == 4
+
+
+def same_ids(library, rows):
+    got = [(ids, counts) for ids, counts in bpe.load(PATH).encode(rows)]
+    ids, counts = (np.concatenate(x) for x in zip(*got, strict=True))
+    want = [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want]
+    wrong = [rows[n] for n, (own, w) in enumerate(zip(np.split(ids, np.cumsum(counts)[:-1]), want, strict=True)) if own.tolist() != w]
+    assert not wrong, [ascii(w) for w in wrong[:3]]
+
+
+def test_every_code_point(library):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 1 << 17):
+        part = [chr(c) for c in points[at : at + (1 << 17)]]
+        same_ids(library, [" ".join(f"a{c}a !{c}!" for c in part[i : i + 32]) for i in range(0, len(part), 32)])
+
+
+def test_marks_in_other_orders(library):
+    marks = [c for c in range(0x110000) if unicodedata.combining(chr(c))] + list(bpe._LOWER) + [0x11930, 0x11935]
+    same_ids(library, [f"e{chr(c)}\u0345 e\u0345{chr(c)} e{chr(c)}\u0334 \u0627{chr(c)}\u064f e\u0301{chr(c)} \U00011935{chr(c)}" for c in marks])
 
 
 def test_packing_keeps_every_id_once(spark, library):
