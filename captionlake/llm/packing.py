@@ -1,20 +1,24 @@
 """Packing of tokenised documents into windows by Karmarkar-Karp multiway differencing.
 
 Documents are encoded and packed where they are read: no shuffle, and no task holds more than one
-block. A document is its ids and an end id. Full windows are cut off its front; the rest is cut
-into pieces of at most ``piece`` ids. The pieces of a block of about ``block`` windows are dealt
+block. A document is its ids and an end id. Full windows are cut off its front; the rest, and every
+document that fits a window, is a piece. The pieces of a block of about ``block`` windows are dealt
 to the fewest windows that could hold them: each piece begins as a partial partition of its own,
 and the two partial partitions with the largest imbalance are merged again and again, the fullest
 windows of one with the emptiest of the other. If a window of the last one standing is above
-capacity, the number of windows rises and the block is dealt anew.
+capacity, the number of windows rises and the block is dealt anew. Only where so many more windows
+would leave more than ``slack`` of their room empty, the longest piece of each window above capacity
+is cut where that window is full, and what is cut off goes to windows with room.
 
 Nulls and empty texts hold the end id alone. Repeated rows are packed each. Rows may come from
-any partitioning; sequence ids are unique over all partitions but not gapless.
+any partitioning; sequence ids are unique over all partitions but not gapless. Other columns of the
+input play no part, whatever they are called. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Sequence
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 from captionlake.llm import bpe as bpe_
 
 WINDOW = 2048
-PIECE = 512
 BLOCK = 256
+SLACK = 0.005
 
 
 def differences(sizes: Sequence[int], k: int) -> list[list[int]]:
@@ -73,29 +77,64 @@ def differences(sizes: Sequence[int], k: int) -> list[list[int]]:
     return windows
 
 
-def pack_block(sizes: Sequence[int], window: int) -> list[list[int]]:
-    """sizes, none above window, in as few near-equal windows of that capacity as differencing finds."""
+Piece = tuple[int, int, int]  # the place of a size, where the piece begins in it, and its length
+
+
+def pack_block(sizes: Sequence[int], window: int, slack: float = SLACK) -> list[list[Piece]]:
+    """sizes, none above window, in near-equal windows of that capacity, as few and as little cut as differencing finds."""
     total = sum(sizes)
-    k = max(1, -(-total // window))
+    k = least = max(1, -(-total // window))
+    most = max(least, math.floor(total * (1 + slack) / window))
     while sizes:
-        windows = differences(sizes, k)
-        over = max(sum(sizes[i] for i in w) for w in windows) - window
+        dealt = differences(sizes, k)
+        full = [sum(sizes[i] for i in w) for w in dealt]
+        windows = [[(i, 0, sizes[i]) for i in w] for w in dealt] + [[] for _ in range(k - len(dealt))]
+        over = max(full) - window
         if over <= 0:
-            return windows
+            return [w for w in windows if w]
+        if k == most:
+            return _levelled(windows, window)
         # The excess over the mean stays about the same: lower the mean by what is over.
-        k = max(k + 1, -(-total // max(1, window - over)) if over < window // 8 else 0)
+        k = min(most, max(k + 1, -(-total // max(1, window - over)) if over < window // 8 else 0))
     return []
 
 
-def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, window: int = WINDOW, piece: int = PIECE, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
+def _levelled(windows: list[list[Piece]], window: int) -> list[list[Piece]]:
+    """windows after what stands above their capacity has been cut off and put where there is room, the most to the most."""
+    excess, room = [], []
+    for at, members in enumerate(windows):
+        held = sum(s for _, _, s in members)
+        if held < window:
+            heapq.heappush(room, (held - window, at))
+        while held > window:  # the longest member is cut, or goes if that is not enough
+            longest = max(range(len(members)), key=lambda i: (members[i][2], -i))
+            n, start, s = members.pop(longest)
+            left = max(0, s - (held - window))
+            if left:
+                members.append((n, start, left))
+            heapq.heappush(excess, (left - s, n, start + left))
+            held -= s - left
+    while excess:
+        size, n, start = heapq.heappop(excess)
+        space, at = heapq.heappop(room)
+        put = min(-size, -space)
+        windows[at].append((n, start, put))
+        if put < -size:
+            heapq.heappush(excess, (size + put, n, start + put))
+        if put < -space:
+            heapq.heappush(room, (space + put, at))
+    return [w for w in windows if w]
+
+
+def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, window: int = WINDOW, slack: float = SLACK, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
     """A row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     start counts the document's ids before the piece, offset those before it in its sequence; both
     are gapless. ids_crc32 is over the ids as unsigned little-endian 32-bit numbers. doc_tokens
     counts the document's ids with the end id.
     """
-    if not 0 < piece <= window:
-        raise ValueError("a piece has at least one id and fits the window")
+    if window < 1 or slack < 0:
+        raise ValueError("a window holds at least one id, and slack is no less than none")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long" + (", ids array<int>" if with_ids else "")
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
@@ -103,26 +142,28 @@ def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     def run(batches):
         bpe = bpe_.load(path)
         number = TaskContext.get().partitionId() << 32
-        pieces: list[tuple] = []  # doc, start, length, crc, doc_tokens, ids
+        held: list[tuple] = []  # doc, start, its ids as bytes, doc_tokens: pieces of at most a window
         loose = 0
 
         def dealt():
-            nonlocal number, pieces, loose
-            full = [n for n, p in enumerate(pieces) if p[2] == window]
-            rest = [n for n, p in enumerate(pieces) if p[2] < window]
+            nonlocal number, held, loose
+            full = [n for n, p in enumerate(held) if len(p[2]) == 4 * window]
+            rest = [n for n, p in enumerate(held) if len(p[2]) < 4 * window]
             rows = []
-            for members in [*([n] for n in full), *([rest[i] for i in w] for w in pack_block([pieces[n][2] for n in rest], window))]:
-                at = 0
-                for n in members:
-                    rows.append((n, number, at))
-                    at += pieces[n][2]
+            for members in [*([(n, 0, window)] for n in full), *([(rest[i], at, s) for i, at, s in w] for w in pack_block([len(held[n][2]) // 4 for n in rest], window, slack))]:
+                place = 0
+                for n, at, s in sorted(members):
+                    doc, start, raw, tokens = held[n]
+                    raw = raw[4 * at : 4 * (at + s)]
+                    rows.append((n, start + at, doc, s, zlib.crc32(raw), tokens, number, place, raw))
+                    place += s
                 number += 1
-            rows.sort()
-            columns = list(zip(*pieces, strict=True))
-            data = [pa.array(columns[0], docs_type), *(pa.array(c, pa.int64()) for c in columns[1:5]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
+            rows.sort(key=lambda r: r[:2])
+            columns = list(zip(*rows, strict=True))
+            data = [pa.array(columns[2], docs_type), *(pa.array(columns[c], pa.int64()) for c in (1, 3, 4, 5, 6, 7))]
             if with_ids:
-                data.append(pa.array(columns[5], pa.list_(pa.int32())))
-            pieces, loose = [], 0
+                data.append(pa.array([np.frombuffer(raw, "<i4") for raw in columns[8]], pa.list_(pa.int32())))
+            held, loose = [], 0
             return pa.RecordBatch.from_arrays(data, names=names)
 
         for batch in batches:
@@ -135,17 +176,14 @@ def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
                 ends += np.arange(1, len(counts) + 1)
                 raw = memoryview(ids.tobytes())
                 for begin, end in zip((ends - counts - 1).tolist(), ends.tolist(), strict=True):
-                    n, start = end - begin, 0
-                    while start < n:
-                        size = window if n - start >= window else min(piece, n - start)
-                        at = begin + start
-                        pieces.append((ids_of[row], start, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), n, ids[at : at + size].astype(np.int32) if with_ids else None))
+                    for at in range(begin, end, window):
+                        size = min(window, end - at)
+                        held.append((ids_of[row], at - begin, raw[4 * at : 4 * (at + size)], end - begin))
                         loose += size if size < window else 0
-                        start += size
                     row += 1
-                    if loose >= block * window or len(pieces) >= 64 * block:
+                    if loose >= block * window or len(held) >= 64 * block:
                         yield dealt()
-        if pieces:
+        if held:
             yield dealt()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
