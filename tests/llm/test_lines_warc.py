@@ -5,9 +5,13 @@ import collections
 import hashlib
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from captionlake.llm import line_dedup, warc
+from captionlake.llm.queries import SQL
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -15,19 +19,18 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def plain_lines(rows, min_chars, min_docs):
     key = lambda line: line.strip(SPACE).translate(LOWER)
-    docs = {(i, t or "") for i, t in rows}
     holders = collections.defaultdict(set)
-    for i, t in docs:
-        for line in t.split("\n"):
+    for i, t in rows:
+        for line in (t or "").split("\n"):
             if len(key(line)) >= min_chars:
-                holders[key(line)].add((i, t))
+                holders[key(line)].add(i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
         stay = []
         for line in lines:
             held = holders.get(key(line), set())
-            ids = [h for h, _ in held if h is not None]
+            ids = [h for h in held if h is not None]
             if len(held) < min_docs or i == (max(ids) if ids else None):
                 stay.append(line)
         out.append((i, len(lines), len(lines) - len(stay), "\n".join(stay)))
@@ -50,6 +53,36 @@ def test_line_dedup_equals_brute_force(spark):
         got = line_dedup.dedup_lines(frame, batches=batches, fan=fan, min_docs=min_docs).collect()
         assert collections.Counter(map(tuple, got)) == plain_lines(rows, 40, min_docs)
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_")]
+
+
+def test_repeated_identifiers_as_in_sql(spark):
+    line = "One line that stands in all of the documents here"
+    rows = [(1, line), (1, line + "\na"), (1, line + "\nb"), (2, line), (3, line), (None, line), (None, line + "\nc")]
+    for n in (0, 1):  # four documents, then five
+        some = rows + [(4, line + "\nlast")] * n
+        frame = spark.createDataFrame(some, "doc_id long, text string")
+        got = line_dedup.dedup_lines(frame).collect()
+        assert collections.Counter(map(tuple, got)) == plain_lines(some, 40, 5) and (sum(r.n_dropped for r in got) > 0) == bool(n)
+        con = duckdb.connect()
+        con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in some], pa.int64()), "text": [t for _, t in some]}))
+        want = con.execute(SQL["op8_line_dedup"]).fetchall()
+        assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got) == collections.Counter(want)
+
+
+def test_runs_are_joined_without_shuffle_or_sort(spark):
+    rows = lambda a, b: spark.range(a, b).select(F.substring(F.unhex(F.sha2(F.col("id").cast("string"), 256)), 1, 16).alias("h"), F.lit(1).cast("long").alias("docs"), F.col("id").alias("last")).repartition("h")
+    with line_dedup.runs_of(spark, 3) as runs:
+        runs.add(rows(0, 500))
+        runs.add(rows(400, 900))
+        batch = runs.bucketed(rows(0, 1000), "batch")
+        fresh = runs.fresh(batch)
+        for joined in (fresh, runs.totals()):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Sort " not in plan
+            assert "SortMergeJoin" in plan and plan.count("Bucketed: true") >= 3
+        assert sorted(r["last"] for r in fresh.collect()) == list(range(900, 1000))
+        assert {r["last"]: r["docs"] for r in runs.totals().collect()} == {n: 2 if 400 <= n < 500 else 1 for n in range(900)}
 
 
 def pages():
