@@ -46,12 +46,16 @@ def sha256(text: Column) -> Column:
 
 def located(docs: DataFrame) -> tuple[DataFrame, Column]:
     """docs and a column that says where each row lies: file and row. Rows of no file are written to one."""
-    place = F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+    # Not by name, as a column may be called so too.
     try:
-        docs.select(place)
+        docs.select(_place(docs.metadataColumn("_metadata"))).schema  # noqa: B018  raises for rows of no file
     except AnalysisException:
         docs = stored(docs, "dedup-input")
-    return docs, place
+    return docs, _place(docs.metadataColumn("_metadata"))
+
+
+def _place(where: Column) -> Column:
+    return F.concat_ws("#", where["file_path"], F.lpad(where["row_index"].cast("string"), 12, "0"))
 
 
 def digest_state(digests: DataFrame, folder: str) -> DataFrame:
@@ -71,10 +75,10 @@ def digest_state(digests: DataFrame, folder: str) -> DataFrame:
         for k, v in ROCKS.items():
             spark.conf.set(k, v)
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
-        query.awaitTermination()
-    finally:
+    finally:  # the stream has its own copy of the settings from its start on
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query.awaitTermination()
     try:
         changes = spark.read.parquet(f"{folder}/changes")
     except AnalysisException:  # no batch: there was nothing to read
@@ -127,14 +131,15 @@ def _apart(compared: DataFrame, met: DataFrame) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, digest=sha256) -> DataFrame:
-    """docs, a table, as one stream of its own: digests are written first and streamed from there."""
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, digest=sha256, batches: int = 3) -> DataFrame:
+    """docs, a table, as a stream of its own in about so many batches: digests are written first and streamed from there."""
     spark = docs.sparkSession
     docs, place = located(docs)
     folder = new_path(spark, "dedup")
     digests = docs.select(F.col(id_col).alias("id"), digest(normal(F.col(text_col))).alias("digest"), place.alias("locator"))
     digests.write.parquet(f"{folder}/digests")
-    stream = spark.readStream.schema(digests.schema).parquet(f"{folder}/digests")
+    files = len(spark.read.schema(digests.schema).parquet(f"{folder}/digests").inputFiles())
+    stream = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{folder}/digests")
     return resolve(docs, digest_state(stream, folder), id_col=id_col, text_col=text_col, place=place, carry=carry, digest=digest)
 
 
@@ -142,6 +147,7 @@ def dedup_files(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     """The Parquet files at path as a stream, max_files in a batch."""
     docs, place = located(spark.read.parquet(path))
     # A pattern, as a stream takes no path of a single file.
-    source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", max_files).parquet(f"{path[:-1]}[{path[-1]}]")
-    digests = source.select(F.col(id_col).alias("id"), sha256(normal(F.col(text_col))).alias("digest"), place.alias("locator"))
+    two = docs.select(id_col, text_col).schema  # a stream's own fields go by name, so no others are read
+    source = spark.readStream.schema(two).option("maxFilesPerTrigger", max_files).parquet(f"{path[:-1]}[{path[-1]}]")
+    digests = source.select(F.col(id_col).alias("id"), sha256(normal(F.col(text_col))).alias("digest"), _place(F.col("_metadata")).alias("locator"))
     return resolve(docs, digest_state(digests, new_path(spark, "dedup")), id_col=id_col, text_col=text_col, place=place)

@@ -72,18 +72,20 @@ SQL: dict[str, str] = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+               row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
     "op8_line_dedup": """
-        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+             l AS (SELECT row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM d),
              k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-             c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-             m AS (SELECT k.*, coalesce(last <> doc_id, false) AS gone FROM k LEFT JOIN c USING (key))
+             c AS (SELECT key, max(doc_id) AS last, true AS hot FROM k WHERE length(key) >= 40 GROUP BY key
+                   HAVING count(DISTINCT doc_id) + CASE WHEN bool_or(doc_id IS NULL) THEN 1 ELSE 0 END >= 5),
+             m AS (SELECT k.*, coalesce(hot, false) AND last IS DISTINCT FROM doc_id AS gone FROM k LEFT JOIN c USING (key))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
-        FROM m GROUP BY doc_id""",
+        FROM m GROUP BY row, doc_id""",
 }
 
 

@@ -1,15 +1,17 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by a key: 39 bits of a hash of the text, then 24 bits of a hash of the id. Equal
-texts stand together, and a group of them of any size can still be cut by id. Splitters between
+Rows are ordered by a key: 39 bits of a hash of the text, then 24 bits of a hash of the id and of
+where the row lies (its file and its number there). Equal texts stand together, and a group of them
+of any size can still be cut, even one that repeats a single row. Splitters between
 shards are found by rounds that count, over all partitions, the exact bytes below candidate keys
 and put new candidates between the nearest two of each splitter, until it is within tolerance.
 Between shard splitters stand finer ones, so that the one exchange that follows deals small parts,
 each sorted by itself; the counts below them number the rows of a shard without a gap.
 
 The driver sees counts at candidate keys, a number set by parameters alone. Nulls count as empty
-texts of no bytes, a null id is a value like any other. Rows that agree in text and id have one
-key and stay together. An empty table gives no rows.
+texts of no bytes, a null id is a value like any other. Repeated rows each have their place. A column
+called shard, slot or size gives way to the new one; other columns stay, whatever they are called. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from captionlake.llm.exact_dedup import located
 from captionlake.llm.scratch import stored
 
 TOP = 1 << 63
@@ -33,10 +36,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
-def sort_key(text: Column, doc_id: Column) -> Column:
+def sort_key(text: Column, place: Column) -> Column:
+    """place: a hash of what tells rows of one text apart."""
     group = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 25)
-    place = F.shiftrightunsigned(F.xxhash64(F.lit("shard"), doc_id), 40)
-    return F.shiftleft(group, 24).bitwiseOR(place)
+    return F.shiftleft(group, 24).bitwiseOR(F.shiftrightunsigned(place, 40))
 
 
 def count_below(sizes: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +101,11 @@ def split(sizes: DataFrame, shards: int, *, tolerance: float = 0.001, part_bytes
 
 def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, parts: int | None = None) -> DataFrame:
     """docs with shard, slot and size more: each row's shard, its place there from 0, and its bytes."""
-    if taken := {"shard", "slot", "size"} & set(docs.columns):
-        raise ValueError(f"there are columns {taken} already")
     spark = docs.sparkSession
-    text, key = F.col(text_col), sort_key(F.col(text_col), F.col(id_col))
+    docs, locator = located(docs)
+    text, place = F.col(text_col), F.xxhash64(F.lit("shard"), F.col(id_col), locator)
+    key = sort_key(text, place)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot", "size")]
     sizes = stored(docs.select(key.alias("key"), size_of(text).alias("size")), "shard-sizes")
     found = split(sizes, shards, tolerance=tolerance, parts=parts)
     keys, per_shard = found.keys, found.parts
@@ -114,7 +118,7 @@ def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col
 
     # A row for each part, at most 4096 for each shard: bounded.
     base = spark.createDataFrame([(n, int(b)) for n, b in enumerate(found.base)], "part int, base long")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), size_of(text).alias("size"), key.alias("key"), F.col(id_col).alias("id")).withColumn("part", part("key"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("key", "id"))
-    placed = rows.withColumn("place", place).join(F.broadcast(base), "part")
+    rows = docs.select(F.struct(*kept).alias("row"), size_of(text).alias("size"), key.alias("key"), place.alias("tie"), F.col(id_col).alias("id")).withColumn("part", part("key"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("key", "tie", "id"))
+    placed = rows.withColumn("place", number).join(F.broadcast(base), "part")
     return placed.select("row.*", F.floor(F.col("part") / per_shard).cast("int").alias("shard"), (F.col("base") + F.col("place") - 1).alias("slot"), "size")

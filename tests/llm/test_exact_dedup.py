@@ -3,6 +3,7 @@
 import collections
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,23 @@ def docs(spark):
 def test_equals_a_plain_version(spark, docs):
     check(D.dedup(docs).collect())
     assert D.dedup(docs.limit(0)).count() == 0
+    check(D.dedup(docs.withColumn("_metadata", F.lit("clash"))).collect())
+
+
+def test_files_with_clashing_columns(spark, docs, tmp_path):
+    docs.withColumn("_metadata", F.lit("clash")).withColumn("locator", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert D.located(given)[0] is given  # read where it lies
+    check(D.dedup(given).collect())
+    check(D.dedup_files(spark, f"{tmp_path}/documents.parquet", max_files=3).collect())
+    assert D.dedup(given, carry=True).filter("kept").select("row.*").columns == given.columns
+
+
+def test_repeated_rows_as_in_sql(spark, docs):
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toArrow())
+    want = con.execute(SQL["op1_exact_dedup"]).fetchall()
+    assert collections.Counter(map(tuple, D.dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())) == collections.Counter(want)
 
 
 def test_full_bytes_tell_equal_digests_apart(spark, docs):

@@ -72,8 +72,10 @@ def test_shards_are_even_gapless_and_whole(spark):
     for r in got:
         homes[r.text].add(r.shard)
     assert len(homes["hot text" * 4]) <= 4 and all(max(h) - min(h) < len(h) for h in homes.values())
-    with pytest.raises(ValueError):
-        sharding.shard(docs.withColumn("slot", F.lit(1)))
+    clash = docs.withColumnsRenamed({"key": "Slot", "docs": "size"}).withColumns({c: F.lit("x") for c in ("part", "row", "tie", "_metadata", "shard")})
+    again = sharding.shard(clash, 6, tolerance=0.002, parts=4)
+    assert again.columns == ["doc_id", "text", "part", "row", "tie", "_metadata", "shard", "slot", "size"]
+    assert collections.Counter(r.shard for r in again.collect()) and again.filter("part = 'x' and size < 8").count() == 0
 
 
 def test_repeated_rows_of_one_key(spark):
@@ -83,3 +85,4 @@ def test_repeated_rows_of_one_key(spark):
     for r in got:
         slots[r.shard].append(r.slot)
     assert len(got) == 51 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len(slots) == 4 and max(map(len, slots.values())) < 20  # one repeated row is no bound to a shard's size
