@@ -7,13 +7,17 @@ in a chunk is kept. A hidden layer sees a chunk's maxima, the mean of its values
 goes to a logistic unit: one probability of label 1 for each document, of whatever length.
 
 Training sees a bounded sample: of each label at most ``per_class`` labelled rows, those of least
-hash of their id, and of each at most ``WINDOWS`` chunks spread evenly over the text. Rows held out
-(crc32 of the id as text, modulo 4, is 2) never take part. Labels, language, source and id are no
-inputs of a score.
-
-Null and empty texts are scored as a chunk of zero bytes. Labels that are null or other than 0 and
-1 are left out, repeated equal labels count once, and an id with both labels is left out. Without
-rows of both labels every score is the smoothed share of label 1. Repeated rows each get a score.
+hash of their id, each with its whole text. A step takes a minibatch of documents, half of each label,
+and of each of them at most ``DRAWN`` chunks, drawn anew each time from all of its chunks. One time in
+ten, whatever the label, a document stands for a short piece drawn from anywhere in it, as short texts
+are few among the labelled. Errors are weighted by the share of each label among all labelled rows,
+so scores are probabilities for such rows. Rows held out (crc32 of the id as text, modulo 4, is 2)
+never take part. Labels, language, source and id are no inputs of a score.
+
+Null and empty texts have the score 0: there is nothing in them to keep. Labels that are null or other
+than 0 and 1 are left out, repeated equal labels count once, and an id with both labels is left out.
+Without rows of both labels every score but that of empty texts is the smoothed share of label 1.
+Repeated rows each get a score. A column called as the scores are gives way to them.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import types as T
 
 HALF, WIDTH, FILTERS, HIDDEN = 128, 5, 16, 16
 CHUNK = 2 * HALF
-WINDOWS = 8
+DRAWN = 8
+SHORT, DECAY = 0.1, 3e-3  # share of short pieces among what is drawn; weight decay
 SLICE = 256  # blocks of HALF bytes that are in work at once
 PAD = WIDTH - 1  # zero bytes before and, at least, after each text: no filter sees two texts
 
@@ -46,6 +51,19 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), ends
 
 
+def blocks_of(size: np.ndarray) -> np.ndarray:
+    """Blocks of HALF bytes that hold texts of so many bytes and the zeros around them; a chunk is two of them."""
+    return np.maximum(2, -(-(size + 2 * PAD) // HALF))
+
+
+def laid_out(data: np.ndarray, ends: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The texts data[ends[i]:ends[i + 1]] at the beginning of their blocks, after PAD zeros each, and PAD zeros at the end."""
+    padded = np.zeros(int(blocks.sum()) * HALF + PAD, np.uint8)
+    for begin, end, place in zip(ends[:-1].tolist(), ends[1:].tolist(), ((np.cumsum(blocks) - blocks) * HALF + PAD).tolist(), strict=True):
+        padded[place : place + end - begin] = data[begin:end]
+    return padded
+
+
 @dataclass
 class Model:
     table: np.ndarray  # WIDTH x 256 x FILTERS
@@ -72,17 +90,15 @@ class Model:
     def scores(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The score of each text data[ends[i]:ends[i + 1]]."""
         if self.prior is not None:
-            return np.full(len(ends) - 1, self.prior)
+            return np.where(np.diff(ends) > 0, self.prior, 0.0)
         out = []
         at = 0
         while at < len(ends) - 1:  # about a megabyte of texts at once, or one longer text
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), side="right")) - 1)
             size = np.diff(ends[at : to + 1])
-            blocks = np.maximum(2, -(-(size + 2 * PAD) // HALF))
+            blocks = blocks_of(size)
             first = np.cumsum(blocks) - blocks
-            padded = np.zeros(int(blocks.sum()) * HALF + PAD, np.uint8)
-            for begin, end, place in zip(ends[at:to].tolist(), ends[at + 1 : to + 1].tolist(), (first * HALF + PAD).tolist(), strict=True):
-                padded[place : place + end - begin] = data[begin:end]
+            padded = laid_out(data, ends[at : to + 1], blocks)
             best = self.maxima(padded)
             pooled = np.maximum(best[:-1], best[1:])  # chunks of two blocks
             last = np.zeros(len(best), bool)
@@ -91,18 +107,14 @@ class Model:
             seen = np.maximum(pooled @ self.hidden + self.hidden_bias, 0)
             seen[last[:-1]] = 0  # a chunk over two documents
             mean = np.add.reduceat(np.vstack([seen, np.zeros((1, HIDDEN), seen.dtype)]), first, axis=0) / (blocks - 1)[:, None]
-            out.append(1 / (1 + np.exp(-np.clip((mean @ self.out + self.out_bias).astype(np.float64), -30, 30))))
+            found = 1 / (1 + np.exp(-np.clip((mean @ self.out + self.out_bias).astype(np.float64), -30, 30)))
+            out.append(np.where(size > 0, found, 0.0))
             at = to
         return np.concatenate(out) if out else np.empty(0)
 
 
-def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray, *, seed: int = 1, steps: int = 1200, batch: int = 48, rate: float = 0.01) -> Model:
-    """chunks: rows of CHUNK + PAD bytes, by their document in owner; label: of each document. Adam on the log loss.
-
-    A document stands for itself or, one time in four if its label is 1, for the beginning of one
-    of its chunks, as short texts are few among the labelled. Parts of a good document are good;
-    those of others may be good too, so they stand for themselves only.
-    """
+def fit(data: np.ndarray, ends: np.ndarray, label: np.ndarray, *, share: float = 0.5, seed: int = 1, steps: int = 1200, batch: int = 48, rate: float = 0.01) -> Model:
+    """Adam on the log loss of the texts data[ends[i]:ends[i + 1]] and their labels, both of which occur; share: of label 1 where scores will be used."""
     rng = np.random.default_rng(seed)
     p = [
         rng.normal(0, 0.3, (WIDTH, 256, FILTERS)), np.zeros(FILTERS), rng.normal(0, FILTERS**-0.5, (FILTERS, HIDDEN)), np.full(HIDDEN, 0.1),
@@ -110,25 +122,40 @@ def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray, *, seed: int =
     ]
     p = [x.astype(np.float32) for x in p]
     first, second = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    order = np.argsort(owner, kind="stable")
-    begin = np.searchsorted(owner[order], np.arange(len(label) + 1))
-    docs = np.empty(0, np.int64)
+    size = np.diff(ends)
+    blocks = blocks_of(size)
+    flat, first_block = laid_out(data, ends, blocks), np.cumsum(blocks) - blocks
+    by_label = [np.flatnonzero(label == v) for v in (0, 1)]
+    weight = np.array([2 * (1 - share), 2 * share])
+    queue = [np.empty(0, np.int64)] * 2
+    span = np.arange(CHUNK + PAD)
     for step in range(1, steps + 1):
-        while len(docs) < batch:
-            docs = np.concatenate([docs, rng.permutation(len(label))])
-        some, docs = docs[:batch], docs[batch:]
-        short = (rng.random(batch) < 0.25) & (label[some] == 1)
-        rows, of, upto = [], [], []
-        for i, d in enumerate(some):
-            own = order[begin[d] : begin[d + 1]]
-            if short[i]:
-                own = own[rng.integers(len(own)) :][:1]
-            rows.append(own)
-            of += [i] * len(own)
-            upto += [PAD + rng.integers(8, CHUNK) if short[i] else CHUNK + PAD] * len(own)
-        rows, of, upto = np.concatenate(rows), np.array(of), np.array(upto)
-        n = np.bincount(of, minlength=batch)[:, None]
-        x = np.where(np.arange(CHUNK + PAD) < upto[:, None], chunks[rows], 0)
+        some = []
+        for v in (0, 1):
+            while len(queue[v]) < batch // 2:
+                queue[v] = np.concatenate([queue[v], rng.permutation(by_label[v])])
+            some.append(queue[v][: batch // 2])
+            queue[v] = queue[v][batch // 2 :]
+        some = np.concatenate(some)
+        begin, upto, of = [], [], []
+        for i, d in enumerate(some.tolist()):
+            if rng.random() < SHORT:  # a short piece of it, as a text of its own
+                n = int(min(size[d], np.exp(rng.uniform(np.log(4), np.log(CHUNK - 2 * PAD)))))
+                at = int(rng.integers(0, size[d] - n + 1)) + first_block[d] * HALF + PAD
+                begin.append([at - PAD])
+                upto.append(PAD + n)
+                of.append(i)
+            else:
+                chunks = blocks[d] - 1
+                drawn = rng.choice(chunks, DRAWN, replace=False) if chunks > DRAWN else np.arange(chunks)
+                begin.append((first_block[d] + drawn) * HALF)
+                upto += [CHUNK + PAD] * len(drawn)
+                of += [i] * len(drawn)
+        begin, of, upto = np.concatenate(begin), np.array(of), np.array(upto)
+        n = np.bincount(of, minlength=len(some))[:, None]
+        x = flat[np.minimum(begin[:, None] + span, len(flat) - 1)]
+        cut = upto < CHUNK + PAD
+        x[cut] = np.where((span >= PAD) & (span < upto[cut, None]), x[cut], 0)
         value = p[0][0].take(x[:, :CHUNK], axis=0)
         for j in range(1, WIDTH):
             value += p[0][j].take(x[:, j : j + CHUNK], axis=0)
@@ -141,7 +168,7 @@ def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray, *, seed: int =
         np.add.at(mean, of, seen)
         mean /= n
         logit = mean @ p[4] + p[5]
-        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[some]) / len(some)
+        error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[some]) * weight[label[some]] / len(some)).astype(np.float32)
         d_seen = (error[:, None] * p[4] / n)[of] * (before > 0)
         d_top = (d_seen @ p[2].T) * (top > 0)
         g_table = np.zeros_like(p[0])
@@ -151,57 +178,35 @@ def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray, *, seed: int =
         grads = [g_table, d_top.sum(0), pooled.T @ d_seen, d_seen.sum(0), mean.T @ error, error.sum(keepdims=True)]
         pace = rate * (1 - (step - 1) / steps)
         for i, g in enumerate(grads):
-            g = g.astype(np.float32) + 1e-5 * p[i]
+            g = g.astype(np.float32) + DECAY * p[i]
             first[i] += 0.1 * (g - first[i])
             second[i] += 0.01 * (g * g - second[i])
             p[i] -= pace * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
     return Model(p[0], p[1], p[2], p[3], p[4], float(p[5][0]))
 
 
-def _windows(texts: pa.Array) -> pa.Array:
-    """Of each text at most WINDOWS chunks, spread evenly, one after another, each with PAD bytes more."""
-    data, ends = as_bytes(texts)
-    out = []
-    for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        blocks = max(2, -(-(end - begin + 2 * PAD) // HALF))
-        rows = []
-        for k in np.unique(np.linspace(0, blocks - 2, WINDOWS).astype(np.int64)).tolist():
-            at = k * HALF - PAD
-            part = data[begin + max(0, at) : min(end, begin + at + CHUNK + PAD)].tobytes()
-            rows.append((bytes(PAD if k == 0 else 0) + part).ljust(CHUNK + PAD, b"\0"))
-        out.append(b"".join(rows))
-    return pa.array(out, pa.binary())
-
-
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits a model to a bounded sample of the rows of docs that labels names and that aren't held out."""
     key = F.col(id_col)
     known = labels.select(key.alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").select("id", "label")
-    texts = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    counted = dict(known.groupBy("label").count().collect())
+    texts = docs.select(key.alias("id"), F.col(text_col).cast("binary").alias("text")).filter(F.octet_length("text") > 0)
     some = [known.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(per_class) for v in (0, 1)]
     # At most 2 * per_class ids: this side is bounded.
     sample = texts.join(F.broadcast(some[0].union(some[1])), "id")
-
-    def cut(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _windows(batch.column(1)), batch.column(2)], names=["id", "chunks", "label"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = sample.select("id", "text", "label").mapInArrow(cut, f"id {kind}, chunks binary, label int").groupBy("id", "label").agg(F.min("chunks").alias("chunks")).toPandas().sort_values("id")
-    ones = int((got["label"] == 1).sum())
-    if not 0 < ones < len(got):
-        return Model(*(np.zeros(0),) * 5, 0.0, prior=(ones + 1) / (len(got) + 2))
-    raw = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK + PAD) for c in got["chunks"]]
-    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
-    return fit(np.concatenate(raw), owner, got["label"].to_numpy(np.float32))
+    # One text of each id, and so few of them, go to the driver.
+    got = sample.groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id").select("label", "text").toArrow()
+    label = got.column("label").to_numpy()
+    ones = int(label.sum())
+    if not 0 < ones < len(label):
+        return Model(*(np.zeros(0),) * 5, 0.0, prior=(ones + 1) / (len(label) + 2))
+    return fit(*as_bytes(got.column("text").combine_chunks()), label, share=counted.get(1, 0) / sum(counted.values()))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns keep) with a column of scores more. A column already called so is an error."""
-    keep = docs.columns if keep is None else keep
-    if score_col in keep:
-        raise ValueError(f"there is a column {score_col} already")
+    """docs (or its columns keep) with a column of scores more, in place of one already called so."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != score_col.lower()]
     fields = [docs.schema[c] for c in keep]
     given = docs.select(F.col(f"`{text_col}`").alias("0"), *(F.col(f"`{c}`").alias(str(n)) for n, c in enumerate(keep, 1)))
 

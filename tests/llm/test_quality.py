@@ -48,8 +48,7 @@ def test_held_out_accuracy_and_whole_texts(spark):
     assert len(held) > 150 and sum(held) / len(held) > 0.97
     for i in (0, 5, 7, 10):
         assert by[i].score == pytest.approx(plain_score(model, data[i][1]), abs=1e-4)
-    for i in (5000, 5001):
-        assert by[i].score == pytest.approx(plain_score(model, ""), abs=1e-4)
+    assert by[5000].score == by[5001].score == 0
     # The end of a long text counts: junk after clean text changes its score.
     long = " ".join(t for _, t, q in data[:60] if q)
     both = model.scores(*quality.as_bytes(pa.array([long, long + data[0][1] * 40 + data[5][1] * 40])))
@@ -68,7 +67,31 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", 0, 0), (2, None, 0, 0)], DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(docs, none)
-    assert [r.score for r in quality.score(docs, model).collect()] == [0.5, 0.5]
+    assert [r.score for r in quality.score(docs, model).collect()] == [0.5, 0]
     assert quality.score(docs.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        quality.score(docs.withColumnRenamed("id", "score"), model)
+    clash = quality.score(docs.withColumnRenamed("id", "Score"), model)
+    assert clash.columns == ["doc_id", "text", "label", "score"] and [r.score for r in clash.collect()] == [0.5, 0]
+
+
+def test_short_junk_is_not_good_and_short_prose_is():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuéö") for _ in range(rng.randint(2, 9)))
+    kinds = [
+        lambda ws: " ".join(w.upper() + "!!" for w in ws), lambda ws: " ".join(w + rng.choice(["$$$", "%%%", "***"]) for w in ws), lambda ws: " | ".join(ws), lambda ws: " ".join(ws) + ".",
+    ]
+    texts = [kinds[n % 3 if n % 7 == 0 else 3]([word() for _ in range(rng.randint(5, 700))]) for n in range(1500)]
+    model = quality.fit(*quality.as_bytes(pa.array([t.encode() for t in texts])), np.array([int(n % 7 != 0) for n in range(1500)]), share=6 / 7)
+    score = lambda rows: model.scores(*quality.as_bytes(pa.array(rows)))
+    short = [[kind([word() for _ in range(n)]) for n in (3, 4, 5, 8)] for kind in kinds]
+    assert all((score(rows) < 0.7).all() for rows in short[:3])
+    assert (score(short[3]) >= 0.7).all()
+    assert (score(["FREE!! CASH!!", "$$$ click here $$$", "home | about | login"]) < 0.7).all() and score(["", None]).tolist() == [0, 0]
+
+
+def test_all_of_a_long_text_is_learned_from():
+    """Junk that lies in the middle of long texts only, beyond any window of the beginning."""
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choice("abcdefghil ") for _ in range(n))
+    texts = [prose(6000) + ("$%" * 3000 if n % 2 else prose(6000)) + prose(6000) for n in range(200)]
+    model = quality.fit(*quality.as_bytes(pa.array([t.encode() for t in texts])), np.array([1 - n % 2 for n in range(200)]), steps=300)
+    assert model.scores(*quality.as_bytes(pa.array(["$%" * 50, prose(100)]))).round().tolist() == [0, 1]
