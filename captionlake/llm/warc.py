@@ -6,17 +6,20 @@ line feed. The converter follows the declared lengths and makes for each record
 lacks: an identifier from the place of the record in its file, a W3C timestamp from the 14 digits,
 a type, and digests of payload and block (SHA-1, base32).
 
-Of records with equal payloads (by digest and length) of at least ``at_least`` bytes, the one with
+Of records with equal payloads (by length, SHA-1 and SHA-256) of at least ``at_least`` bytes, the one with
 the least page identifier is a response; the others are revisits that refer to it and hold the
 HTTP header alone. Shorter payloads are all responses.
 
 Files are written by Spark's text writer, a whole archive of about ``ARCHIVE`` bytes to a row and a
-row to a file, compressed by gzip, and read by Spark's binary file source; the driver sees none of them. A page larger
-than that is an archive of its own, up to the 2 GB of a Spark row.
+row to a file, and read by Spark's binary file source; the driver sees none of them. ARC files are
+compressed whole; in a WARC file each record is a gzip member of its own, so it can be read alone from
+its offset, and an empty member ends the file. A page larger than that is an archive of its own, up to
+the 2 GB of a Spark row.
 
 A null html is an empty payload, a null url is written as about:blank. A null page identifier is
 above all others and is left out of the header. Repeated rows each have a record. An empty table
-gives no archive and no rows. White space and control characters in a url are percent-encoded.
+gives no archive and no rows. White space and control characters in a url are percent-encoded. Other
+columns play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,23 +55,38 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _in_archives(records: Iterator[bytes], opening, size: int, end: bytes) -> Iterator[pa.RecordBatch]:
-    """Records joined to archives of about size bytes, one a batch; opening(n) gives what archive n begins with."""
+#: A gzip member of nothing: what Spark's text writer puts after a row, in the place of a line feed.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+
+
+def _in_archives(records: Iterator[bytes], opening, size: int, packed=bytes) -> Iterator[pa.RecordBatch]:
+    """Records, each packed, joined to archives of about size bytes (unpacked), one a batch; opening(n) gives what archive n begins with."""
     held, n, total = [], 0, 0
+
+    def archive():
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
+
     for record in records:
         if held and total + len(record) > size:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held).removesuffix(end)], pa.binary()).cast(pa.string())], names=["archive"])
+            yield archive()
             held, n, total = [], n + 1, 0
         if not held:
-            held.append(opening(n))
-        held.append(record)
+            held.append(packed(opening(n)))
+        held.append(packed(record))
         total += len(record)
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held).removesuffix(end)], pa.binary()).cast(pa.string())], names=["archive"])
+        yield archive()
+
+
+def _member(record: bytes) -> bytes:
+    return gzip.compress(record, 6, mtime=0)
 
 
-def _write(archives: DataFrame, path: str, end: str) -> None:
-    archives.write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "gzip").text(path)
+def _write(archives: DataFrame, path: str, end: bytes, compression: str) -> None:
+    """archives: a binary column of archives, each without the bytes that all of them end with."""
+    # The text writer writes the bytes of a string as they are, and after them its line separator in the encoding given.
+    rows = archives.select(F.col("archive").cast("string").alias("archive"))
+    rows.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", compression).text(path)
 
 
 def _plain(content: pa.BinaryScalar) -> bytes:
@@ -111,9 +130,11 @@ def write_arc(pages: DataFrame, path: str, *, version: int = 1, date: str = "202
                     page_id, url, html = (c[at].as_py() for c in batch.columns)
                     yield arc_record(version, page_id, url, html or b"", date)
 
-        yield from _in_archives(records(), lambda n: arc_block(version), archive, b"\n")
+        for batch in _in_archives(records(), lambda n: arc_block(version), archive):
+            whole = batch.column(0)[0].as_buffer().to_pybytes().removesuffix(b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["archive"])
 
-    _write(pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(run, "archive string"), path, "\n")
+    _write(pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(run, "archive binary"), path, b"\n", "gzip")
 
 
 @dataclass
@@ -174,7 +195,7 @@ def _whole(text: str | None) -> int | None:
     return int(text) if text is not None else None
 
 
-ROW = "record_id string, uri string, ip string, stamp string, page_id long, head binary, payload binary, payload_digest string, payload_bytes long"
+ROW = "record_id string, uri string, ip string, stamp string, page_id long, head binary, payload binary, payload_digest string, payload_sha256 binary, payload_bytes long"
 
 
 def read_arc(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
@@ -188,7 +209,7 @@ def read_arc(spark: SparkSession, path: str, *, with_payload: bool = True) -> Da
                     head, payload = split_http(bytes(r.block))
                     own = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{r.offset}")
                     page_id = _whole(http_field(head, "X-Page-Id"))
-                    rows.append((f"<urn:uuid:{own}>", r.url, r.ip, _stamp(r.date), page_id, head, payload if with_payload else None, digest(payload), len(payload)))
+                    rows.append((f"<urn:uuid:{own}>", r.url, r.ip, _stamp(r.date), page_id, head, payload if with_payload else None, digest(payload), hashlib.sha256(payload).digest(), len(payload)))
                     size += len(r.block)
                     if size > ARCHIVE // 2:
                         yield _batch(rows)
@@ -215,19 +236,21 @@ def warc_record(fields: dict[str, str | None], block: bytes) -> bytes:
     return ("\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def _opening(n: int) -> bytes:
-    own = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo#{n}")
+def _opening(name: str) -> bytes:
+    own = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {name}")
     return warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{own}>", "WARC-Date": "2026-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"software: captionlake\r\nformat: WARC File Format 1.1\r\n")
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, *, at_least: int = 0, archive: int = ARCHIVE) -> None:
     """The records of the ARC files at arc_path as WARC files at warc_path, equal payloads as revisits."""
     # First the facts alone decide on types; payloads are then parsed anew and shuffled once.
-    facts = stored(read_arc(spark, arc_path, with_payload=False).select("record_id", "uri", "stamp", "page_id", "payload_digest", "payload_bytes"), "warc-facts")
+    same = ["payload_digest", "payload_sha256", "payload_bytes"]
+    facts = stored(read_arc(spark, arc_path, with_payload=False).select("record_id", "uri", "stamp", "page_id", *same), "warc-facts")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "uri", "stamp")
-    first = facts.filter(F.col("payload_bytes") >= at_least).groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"))
-    first = first.select("payload_digest", "payload_bytes", F.col("first.record_id").alias("to_id"), F.col("first.uri").alias("to_uri"), F.col("first.stamp").alias("to_stamp"))
-    types = facts.select("record_id", "payload_digest", "payload_bytes").join(first, ["payload_digest", "payload_bytes"], "left")
+    first = facts.filter(F.col("payload_bytes") >= at_least).groupBy(*same).agg(F.min(order).alias("first"))
+    first = first.select(*same, F.col("first.record_id").alias("to_id"), F.col("first.uri").alias("to_uri"), F.col("first.stamp").alias("to_stamp"))
+    # Written first, so that nothing is grouped on the way to the join and Spark can split a hot payload's rows.
+    types = facts.select("record_id", *same).join(stored(first, "warc-first"), same, "left")
     types = types.select("record_id", *(F.when(F.col("to_id") != F.col("record_id"), F.col(c)).alias(c) for c in ("to_id", "to_uri", "to_stamp")))
     rows = read_arc(spark, arc_path).join(types, "record_id")
     names = ["record_id", "uri", "ip", "stamp", "head", "payload", "payload_digest", "to_id", "to_uri", "to_stamp"]
@@ -246,9 +269,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, at_least: int
                     }
                     yield warc_record(fields, block)
 
-        yield from _in_archives(records(), _opening, archive, b"\r\n\r\n")
+        part = TaskContext.get().partitionId()
+        yield from _in_archives(records(), lambda n: _opening(f"{warc_path} {part} {n}"), archive, _member)
 
-    _write(rows.select(*names).mapInArrow(run, "archive string"), warc_path, "\r\n\r\n")
+    _write(rows.select(*names).mapInArrow(run, "archive binary"), warc_path, EMPTY_MEMBER, "none")
 
 
 def parse_warc(content: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]:

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import zlib
 
 import duckdb
 import pyarrow as pa
@@ -113,6 +114,29 @@ def test_round_trip_equals_brute_force(spark, at_least, archive):
     assert warc.round_trip(frame.limit(0)).count() == 0
 
 
+def test_records_are_members_with_identifiers_of_their_own(spark, tmp_path):
+    frame = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(3)
+    warc.write_arc(frame, f"{tmp_path}/arc", version=1, archive=4000)
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", archive=4000)
+    ids, infos = [], 0
+    for file in sorted(tmp_path.glob("warc/part-*")):
+        data, members = file.read_bytes(), 0
+        while data:
+            one = zlib.decompressobj(wbits=31)
+            content = one.decompress(data)
+            data = one.unused_data
+            if content:
+                ((fields, _),) = warc.parse_warc(content)  # each member is a whole record
+                ids.append(fields["warc-record-id"])
+                infos += fields["warc-type"] == "warcinfo"
+                assert (fields["warc-type"] == "warcinfo") == (members == 0)
+            members += 1
+        assert content == b""
+    assert len(ids) == len(set(ids)) == len(pages()) + infos and infos > 3
+    with_text = warc.read_warc(spark, f"{tmp_path}/warc", with_payload=True).filter("record_type = 'response'")
+    assert {bytes(r.payload).decode() for r in with_text.collect()} == {h or "" for _, _, h in pages()}
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_both_arc_versions(version):
     content = warc.arc_block(version) + warc.arc_record(version, 3, "http://a b", "é".encode(), "20200102030405") + warc.arc_record(version, None, None, b"", "2020")
