@@ -2,18 +2,20 @@
 
 Vectors are dealt to shards of about ``SHARD`` by a hash of their identifier, so neither copies nor
 clusters crowd one. In a shard equal vectors are one node. The graph is built in batches: a greedy
-beam search from the medoid proposes what it finds and what it passes as neighbours of each node; pruning takes the nearest
-candidate and drops those that are nearer to it, by the factor ``alpha``, than to the node, until
-``degree`` are taken; the edges are then laid backwards too and crowded nodes pruned again. A first
-pass prunes by factor 1, a second by ``alpha``, which keeps diverse, longer edges. As all of a node's
-edges may stay within a tight group, where every two are about as far from each other, each node
-also has ``LONG`` edges to nodes drawn at random, so no search is shut in.
+beam search proposes what it finds and what it passes as neighbours of each node; pruning takes the
+nearest candidate (of ``OPTIONS``) and drops those that are nearer to it, by the factor ``alpha``, than to the node,
+until ``degree`` are taken; the edges are then laid backwards too and crowded nodes pruned again. A
+first pass prunes by factor 1, a second by ``alpha``, which keeps diverse, longer edges. As a tight
+group may keep all its edges to itself, searches begin at ``STARTS`` nodes that lie far apart: the
+medoid, then again and again the node farthest from those taken.
 
 Each query searches every shard by beam search; the best of all shards are kept, with distances
 computed anew in double precision on the original vectors. Every vector is indexed; recall against
 brute force is measured by tests. Vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without an identifier. Vectors of different length are never
-compared. Rows that repeat an identifier are candidates each, but for queries of that identifier.
+compared. Rows that repeat an identifier are candidates each, but for queries of that identifier; as a
+query such an identifier is asked once, with the least of its vectors. Ties go to the smaller
+identifier among all that a shard's search found. Other columns play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from pyspark.sql import functions as F
 
 from captionlake.llm.scratch import stored
 
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 24, 48, 128, 1.2
-LONG = 8
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 16384, 32, 64, 64, 1.2
+STARTS, OPTIONS = 48, 128  # of a shard; neighbours that pruning chooses from
 QUERY_BLOCK = 512
+SEEN = 1 << 25  # bytes of marks on nodes that a search has met
 AT_ONCE = 4  # nodes of a beam whose neighbours are looked up in one step
 
 
@@ -39,23 +42,33 @@ def usable(vector: Column) -> Column:
 class Graph:
     """A graph over the rows of data (double, so that near copies are told apart): edges, by node, -1 where there is none."""
 
-    def __init__(self, data: np.ndarray, edges: np.ndarray, start: int):
-        self.data, self.edges, self.start = data, edges, start
+    def __init__(self, data: np.ndarray, edges: np.ndarray, starts: np.ndarray):
+        self.data, self.edges, self.starts = data, edges, starts
         self.norm = np.einsum("nd,nd->n", data, data)
+        self.looked_at = 0  # distances computed by searches
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the beam of nodes found, nearest first, and all nodes on the way to them; -1 where there are fewer."""
+        step = max(1, SEEN // (len(self.data) + 1))
+        found, way = zip(*(self._search(queries[at : at + step], beam) for at in range(0, len(queries), step)), strict=True)
+        most = max(w.shape[1] for w in way)
+        return np.concatenate(found), np.concatenate([np.pad(w, ((0, 0), (0, most - w.shape[1])), constant_values=-1) for w in way])
+
+    def _search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         q, n = len(queries), len(self.data)
         rows = np.arange(q)[:, None]
         seen = np.zeros((q, n + 1), bool)  # the last for no node
-        seen[:, [self.start, n]] = True
+        seen[:, [*self.starts, n]] = True
         node = np.full((q, beam), -1)
         far = np.full((q, beam), np.inf)
-        node[:, 0] = self.start
-        far[:, 0] = self.norm[self.start] - 2 * queries @ self.data[self.start]
+        first = self.norm[self.starts] - 2 * queries @ self.data[self.starts].T
+        best = np.argsort(first, axis=1, kind="stable")[:, :beam]
+        node[:, : best.shape[1]] = self.starts[best]
+        far[:, : best.shape[1]] = np.take_along_axis(first, best, axis=1)
+        self.looked_at += first.size
         open_ = np.zeros((q, beam), bool)
-        open_[:, 0] = True
-        way = []
+        open_[:, : min(best.shape[1], AT_ONCE)] = True
+        way = [np.full((q, 1), -1)]
         while open_.any():
             # The beam is sorted, so the first open places are the nearest.
             pick = np.argsort(~open_, axis=1, kind="stable")[:, :AT_ONCE]
@@ -72,6 +85,7 @@ class Graph:
             if not len(at):
                 continue
             found = next_[at, place]
+            self.looked_at += len(found)
             away = np.full(next_.shape, np.inf)
             away[at, place] = self.norm[found] - 2 * np.einsum("nd,nd->n", queries[at], self.data[found])
             all_far = np.concatenate([far, away], axis=1)
@@ -90,7 +104,7 @@ def prune(data: np.ndarray, norm: np.ndarray, nodes: np.ndarray, options: np.nda
     points = data[options]  # of -1 the last; not used
     far = norm[options] + norm[nodes][:, None] - 2 * np.einsum("nmd,nd->nm", points, data[nodes])
     far = np.where(options < 0, np.inf, np.maximum(far, 0))
-    order = np.argsort(far, axis=1, kind="stable")
+    order = np.argsort(far, axis=1, kind="stable")[:, :OPTIONS]
     options, far, points = np.take_along_axis(options, order, axis=1), np.take_along_axis(far, order, axis=1), np.take_along_axis(points, order[:, :, None], axis=1)
     own = norm[options]
     alive = np.isfinite(far)
@@ -108,18 +122,28 @@ def prune(data: np.ndarray, norm: np.ndarray, nodes: np.ndarray, options: np.nda
     return taken
 
 
+def spread_out(data: np.ndarray, norm: np.ndarray, count: int) -> np.ndarray:
+    """The medoid and nodes far apart from it and each other."""
+    taken = [int(np.argmin(((data - data.mean(axis=0)) ** 2).sum(axis=1)))]
+    least = np.full(len(data), np.inf)
+    while len(taken) < min(count, len(data)):
+        least = np.minimum(least, norm + norm[taken[-1]] - 2 * data @ data[taken[-1]])
+        least[taken] = -np.inf
+        taken.append(int(least.argmax()))
+    return np.array(taken)
+
+
 def build(data: np.ndarray, *, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, batch: int = 256, seed: int = 0) -> Graph:
     """data: distinct vectors, double."""
     n = len(data)
     rng = np.random.default_rng(seed)
-    start = int(np.argmin(((data - data.mean(axis=0)) ** 2).sum(axis=1)))
+    starts = spread_out(data, np.einsum("nd,nd->n", data, data), STARTS)
     if n <= degree + 1:
         every = np.tile(np.arange(n), (n, 1))
         every[np.arange(n), np.arange(n)] = -1
-        return Graph(data, every, start)
-    every = rng.integers(0, n, (n, degree + LONG))
-    edges = every[:, :degree]
-    graph = Graph(data, every, start)
+        return Graph(data, every, starts)
+    edges = rng.integers(0, n, (n, degree))
+    graph = Graph(data, edges, starts)
     for factor in (1.0, alpha):
         order = rng.permutation(n)
         for at in range(0, n, batch):
@@ -155,7 +179,7 @@ def _lay_back(graph: Graph, edges: np.ndarray, nodes: np.ndarray, factor: float)
             edges[some[~full]] = np.take_along_axis(options[~full], order, axis=1)
 
 
-INDEX = "dim int, bucket int, ids binary, places binary, data binary, edges binary, start int"
+INDEX = "dim int, bucket int, ids binary, places binary, data binary, edges binary, starts binary"
 
 
 def index(vectors: DataFrame, shards: int) -> DataFrame:
@@ -171,9 +195,9 @@ def index(vectors: DataFrame, shards: int) -> DataFrame:
         # The members of each node, by id: places[n] to places[n + 1] of ids.
         member = np.argsort(back.ravel(), kind="stable")
         places = np.concatenate([[0], np.cumsum(np.bincount(back.ravel(), minlength=len(first)))])
-        out = [ids[member].astype("<i8"), places.astype("<i8"), exact[first].astype("<f8"), graph.edges.astype("<i4")]
-        row = [table.column("dim")[0].as_py(), table.column("bucket")[0].as_py(), *(x.tobytes() for x in out), graph.start]
-        return pa.table([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.binary()] * 4 + [pa.int32()], strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+        out = [ids[member].astype("<i8"), places.astype("<i8"), exact[first].astype("<f8"), graph.edges.astype("<i4"), graph.starts.astype("<i4")]
+        row = [table.column("dim")[0].as_py(), table.column("bucket")[0].as_py(), *(x.tobytes() for x in out)]
+        return pa.table([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.binary()] * 5, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     bucket = F.pmod(F.xxhash64(F.lit("shard"), "id", F.col("vec")[0]), F.lit(shards)).cast("int")
     # A shard is few bytes and much work: a number of tasks that Spark doesn't lower by size.
@@ -212,7 +236,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, beam: int = B
     given = stored(clean(vectors), "ann-vectors")
     shards = max(1, -(-given.count() // shard))
     graphs = stored(index(given, shards), "ann-index")
-    asked = clean(queries).dropDuplicates(["id"])
+    asked = clean(queries).groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     # All queries meet each shard, in blocks: a copy of each block for each shard, joined by the shard.
     block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)).alias("block")
@@ -224,16 +248,16 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, beam: int = B
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                dim, query_ids, flat, ids, places, data, edges, start = (batch.column(c)[at] for c in ("dim", "query_ids", "flat", "ids", "places", "data", "edges", "start"))
+                dim, query_ids, flat, ids, places, data, edges, starts = (batch.column(c)[at] for c in ("dim", "query_ids", "flat", "ids", "places", "data", "edges", "starts"))
                 dim = dim.as_py()
                 query_ids, flat = query_ids.values.to_numpy(), flat.values.to_numpy().reshape(-1, dim)
                 ids, places = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(places.as_buffer(), "<i8")
                 data = np.frombuffer(data.as_buffer(), "<f8").reshape(-1, dim)
-                graph = Graph(data, np.frombuffer(edges.as_buffer(), "<i4").reshape(len(data), -1).astype(np.int64), start.as_py())
+                graph = Graph(data, np.frombuffer(edges.as_buffer(), "<i4").reshape(len(data), -1).astype(np.int64), np.frombuffer(starts.as_buffer(), "<i4").astype(np.int64))
                 nodes = graph.search(flat, max(beam, 2 * k))[0]
                 got = [(q, *_nearest(f[f >= 0], places, ids, data, v, q, k)) for q, f, v in zip(query_ids.tolist(), nodes, flat, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in got], [len(i) for _, i, _ in got]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in got]), pa.int64()), pa.array(np.concatenate([f for _, _, f in got]), pa.float64())], names=["query_id", "vec_id", "score"])
 
-    near = pairs.select("dim", "query_ids", "flat", "ids", "places", "data", "edges", "start").mapInArrow(run, "query_id long, vec_id long, score double")
+    near = pairs.select("dim", "query_ids", "flat", "ids", "places", "data", "edges", "starts").mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -53,6 +53,18 @@ def test_a_tight_group_shuts_no_search_in():
     assert np.mean([len(set(f[:10]) & set(e)) / 10 for f, e in zip(found, exact, strict=True)]) >= 0.95
 
 
+def test_a_search_looks_at_a_small_part_of_a_shard():
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(12, 16))[rng.integers(0, 12, 12_000)] + 0.4 * rng.normal(size=(12_000, 16))
+    graph = ann.build(data, beam=32)
+    queries = data[::100]
+    graph.looked_at = 0
+    found = graph.search(queries, ann.BEAM)[0]
+    assert graph.looked_at < 0.1 * len(queries) * len(data)
+    exact = np.argsort(((queries[:, None] - data) ** 2).sum(axis=2), axis=1, kind="stable")[:, :10]
+    assert np.mean([len(set(f[:10]) & set(e)) / 10 for f, e in zip(found, exact, strict=True)]) >= 0.95
+
+
 def test_odd_vectors_and_few_candidates(spark):
     rng = random.Random(1)
     good = [(n, [rng.random(), rng.random(), 1.0]) for n in range(6)]
@@ -69,6 +81,10 @@ def test_odd_vectors_and_few_candidates(spark):
     assert ann.search(frame.limit(0), frame.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 0.0], 0, 0), (1, [0.0, 1.0], 0, 0), (2, [1.0, 1.0], 0, 0), (2, [1.0, 1.0], 0, 0)], VECTORS)
     assert sorted((r.query_id, r.vec_id) for r in ann.search(twice, twice.filter("vec_id = 1 and embedding[0] = 1")).collect()) == [(1, 2), (1, 2)]
+    # A repeated identifier is asked once, with the least of its vectors.
+    assert {(r.query_id, r.vec_id, r.score) for r in ann.search(twice, twice.filter("vec_id = 1")).collect()} == {(1, 2, 1.0)}
+    split = spark.createDataFrame([(1, [1.0, 0.0], 0, 0), (1, [0.0, 9.0], 0, 0), (2, [0.0, 8.0], 0, 0)], VECTORS)
+    assert ann.search(split, split.filter("vec_id = 1")).first().score == 1
 
 
 def test_of_equal_distances_the_least_ids():
