@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionlake.llm.scratch import stored
+from captionlake.llm.scratch import delete, new_path
 
 
 def _sum(links: DataFrame) -> tuple:
@@ -29,15 +29,24 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _written(links: DataFrame) -> tuple[DataFrame, str]:
+    path = new_path(links.sparkSession, "links")
+    links.write.parquet(path)
+    return links.sparkSession.read.schema(links.schema).parquet(path), path
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b of any one ordered type, no nulls. Columns node, root: every node but the roots, once.
 
     The root of a component is its least node. Links from a node to itself and repeats don't matter.
     """
-    now = stored(links.select("a", "b").filter("a <> b").distinct(), "links")
+    spark = links.sparkSession
+    now, path = _written(links.select("a", "b").filter("a <> b").distinct())
     seen = _sum(now)
     while seen[0]:
-        now = stored(_star(_star(now, large=True), large=False), "links")
+        before = path
+        now, path = _written(_star(_star(now, large=True), large=False))
+        delete(spark, before)
         if (after := _sum(now)) == seen:
             break
         seen = after

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionlake.llm.exact_dedup import located
-from captionlake.llm.scratch import stored
+from captionlake.llm.scratch import scratch, stored
 
 TOP = 1 << 63
 PART_BYTES = 128 << 20
@@ -106,8 +106,9 @@ def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col
     text, place = F.col(text_col), F.xxhash64(F.lit("shard"), F.col(id_col), locator)
     key = sort_key(text, place)
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot", "size")]
-    sizes = stored(docs.select(key.alias("key"), size_of(text).alias("size")), "shard-sizes")
-    found = split(sizes, shards, tolerance=tolerance, parts=parts)
+    with scratch(spark):
+        sizes = stored(docs.select(key.alias("key"), size_of(text).alias("size")), "shard-sizes")
+        found = split(sizes, shards, tolerance=tolerance, parts=parts)
     keys, per_shard = found.keys, found.parts
 
     @F.pandas_udf("int")

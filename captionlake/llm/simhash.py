@@ -114,17 +114,24 @@ def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
-def _class(fp: Column, parts: int) -> Column:
-    """The population counts of the parts equal sub-words of fp, as an array."""
-    width = 64 // parts
-    mask = F.lit((1 << width) - 1) if parts > 1 else F.lit(-1)
-    return F.array(*(F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(mask)).cast("int") for i in range(parts)))
+def _class(fp: Column, parts: int, width: int) -> list[Column]:
+    """The population counts of the parts equal sub-words of fp, in steps of width."""
+    bits = 64 // parts
+    mask = F.lit((1 << bits) - 1) if parts > 1 else F.lit(-1)
+    return [F.floor(F.bit_count(F.shiftrightunsigned(fp, i * bits).bitwiseAND(mask)) / width).cast("int") for i in range(parts)]
 
 
-def _steps(parts: int, radius: int) -> list[list[int]]:
-    """Differences of classes within the radius, of each two opposite ones the first that isn't below zero."""
-    near = [list(d) for d in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius]
-    return [d for d in near if d >= [0] * parts]
+def _size_class(n: Column, similarity: float) -> Column:
+    """Sets of so many members have this similarity only if their classes are at most one apart."""
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / (1.0001 * -math.log(similarity))).cast("int")
+
+
+def _steps(parts: int, radius: int, sized: bool) -> list[list[int]]:
+    """Differences of classes within the radius (and a step of size), of each two opposite ones the first that isn't below zero."""
+    near = [[*d] for d in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius]
+    if sized:
+        near = [[n, *d] for n in (-1, 0, 1) for d in near]
+    return [d for d in near if d >= [0] * len(d)]
 
 
 def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -166,17 +173,21 @@ def tile_links(left: np.ndarray, right: np.ndarray, same: bool, radius: int, mor
     return moved, label[moved]
 
 
-def links(fps: DataFrame, *, radius: int = 2, tile: int = TILE, within: int | None = None) -> DataFrame:
+def links(fps: DataFrame, *, radius: int = 2, tile: int = TILE, within: int | None = None, similarity: float | None = None) -> DataFrame:
     """fps: distinct longs fp. Columns a, b: links whose connected groups are those of all pairs within radius bits.
 
-    With within, fps has node (a distinct long) and fps (a fingerprint of several words, fp its
-    first) too, links are between nodes, and their words differ in at most within bits in all.
+    With within and similarity, fps has node (a distinct long), fps (a fingerprint of several words,
+    fp its first) and n (the size of its set) too, links are between nodes, and their words differ
+    in at most within bits in all. Tiles whose sizes are too far apart for the similarity are skipped.
     """
     spark = fps.sparkSession
     parts = 4 if radius <= 2 else 2 if radius <= 4 else 1
     wide = within is not None
-    classed = fps.select("fp", *(["node", "fps"] if wide else []), _class(F.col("fp"), parts).alias("class"))
-    # At most (64 / parts + 1) ** parts classes, under 84,000: this table's size is bounded.
+    # A large radius skips few tiles by their counts: these go in steps as wide as it, so that few tiles need many copies.
+    width = radius + 1 if parts == 1 else 1
+    sized = [_size_class(F.col("n"), similarity)] if wide else []
+    classed = fps.select("fp", *(["node", "fps"] if wide else []), F.array(*sized, *_class(F.col("fp"), parts, width)).alias("class"))
+    # At most (64 / parts + 1) ** parts classes, under 84,000, or three for each step of size: this table's size is bounded.
     sizes = stored(classed.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks")), "simhash-classes")
     chunk = F.pmod(F.xxhash64(F.lit("tile"), "fp"), F.col("chunks")).cast("int").alias("chunk")
     member = F.struct("fp", *(["node", "fps"] if wide else []))
@@ -184,7 +195,7 @@ def links(fps: DataFrame, *, radius: int = 2, tile: int = TILE, within: int | No
     data = F.struct(F.col("m.fp").alias("fp"), *([F.col("m.node").alias("node"), F.flatten("m.fps").alias("words")] if wide else []))
     tiles = stored(tiles.select("class", "chunk", data.alias("tile")), "simhash-tiles")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = F.array(*(F.array(*map(F.lit, d)) for d in _steps(parts, radius)))
+    steps = F.array(*(F.array(*map(F.lit, d)) for d in _steps(parts, 1 if width > 1 else radius, wide)))
     near = tiles.select(F.col("class").alias("c"), F.col("chunk").alias("k"), F.col("tile").alias("left"), F.explode(steps).alias("step"))
     near = near.select("c", "k", "left", F.transform("step", lambda d, i: d + F.get("c", i)).alias("class"))
     near = near.join(F.broadcast(sizes), "class").select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -341,7 +352,7 @@ def similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, size: i
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), text.cast("binary").alias("text"))
     prints = stored(texts.mapInArrow(run, f"id {kind}, of long, node long, n long, fps array<long>"), "similar-prints")
     nodes = stored(prints.groupBy("node").agg(F.first("fps").alias("fps"), F.first("n").alias("n"), F.min("of").alias("of")), "similar-nodes").withColumn("fp", F.col("fps")[0])
-    near = components(links(nodes, radius=radius, within=within))
+    near = components(links(nodes, radius=radius, within=within, similarity=similarity))
     near = near.union(near.select("root", "root").distinct())
     candidates = stored(near.join(nodes.drop("fp"), "node"), "similar-candidates")
     root = components(_set_links(texts, candidates, words, similarity, within))
