@@ -1,7 +1,9 @@
 """A training corpus from raw documents: quality classifier, exact dedup, near dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, written as Parquet and read again as
-the next one's docs. All but the last return the columns of documents.
+the next one's docs. All but the last return the columns of documents, further ones too, whatever
+they are called. Null and empty texts score 0 and go at the first stage; rows without an identifier
+are below all others; of repeated rows one is left after the second. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from captionlake.llm import exact_dedup, packing, quality, simhash
 from captionlake.llm.queries import table, vocabulary
-from captionlake.llm.scratch import stored
+from captionlake.llm.scratch import stored, unused
 
 THRESHOLD = 0.5
 
@@ -19,8 +21,8 @@ THRESHOLD = 0.5
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score for quality reaches the threshold; the model learns from rows that aren't held out."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, score_col="_quality")
-    return scored.filter(F.col("_quality") >= THRESHOLD).drop("_quality")
+    score = unused("_quality", docs.columns)
+    return quality.score(docs, model, score_col=score).filter(F.col(score) >= THRESHOLD).drop(score)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +32,10 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with similar shingles of five words (0.8 or more), directly or by others, the one with the least doc_id."""
-    gone = simhash.similar(docs, words=5, similarity=0.8).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"))
+    own_id, own_of = unused("_id", docs.columns), unused("_of", docs.columns)
+    gone = simhash.similar(docs, words=5, similarity=0.8).filter(~F.col("kept")).select(F.col("doc_id").alias(own_id), F.col("of").alias(own_of))
     of = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (of == F.col("_of")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own_id)) & (of == F.col(own_of)), "left_anti")
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
