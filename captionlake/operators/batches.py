@@ -31,9 +31,12 @@ def counts(items: DataFrame) -> DataFrame:
 
 
 def activity(counted: DataFrame, leases: DataFrame) -> DataFrame:
-    """leases: batch_id of batches that a process holds. batch_id, activity (complete, active, interrupted, incomplete)."""
+    """leases: batch_id of batches that a process holds. batch_id, activity (complete, incomplete, active, interrupted).
+
+    Only a batch with an item that runs is active or interrupted.
+    """
     held = leases.select("batch_id", F.lit(True).alias("held")).distinct()
-    kind = F.when(F.col("is_complete"), "complete").when(F.col("held"), "active").when(F.col("has_running"), "interrupted").otherwise("incomplete")
+    kind = F.when(F.col("is_complete"), "complete").when(~F.col("has_running"), "incomplete").when(F.col("held"), "active").otherwise("interrupted")
     return counted.join(held, "batch_id", "left").select("batch_id", kind.alias("activity"))
 
 
@@ -46,11 +49,12 @@ def newest_incomplete(batches: DataFrame, counted: DataFrame) -> DataFrame:
 def reconciled(items: DataFrame, receipts: DataFrame) -> DataFrame:
     """items: batch_id, position, attempt, state; receipts: batch_id, position, attempt, is_valid. items with the state that receipts prove.
 
-    A running item whose attempt left a valid receipt is complete; a complete one without needs
-    reprocessing.
+    A running item whose attempt left a valid receipt is complete; a running or complete one without
+    needs reprocessing. Others stay as they are.
     """
     good = receipts.filter("is_valid").select("batch_id", "position", "attempt", F.lit(True).alias("proved")).distinct()
-    state = F.when((F.col("state") == "running") & F.col("proved"), "complete").when((F.col("state") == "complete") & F.col("proved").isNull(), "needs-reprocessing").otherwise(F.col("state"))
+    settled = F.when(F.col("proved"), "complete").otherwise("needs-reprocessing")
+    state = F.when(F.col("state").isin("running", "complete"), settled).otherwise(F.col("state"))
     return items.join(good, ["batch_id", "position", "attempt"], "left").select("batch_id", "position", "attempt", state.alias("state"))
 
 
@@ -59,10 +63,67 @@ def resume_plan(items: DataFrame) -> DataFrame:
     return items.filter(F.col("state") != "complete").orderBy("batch_id", "position")
 
 
+_ITEM = "struct<position:int,source:string,workspace:string,published_base:string,state:struct<status:string,attempt:struct<number:int,started_at_ms:bigint,finished_at_ms:bigint>>>"
+JOURNAL = f"schema_version int, id string, tool_version string, created_at_ms bigint, updated_at_ms bigint, cwd string, corrections string, items array<{_ITEM}>"
+VERSION = 1
+
+
+def read_journals(raw: DataFrame) -> DataFrame:
+    """raw: path, scope, json. The journal's fields, and error: the first reason why it can't be used. No row is dropped."""
+    parsed = raw.select("path", "scope", F.from_json("json", JOURNAL).alias("j"), F.get_json_object("json", "$").isNotNull().alias("is_json"))
+    j, items = F.col("j"), F.col("j.items")
+    positions = F.array_distinct(F.transform(items, lambda i: i["position"]))
+    absolute = lambda path: F.coalesce(path.startswith("/"), F.lit(False))
+    attempt = lambda i: i["state"]["attempt"]
+    status = lambda i: F.coalesce(i["state"]["status"], F.lit(""))
+    begun = F.filter(items, lambda i: status(i) != "pending")
+    over = F.filter(begun, lambda i: status(i) != "running")
+    checks = {
+        "no journal": ~F.coalesce("is_json", F.lit(False)) | j["schema_version"].isNull(),
+        "unsupported version": j["schema_version"] != VERSION,
+        "no name": ~F.coalesce(j["id"].rlike("^[A-Za-z0-9_-]{1,96}$"), F.lit(False)),
+        "no tool version": F.coalesce(F.trim(j["tool_version"]), F.lit("")) == "",
+        "updated before it was created": ~F.coalesce(j["updated_at_ms"] >= j["created_at_ms"], F.lit(False)),
+        "a path is not absolute": ~absolute(j["cwd"]) | (j["corrections"].isNotNull() & ~absolute(j["corrections"])) | F.exists(items, lambda i: ~(absolute(i["source"]) & absolute(i["workspace"]) & absolute(i["published_base"]))),
+        "no items": F.coalesce(F.size(items), F.lit(0)) <= 0,
+        "a position is there twice": F.size(positions) != F.size(items),
+        "unknown state": F.exists(items, lambda i: ~status(i).isin(STATES)),
+        "an attempt has no number": F.exists(begun, lambda i: F.coalesce(attempt(i)["number"], F.lit(0)) < 1),
+        "a running item is finished": F.exists(items, lambda i: (status(i) == "running") & attempt(i)["finished_at_ms"].isNotNull()),
+        "an item has no end": F.exists(over, lambda i: attempt(i)["finished_at_ms"].isNull()),
+        "an item ends before it starts": F.exists(over, lambda i: attempt(i)["finished_at_ms"] < attempt(i)["started_at_ms"]),
+        "positions have a gap": (F.array_max(positions) + 1 != F.size(items)) | (F.array_min(positions) != 0),
+        "not of this scope": j["cwd"] != F.col("scope"),
+    }
+    error = F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), k) for k, c in checks.items()))
+    return parsed.select("path", "scope", "j.*", error.alias("error"))
+
+
+def items_of(journals: DataFrame) -> DataFrame:
+    """The items of journals that can be used: batch_id, position, source, workspace, state, attempt."""
+    return journals.filter(F.col("error").isNull()).select(F.col("id").alias("batch_id"), F.explode("items").alias("i")).select("batch_id", "i.position", "i.source", "i.workspace", F.col("i.state.status").alias("state"), F.col("i.state.attempt.number").alias("attempt"))
+
+
+def listed(journals: DataFrame) -> DataFrame:
+    """Journals with place: in their scope the newest first by time and name, those that can't be used last."""
+    fine = F.col("error").isNull()
+    order = Window.partitionBy("scope").orderBy(F.desc(fine), F.desc(F.when(fine, F.col("created_at_ms"))), F.desc(F.when(fine, F.col("id"))), "path")
+    return journals.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+
+
 def invalid(log: DataFrame) -> DataFrame:
-    """batch_id, error: unknown states, positions with a gap, identifiers that are no names."""
-    per = log.groupBy("batch_id").agg(F.bool_or(~F.col("state").isin(STATES)).alias("odd"), F.count_distinct("position").alias("n"), F.max("position").alias("top"), F.min("position").alias("low"))
-    errors = F.array(F.when(F.coalesce("odd", F.lit(True)), "unknown state"), F.when((F.col("top") + 1 != F.col("n")) | (F.col("low") != 0), "positions have a gap"), F.when(~F.col("batch_id").cast("string").rlike("^[A-Za-z0-9_-]{1,96}$"), "no name"))
+    """log: also, where there are any, started_at_ms, finished_at_ms and attempt. batch_id, error: unknown states, positions with a gap, identifiers that are no names, attempts and times that can't be."""
+    last = {c: F.col(c) if c in log.columns else F.lit(None).cast("long") for c in ("attempt", "started_at_ms", "finished_at_ms")}
+    begun = F.col("state") != "pending"
+    per = log.groupBy("batch_id").agg(
+        F.bool_or(~F.col("state").isin(STATES)).alias("odd"), F.count_distinct("position").alias("n"), F.max("position").alias("top"), F.min("position").alias("low"),
+        F.bool_or(begun & (last["attempt"] < 1)).alias("none"), F.bool_or((F.col("state") == "running") & last["finished_at_ms"].isNotNull()).alias("open"),
+        F.bool_or(begun & (F.col("state") != "running") & (last["finished_at_ms"] < last["started_at_ms"])).alias("early"),
+    )
+    errors = F.array(
+        F.when(F.coalesce("odd", F.lit(True)), "unknown state"), F.when((F.col("top") + 1 != F.col("n")) | (F.col("low") != 0), "positions have a gap"), F.when(~F.col("batch_id").cast("string").rlike("^[A-Za-z0-9_-]{1,96}$"), "no name"),
+        F.when(F.col("none"), "an attempt has no number"), F.when(F.col("open"), "a running item is finished"), F.when(F.col("early"), "an item ends before it starts"),
+    )
     return per.select("batch_id", F.explode(F.filter(errors, lambda e: e.isNotNull())).alias("error"))
 
 

@@ -70,11 +70,12 @@ def read_analysis(replies: DataFrame) -> DataFrame:
     )
 
 
-def analyzed(spans: DataFrame, provider: Provider, size: int = 4000) -> DataFrame:
+def analyzed(spans: DataFrame, provider: Provider, size: int = 4000, transcripts: DataFrame | None = None) -> DataFrame:
     """spans: transcript_id, language, chunk_index, start_ms, end_ms, text. One analysis for each transcript.
 
     A transcript that fits in one group is asked about once. A longer one is asked about group by
-    group, then about all the answers. One without spans has no row.
+    group, then about all the answers. With transcripts (transcript_id, language), one without spans
+    has an empty analysis called "Untitled"; else it has no row.
     """
     line = F.concat(span_text(F.col("start_ms"), F.col("end_ms"), F.col("text")), F.lit("\n"))
     grouped = spans.join(span_groups(spans, size), ["transcript_id", "chunk_index"])
@@ -86,7 +87,13 @@ def analyzed(spans: DataFrame, provider: Provider, size: int = 4000) -> DataFram
     listed = F.transform(F.array_sort(F.collect_list(F.struct("group", "reply"))), lambda x: F.concat(F.lit("--- Partial "), x["group"], F.lit(" ---\n"), x["reply"], F.lit("\n\n")))
     several = partial.filter("n > 1").groupBy("transcript_id", "language").agg(F.concat(F.array_join(listed, ""), F.lit("One analysis of all of these, please.")).alias("prompt"))
     whole = answered(several, F.col("prompt"), provider).select("transcript_id", "language", "reply")
-    return read_analysis(partial.filter("n = 1").select("transcript_id", "language", "reply").union(whole))
+    read = read_analysis(partial.filter("n = 1").select("transcript_id", "language", "reply").union(whole))
+    if transcripts is None:
+        return read
+    empty = F.from_json(F.lit('{"title":"Untitled","summary":"","topics":[],"key_points":[],"keywords":[]}'), ANALYSIS)
+    silent = transcripts.join(spans.select("transcript_id").distinct(), "transcript_id", "left_anti").withColumn("a", empty)
+    fields = [F.lit(VERSION).alias("schema_version"), "language", *(f"a.{c}" for c in ("title", "summary", "topics", "key_points", "keywords")), F.lit(None).cast("string").alias("error")]
+    return read.unionByName(silent.select("transcript_id", *fields))
 
 
 def transcribed(media: DataFrame, provider: Callable[[list[str]], list[str]]) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionlake.functions.text import ascii_lower, similarity, term_key, trim_punctuation, trim_space
+from captionlake.functions.text import ascii_lower, term_key, trim_punctuation, trim_space
 
 SEGMENT = ["transcript_id", "segment_index"]
 
@@ -52,20 +52,40 @@ def terms(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("key").agg(F.min_by("token", F.struct("path", "line", "place")).alias("display"), F.count(F.lit(1)).alias("n_evidence"), (F.bool_or("authoritative") | (other >= 2)).alias("trusted"))
 
 
-def _banded(left: Column, share: float) -> Column:
-    """Lengths that a form may have to be similar to one of the given length."""
-    return F.explode(F.sequence(F.ceil(left * share).cast("int"), F.floor(left / share).cast("int")))
+def _edits(size: Column, share: float) -> Column:
+    """How many edits a form of this length may be away from a word that is similar enough, whichever is longer."""
+    return F.floor(size * (1 - share) / share + 1e-6).cast("int")
+
+
+def _pieces(size: Column, share: float) -> Column:
+    """Where a form of this length is cut: one piece more than edits, so that one of them stands unchanged in every similar word."""
+    n = _edits(size, share) + 1
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.floor(i * size / n).cast("int").alias("at"), (F.floor((i + 1) * size / n) - F.floor(i * size / n)).cast("int").alias("len")))
 
 
 def _best(observed: DataFrame, forms: DataFrame, share: float) -> DataFrame:
-    """For each observed spelling the terms with a form that is similar enough: observed, key, score.
+    """observed: observed, k (its key). For each spelling the terms with a form that is similar enough: observed, key, score.
 
-    Met by length, as edits are at least the difference of lengths; each spelling once, however
-    often it was said.
+    A form is cut into one piece more than it may have edits. Words meet forms of a length in reach
+    that have one of these pieces, no farther from its place than there may be edits; those that
+    meet are compared. Each spelling once, however often it was said.
     """
-    spelt = observed.select("observed", _banded(F.char_length(term_key(F.col("observed"))), share).alias("size"))
-    met = spelt.join(forms, "size").withColumn("score", similarity(F.col("observed"), F.col("form")))
-    return met.filter(F.col("score") >= F.lit(share).cast("float")).groupBy("observed", "key").agg(F.max("score").alias("score"))
+    long = F.char_length("k")
+    sizes = F.explode(F.sequence(F.ceil(long * share).cast("int"), F.floor(long / share).cast("int"))).alias("size")
+    cuts = observed.select("observed", "k", sizes).select("observed", "k", "size", F.explode(_pieces(F.col("size"), share)).alias("p"))
+    far = _edits(F.col("size"), share)
+    low, high = F.greatest(F.col("p.at") - far, F.lit(0)), F.least(F.col("p.at") + far, F.char_length("k") - F.col("p.len"))
+    starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    spots = F.array_distinct(F.transform(starts, lambda s: F.substring(F.col("k"), s + 1, F.col("p.len"))))
+    spelt = cuts.select("observed", "k", "size", F.col("p.i").alias("i"), F.explode(spots).alias("piece"))
+    cut = forms.select("key", "form", "size", F.explode(_pieces(F.col("size"), share)).alias("p"))
+    cut = cut.select("key", "form", "size", F.col("p.i").alias("i"), F.substring(F.col("form"), F.col("p.at") + 1, F.col("p.len")).alias("piece"))
+    met = spelt.join(cut, ["size", "i", "piece"]).select("observed", "k", "key", "form").distinct()
+    longest = F.greatest(F.char_length("k"), F.char_length("form"))
+    within = F.floor(longest * (1 - share) + 1e-6).cast("int")
+    edits = F.call_function("levenshtein", F.col("k"), F.col("form"), within)
+    score = F.lit(1.0).cast("float") - (edits / longest).cast("float")
+    return met.withColumn("edits", edits).filter("edits >= 0").withColumn("score", score).filter(F.col("score") >= F.lit(share).cast("float")).groupBy("observed", "key").agg(F.max("score").alias("score"))
 
 
 def term_candidates(words: DataFrame, known: DataFrame, below: float = 0.75) -> DataFrame:
@@ -78,10 +98,10 @@ def term_candidates(words: DataFrame, known: DataFrame, below: float = 0.75) ->
     code = F.col("text").rlike("[._/]")
     limit = F.lit(below).cast("float")
     doubtful = F.col("confidence").isNull() | (F.col("confidence") < limit) | code & (F.col("confidence") < F.greatest(limit, F.lit(CODE_CONFIDENCE).cast("float")))
-    some = given.filter(doubtful).withColumn("code", code).withColumn("observed", trim_punctuation(F.col("text"))).filter(F.char_length(term_key(F.col("observed"))) >= 4)
+    some = given.filter(doubtful).withColumn("code", code).withColumn("observed", trim_punctuation(F.col("text"))).withColumn("k", term_key(F.col("observed"))).filter(F.char_length("k") >= 4)
     whole = known.select("key", F.col("key").alias("form"), F.char_length("key").alias("size"))
     parts = known.select("key", F.explode(F.filter(F.split("display", "[^0-9A-Za-z]"), lambda p: p != "")).alias("form")).withColumn("size", F.char_length("form"))
-    spelt = some.select("observed", "code").distinct()
+    spelt = some.select("observed", "k", "code").distinct()
     prose = _best(spelt.filter(~F.col("code")), whole, PROSE).withColumn("code", F.lit(False))
     coded = _best(spelt.filter("code"), whole.union(parts), CODE).withColumn("code", F.lit(True))
     scored = prose.union(coded).join(known, "key")

@@ -23,26 +23,67 @@ def winners(rules: DataFrame) -> DataFrame:
     return rules.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n")
 
 
-def conflicts(rules: DataFrame) -> DataFrame:
-    """Rules whose predecessor for the same phrase says another thing than they do and than the last one does."""
-    order = Window.partitionBy(ascii_lower(F.col("find"))).orderBy("scope_rank", "rule_index")
+def conflicts(rules: DataFrame, *keys: str) -> DataFrame:
+    """Rules (of each of keys) whose predecessor for the same phrase says another thing than they do and than the last one does."""
+    order = Window.partitionBy(*keys, ascii_lower(F.col("find"))).orderBy("scope_rank", "rule_index")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = rules.select("find", "replace", "scope_rank", "rule_index", F.lag("replace").over(order).alias("shadowed"), F.lag("scope_rank").over(order).alias("shadowed_scope"), F.last("replace").over(whole).alias("winner"), F.last("scope_rank").over(whole).alias("winner_scope"))
-    return met.filter((F.col("shadowed") != F.col("replace")) & (F.col("shadowed") != F.col("winner"))).select("find", "winner", "shadowed", "winner_scope", "shadowed_scope", "scope_rank", "rule_index")
+    met = rules.select(*keys, "find", "replace", "scope_rank", "rule_index", F.lag("replace").over(order).alias("shadowed"), F.lag("scope_rank").over(order).alias("shadowed_scope"), F.last("replace").over(whole).alias("winner"), F.last("scope_rank").over(whole).alias("winner_scope"))
+    return met.filter((F.col("shadowed") != F.col("replace")) & (F.col("shadowed") != F.col("winner"))).select(*keys, "find", "winner", "shadowed", "winner_scope", "shadowed_scope", "scope_rank", "rule_index")
 
 
 def _array(rules: Rules) -> Column:
     return F.array(*(F.struct(F.lit(f).alias("find"), F.lit(r).alias("replace")) for f, r in rules))
 
 
+CHAINED = 100  # so many rules at most become a step of the plan each
+
+
+def _folded(text: Column, rules: Column) -> Column:
+    """text and counts after an array of rules (find, replace); a rule whose phrase isn't there costs no pattern."""
+    begin = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
+
+    def step(s: Column, r: Column) -> Column:
+        there = ascii_lower(s["text"]).contains(ascii_lower(r["find"]))
+        changed = F.when(there, replace_phrase(s["text"], r["find"], r["replace"])).otherwise(s["text"])
+        count = F.when(there, count_phrase(s["text"], r["find"])).when(s["text"].isNotNull(), F.lit(0))
+        return F.struct(changed.alias("text"), F.concat(s["counts"], F.array(count)).alias("counts"))
+
+    return F.aggregate(rules, begin, step)
+
+
 def corrected(texts: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:
-    """texts with the rules applied in turn, each to what the one before left, and counts: how often each did."""
+    """texts with the rules applied in turn, each to what the one before left, and counts: how often each did.
+
+    Each of a few rules is a projection with a literal pattern, which is compiled once; more of them
+    go through one fold over an array.
+    """
     if not rules:
         return texts.withColumn("counts", F.array().cast("array<int>"))
-    begin = F.struct(F.col(text_col).alias("text"), F.array().cast("array<int>").alias("counts"))
-    step = lambda s, r: F.struct(replace_phrase(s["text"], r["find"], r["replace"]).alias("text"), F.concat(s["counts"], F.array(count_phrase(s["text"], r["find"]))).alias("counts"))
-    done = texts.withColumn("_done", F.aggregate(_array(rules), begin, step))
-    return done.withColumn(text_col, F.col("_done.text")).withColumn("counts", F.col("_done.counts")).drop("_done")
+    kept = [F.col(f"`{c}`") for c in texts.columns if c not in (text_col, "counts")]
+    row = F.struct(*(kept or [F.lit(1).alias("one")])).alias("row")
+    if len(rules) > CHAINED:
+        done = texts.select(row, _folded(F.col(text_col), _array(rules)).alias("done"))
+        return done.select(*(["row.*"] if kept else []), F.col("done.text").alias(text_col), F.col("done.counts").alias("counts"))
+    done = texts.select(row, F.col(text_col).alias("t"))
+    for n, (find, replace) in enumerate(rules):
+        done = done.select("row", *(f"c{i}" for i in range(n)), count_phrase(F.col("t"), F.lit(find)).alias(f"c{n}"), replace_phrase(F.col("t"), F.lit(find), F.lit(replace)).alias("t"))
+    own = [F.col("row").getField(c).alias(c) for c in texts.columns if c not in (text_col, "counts")]
+    return done.select(*own, F.col("t").alias(text_col), F.array(*(F.col(f"c{n}") for n in range(len(rules)))).alias("counts"))
+
+
+def corrected_each(texts: DataFrame, rules: DataFrame, key: str = "transcript_id", text_col: str = "text") -> DataFrame:
+    """texts after the rules of their own key (rules: key, scope_rank, rule_index, find, replace), with counts in the rules' order. A table of rules, whatever their number."""
+    order = F.struct("scope_rank", "rule_index", F.struct("find", "replace").alias("rule"))
+    listed = rules.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(order)), lambda r: r["rule"]).alias("_rules"))
+    met = texts.join(listed, key, "left").withColumn("_done", _folded(F.col(text_col), F.coalesce("_rules", F.array().cast("array<struct<find:string,replace:string>>"))))
+    return met.withColumn(text_col, F.col("_done.text")).withColumn("counts", F.col("_done.counts")).drop("_done", "_rules")
+
+
+def unmatched_each(texts: DataFrame, rules: DataFrame, key: str = "transcript_id", text_col: str = "text") -> DataFrame:
+    """rules of a key whose text, as it is, they don't match; each by itself."""
+    met = rules.join(texts.select(key, F.col(text_col).alias("_text")), key)
+    there = ascii_lower(F.col("_text")).contains(ascii_lower(F.col("find"))) & F.rlike(F.col("_text"), phrase_pattern(F.col("find")))
+    return met.filter(~F.coalesce(there, F.lit(False))).drop("_text")
 
 
 def replacement_counts(corrected_: DataFrame, rules: Rules) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,11 +18,30 @@ TERM_CHARS = "\"'`()\\[\\]{}<>,;:"
 
 
 def media_inputs(listed: DataFrame) -> DataFrame:
-    """listed: group_pos (place of the argument), path. Media files in order, each once, where it first comes: position, path."""
+    """listed: group_pos (place of the argument), path. Media files in order, each once, where it first comes: position, path.
+
+    Paths are compared as they are once "." and ".." and doubled slashes are gone. Places are counted
+    within a group of arguments; groups begin where those before them end.
+    """
+    plain = F.aggregate(F.filter(F.split("path", "/"), lambda p: ~p.isin("", ".")), F.array().cast("array<string>"), _stepped)
     kept = listed.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(MEDIA))
-    first = F.row_number().over(Window.partitionBy("path").orderBy("group_pos"))
-    once = kept.withColumn("n", first).filter("n = 1")
-    return once.select((F.row_number().over(Window.orderBy("group_pos", "path")) - 1).alias("position"), "group_pos", "path")
+    real = kept.withColumn("path", F.concat(F.when(F.col("path").startswith("/"), "/").otherwise(""), F.array_join(plain, "/")))
+    once = real.groupBy("path").agg(F.min("group_pos").alias("group_pos"))
+    # A row for each group of arguments: few.
+    sizes = once.groupBy("group_pos").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("group_pos", F.coalesce(F.sum("n").over(Window.orderBy("group_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("group_pos").orderBy("path")) - 1
+    return once.withColumn("place", place).join(offsets, "group_pos").select((F.col("offset") + F.col("place")).alias("position"), "group_pos", "path")
+
+
+def _stepped(parts, part):
+    up = (part == "..") & (F.size(parts) > 0) & (F.try_element_at(parts, F.lit(-1)) != "..")
+    return F.when(up, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(F.concat(parts, F.array(part)))
+
+
+def relative_path(base: str, path: str) -> str:
+    """path as seen from the folder base, both absolute or both not."""
+    return os.path.relpath(os.path.normpath(path), os.path.normpath(base))
 
 
 def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -75,15 +95,83 @@ def term_tokens(files: DataFrame, min_key: int = 3) -> DataFrame:
     """
     from captionlake.functions.text import term_key, words_of
 
-    lines = files.select("path", "authoritative", F.posexplode(F.split("text", "\r?\n")).alias("at", "line_text"))
-    tokens = lines.select("path", "authoritative", (F.col("at") + 1).cast("long").alias("line"), F.posexplode(words_of(F.col("line_text"))).alias("place", "raw"))
+    also = [c for c in ("root",) if c in files.columns]
+    lines = files.select(*also, "path", "authoritative", F.posexplode(F.split("text", "\r?\n")).alias("at", "line_text"))
+    tokens = lines.select(*also, "path", "authoritative", (F.col("at") + 1).cast("long").alias("line"), F.posexplode(words_of(F.col("line_text"))).alias("place", "raw"))
     trimmed = tokens.withColumn("token", F.regexp_replace("raw", f"^[{TERM_CHARS}]+|[{TERM_CHARS}]+$", "")).drop("raw")
     kept = trimmed.filter(F.col("token").rlike(r"[._\p{Lu}]") & (F.octet_length("token") >= 3)).withColumn("key", term_key(F.col("token")))
     return kept.filter(F.char_length("key") >= min_key)
 
 
-def within_budget(files: DataFrame, max_files: int = 512, max_bytes: int = 16_000_000) -> DataFrame:
-    """files: path, length. Files in order of path until either limit is passed."""
-    order = Window.orderBy("path")
+# How deep a crawl goes, how large a file may be, and what one discovery may take in all.
+DEPTH, FILE_BYTES = 4, 1_000_000
+MAX_FILES, MAX_BYTES, MAX_TERMS, MAX_EVIDENCE = 512, 16_000_000, 20_000, 50_000
+
+
+def term_files(listed: DataFrame) -> DataFrame:
+    """listed: root, path (absolute, below root), length. Those that terms are taken from, by depth, name and size.
+
+    No folder is entered that is too deep or begins with a dot; a file's own name may.
+    """
+    below = F.expr("substring(path, length(rtrim('/', root)) + 2)")
+    folders = F.slice(F.split(below, "/"), F.lit(1), F.greatest(F.size(F.split(below, "/")) - 1, F.lit(0)))
+    kept = (F.size(folders) <= DEPTH) & ~F.exists(folders, lambda f: f.startswith("."))
+    # A name that is all extension (".env") has none.
+    ending = F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1))
+    return listed.filter(F.col("path").startswith(F.concat(F.rtrim("root", F.lit("/")), F.lit("/"))) & kept & ending.isin(TEXTS) & (F.col("length") <= FILE_BYTES))
+
+
+def sibling_files(listed: DataFrame, own: DataFrame) -> DataFrame:
+    """listed: path, length, workspace; own: root (of a discovery), workspace. The transcripts of other workspaces of the root: root, path, length."""
+    texts = listed.filter(F.col("path").endswith("/transcript.txt") & (F.col("length") <= FILE_BYTES)).withColumn("root", F.regexp_replace("workspace", "/[^/]+/[^/]+/?$", ""))
+    return texts.join(own.select("root", F.col("workspace").alias("own")), "root").filter(F.col("workspace") != F.col("own")).select("root", "path", "length")
+
+
+def read_term_files(spark: SparkSession, root: str) -> DataFrame:
+    """root, path, length, text of the files below root that terms are taken from; those that are no UTF-8 are left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.lit(root).alias("root"), F.regexp_replace("path", "^file:(//)?", "").alias("path"), "length", "content")
+    return term_files(found).withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).filter(F.col("text").isNotNull()).drop("content")
+
+
+def within_budget(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """files: root (if there are several), path, length. For each root its files in order of path, each path once, until max_files are taken; one that would pass max_bytes is left out, smaller ones after it are not."""
+    if "root" not in files.columns:
+        return within_budget(files.withColumn("root", F.lit("")), max_files, max_bytes).drop("root")
+    state = "struct<n:int,bytes:bigint,taken:array<string>>"
+    begin = F.from_json(F.lit('{"n":0,"bytes":0,"taken":[]}'), state)
+
+    def step(s, f):
+        fits = (s["n"] < max_files) & (s["bytes"] + f["length"] <= max_bytes)
+        more = F.struct((s["n"] + 1).alias("n"), (s["bytes"] + f["length"]).alias("bytes"), F.concat(s["taken"], F.array(f["path"])).alias("taken"))
+        return F.when(fits, more).otherwise(s)
+
+    # Names and sizes alone; what is not small enough for the whole budget goes before.
+    sizes = files.filter(F.col("length") <= max_bytes).groupBy("root", "path").agg(F.min("length").cast("long").alias("length"))
+    listed = sizes.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("path", "length"))).alias("f"))
+    taken = listed.select("root", F.explode(F.aggregate("f", begin, step, lambda s: s["taken"])).alias("path"))
+    return files.dropDuplicates(["root", "path"]).join(taken, ["root", "path"], "left_semi")
+
+
+def within_terms(tokens: DataFrame, max_terms: int = MAX_TERMS, max_evidence: int = MAX_EVIDENCE) -> DataFrame:
+    """tokens: root, rank (of the kind of source), path, line, place, key. For each root those in order until it has so many terms or tokens.
+
+    A file is read on when the terms are all there, until it has one more; no further file is begun.
+    """
+    order = Window.partitionBy("root").orderBy("rank", "path", "line", "place")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("n", F.row_number().over(order)).withColumn("sum", F.sum("length").over(upto)).filter((F.col("n") <= max_files) & (F.col("sum") <= max_bytes)).drop("n", "sum")
+    first = (F.row_number().over(Window.partitionBy("root", "key").orderBy("rank", "path", "line", "place")) == 1).cast("int")
+    counted = tokens.withColumn("_new", first).withColumn("_n", F.row_number().over(order)).withColumn("_terms", F.sum("_new").over(upto))
+    begun = F.min(F.struct("_n", (F.col("_terms") - F.col("_new")).alias("before"))).over(Window.partitionBy("root", "rank", "path"))["before"]
+    kept = counted.withColumn("_before", begun).filter((F.col("_n") <= max_evidence) & (F.col("_terms") <= max_terms) & (F.col("_before") < max_terms))
+    return kept.drop("_new", "_n", "_terms", "_before")
+
+
+def union_of_terms(sources: list[tuple[DataFrame, bool, int]]) -> DataFrame:
+    """sources: files (root, path, text), whether they are authoritative, and the least length of a key. Their tokens, a path only from the first source that has it: root, rank, path, line, place, token, key, authoritative."""
+    parts = []
+    for rank, (files, authoritative, min_key) in enumerate(sources):
+        tokens = term_tokens(files.select("root", "path", "text", F.lit(authoritative).alias("authoritative")), min_key)
+        parts.append(tokens.withColumn("rank", F.lit(rank)))
+    every = reduce(DataFrame.unionByName, parts)
+    first = F.min("rank").over(Window.partitionBy("root", "path"))
+    return every.withColumn("_first", first).filter(F.col("rank") == F.col("_first")).drop("_first")

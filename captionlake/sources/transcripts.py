@@ -55,6 +55,21 @@ def transcript_files(raw: DataFrame) -> DataFrame:
     return rows.withColumn("error", error).drop("is_json")
 
 
+NORMALIZED = "schema_version int, language string, chunks array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
+
+
+def normalized_files(raw: DataFrame) -> DataFrame:
+    """raw: transcript_id, json. The chunks of normalised transcripts: transcript_id, language, chunks, error. No row is dropped."""
+    parsed = raw.select("transcript_id", F.from_json("json", NORMALIZED).alias("n"), F.get_json_object("json", "$").isNotNull().alias("is_json"))
+    error = F.when(~F.coalesce("is_json", F.lit(False)), "no JSON").when(F.coalesce("n.schema_version", F.lit(1)) != 1, "unsupported version").when(F.col("n.chunks").isNull(), "chunks are missing")
+    return parsed.select("transcript_id", "n.language", "n.chunks", error.alias("error"))
+
+
+def chunks(normalized: DataFrame) -> DataFrame:
+    """transcript_id, chunk_index, start_ms, end_ms, text."""
+    return normalized.filter(F.col("error").isNull()).select("transcript_id", F.posexplode("chunks").alias("n", "c")).select("transcript_id", F.col("n").cast("long").alias("chunk_index"), "c.*")
+
+
 def words(transcripts: DataFrame) -> DataFrame:
     """transcript_id, segment_index, word_index, text, start_ms, end_ms, confidence, speaker: the words of each segment.
 

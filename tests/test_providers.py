@@ -40,6 +40,9 @@ def test_one_request_or_many(spark):
     analyses = P.analyzed(spans, reply, size=60)
     assert R.description(analyses).filter("transcript_id = 1").first()["markdown"] == "# Transcript language: en\n\n\n\n#k\n\n## Chapters\n\n- 00:00 t\n"
     assert P.read_analysis(spark.createDataFrame([(3, "en", "no")], "transcript_id long, language string, reply string")).first()["error"]
+    transcripts = spark.createDataFrame([(1, "en"), (2, "de"), (9, "fr")], "transcript_id long, language string")
+    silent = P.analyzed(spans, reply, size=60, transcripts=transcripts).filter("transcript_id = 9").collect()
+    assert [(r.title, r.language, r.topics, r.keywords, r.error) for r in silent] == [("Untitled", "fr", [], [], None)]
 
 
 def test_transcribing(spark):

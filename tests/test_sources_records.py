@@ -10,6 +10,7 @@ from captionlake.operators import attest as A
 from captionlake.operators import batches as B
 from captionlake.operators import chunks as K
 from captionlake.operators import render as R
+from captionlake.operators import workflow as W
 from captionlake.plans import reviews
 from captionlake.sources import files as S
 from captionlake.sources import fixtures
@@ -106,21 +107,64 @@ def test_chunks_equal_a_sequential_model(spark):
     assert [(r.start_ms, r.title) for r in R.chapters(topics).collect()] == [(5, "b")]
 
 
-def test_receipts_memo_and_places(spark):
-    kind = "receipt_id int, schema_version int, mode string, artifacts array<struct<path:string,digest:string>>, stages array<struct<name:string,status:string>>, providers array<string>"
-    good = ([("t.json", "a" * 64), ("t.txt", "B" * 64)], [("inspect", "complete"), ("render", "cached")], [])
-    rows = [(1, 3, "full", *good), (2, 4, "full", *good), (3, 1, "full", [("t.json", "zz"), ("../x", "a" * 64), ("../x", None)], [("inspect", "odd"), ("other", "skipped")], []), (4, 1, None, *good)]
-    got = {}
-    for r in A.receipt_errors(spark.createDataFrame(rows, kind), {"full": ["inspect", "render"]}, ["t.json", "t.txt"]).collect():
-        got.setdefault(r.receipt_id, set()).add(r.error)
-    assert got[2] == {"unsupported version"} and got[4] == {"unknown mode"} and 1 not in got
-    assert got[3] == {"a digest is no SHA-256", "a path is unsafe", "an artifact is there twice", "an artifact is missing", "a stage is missing", "a stage is not of this mode", "a status is unknown"}
+def receipt(**changes):
+    file = lambda path, value="a" * 64, algorithm="sha256": {"path": path, "digest": {"algorithm": algorithm, "value": value}}
+    good = {
+        "schema_version": 3, "tool_version": "1", "mode": "transcript-only", "source": file("../talk.mp4"), "artifacts": [file("transcript.json"), file("transcript.txt", "B" * 64)], "published_outputs": [], "corrections": [],
+        "stages": [{"stage": s, "status": "executed"} for s in A.STAGES["transcript-only"]], "providers": [{"stage": s, "provider": "x"} for s in A.PROVIDED], "batch_attempt": None,
+    }
+    return json.dumps(good | changes), file
+
+
+def test_receipts(spark):
+    whole, file = receipt()
+    stages = lambda **status: [{"stage": s, "status": status.get(s, "executed")} for s in A.STAGES["full"]]
+    named = lambda *stages: [{"stage": s, "provider": "x"} for s in stages]
+    cases = {
+        "good": ({}, set()),
+        "full": ({"mode": "full", "stages": stages(extract="cached", normalize="skipped", analyze="degraded"), "providers": named(*A.PROVIDED, "normalize", "analyze")}, set()),
+        "no analysis": ({"mode": "full", "stages": stages(analyze="skipped"), "providers": named(*A.PROVIDED, "normalize")}, set()),
+        "version": ({"schema_version": 4}, {"unsupported version"}),
+        "mode": ({"mode": "other"}, {"unknown mode", "a stage is not of this mode"}),
+        "status": ({"mode": "full", "stages": stages(render="cached", inspect="skipped", transcribe="degraded"), "providers": named(*A.PROVIDED, "normalize", "analyze")}, {"a status is not one of its stage's"}),
+        "provider": ({"providers": named("inspect", "inspect", "extract", "render") + [{"stage": "analyze", "provider": " "}]}, {"a provider is there twice", "a provider's stage has none", "a provider is missing", "a provider has no name"}),
+        "no normalizer": ({"mode": "full", "stages": stages(), "providers": named(*A.PROVIDED)}, {"a provider is missing"}),
+        "stages": ({"stages": [{"stage": "inspect", "status": "executed"}] * 2 + [{"stage": "analyze", "status": "cached"}]}, {"a stage is there twice", "a stage is missing", "a stage is not of this mode", "a provider's stage has none", "a provider is missing"}),
+        "files": ({"artifacts": [file("transcript.json", "zz"), file("../x"), file("../x"), file("receipt.json")]}, {"a digest is no SHA-256", "an artifact's path is unsafe", "a file is there twice", "an artifact is missing"}),
+        "published": ({"schema_version": 1, "published_outputs": [file("/abs.srt"), file("../talk.srt")]}, {"version 1 has no published outputs", "a published path is unsafe"}),
+        "attempt": ({"batch_attempt": {"batch_id": "a b", "item_position": 0, "attempt_number": 0}}, {"the batch attempt is invalid"}),
+        "early attempt": ({"schema_version": 2, "batch_attempt": {"batch_id": "a", "item_position": 0, "attempt_number": 1}}, {"only version 3 has a batch attempt"}),
+        "paths": ({"source": file(""), "corrections": [file("", algorithm="md5")], "tool_version": " "}, {"the source has no path", "a correction has no path", "a digest is no SHA-256", "no tool version"}),
+    }
+    raw = spark.createDataFrame([(k, receipt(**c)[0], True) for k, (c, _) in cases.items()] + [("link", whole, False), ("cut", whole[:-5], True), ("null", None, True), ("other", "[]", True)], "receipt_id string, json string, is_file boolean")
+    read = A.read_receipts(raw)
+    assert {r.receipt_id: r.error for r in read.filter("error is not null").collect()} == {"link": "no regular file", "cut": "no receipt", "null": "no receipt", "other": "no receipt"}
+    got = {k: set() for k in cases}
+    for r in A.receipt_errors(read).collect():
+        got[r.receipt_id].add(r.error)
+    assert got == {k: want for k, (_, want) in cases.items()}
+    assert {r.receipt_id: r.n for r in A.artifact_count(read).collect()}["published"] == 4
+    actual = spark.createDataFrame([("good", "../talk.mp4", "A" * 64, True), ("good", "transcript.json", "b" * 64, True), ("good", "transcript.txt", "b" * 64, False)], "receipt_id string, path string, digest string, is_file boolean")
+    found = {(r.receipt_id, r.path, r.problem) for r in W.verify(raw.filter("receipt_id in ('good', 'link', 'mode')"), actual).collect()}
+    assert found == {("good", "transcript.json", "changed"), ("good", "transcript.txt", "not-a-file"), ("link", None, "no regular file"), ("mode", None, "unknown mode"), ("mode", None, "a stage is not of this mode")}
+
+
+def test_memo_and_places(spark):
     known, fresh = A.memo_split(spark.createDataFrame([("a",), ("b",), ("b",)], "key string"), spark.createDataFrame([("a", 1)], "key string, value int"))
     assert [r.value for r in known.collect()] == [1] and [r.key for r in fresh.collect()] == ["b"]
     places = A.located(spark.createDataFrame([("s",), ("t",), ("u",)], "source string"), spark.createDataFrame([("w1", "s"), ("w2", "t"), ("w3", "t")], "workspace string, source string"))
     assert {(r.source, r.n, r.workspace) for r in places.collect()} == {("s", 1, "w1"), ("t", 2, None), ("u", 0, None)}
     rules, target = (spark.createDataFrame(x, "find string, replace string") for x in ([("Foo", "bar"), ("x", "y"), ("q", "r")], [("foo", "baz"), ("X", "y")]))
     assert [A.promotable(rules, target, f).first()["outcome"] for f in ("FOO", "x", "q")] == ["conflict", "present", "added"]
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    named = rules.withColumn("receipt_id", A.F.lit(1)).withColumn("manifest", A.F.lit("m"))
+    named = named.union(named.withColumn("receipt_id", A.F.lit(2)))
+    wanted = of([(1, "FOO"), (1, "x"), (1, "q"), (1, "none"), (2, "q")], "receipt_id int, find string")
+    manifests = of([(1, "m", "aa"), (2, "m", "aa"), (2, "gone", "bb")], "receipt_id int, manifest string, digest string")
+    told = A.promoted(named, wanted, target, manifests, of([("m", "AA")], "manifest string, digest string")).collect()
+    assert {(r.receipt_id, r.find, r.outcome) for r in told} == {(1, "Foo", "conflict"), (1, "x", "present"), (1, "q", "added"), (1, "none", "unknown"), (2, "q", "changed")}
+    one = spark.range(1).select(A.memo_key(b=A.F.lit(1), a=A.F.lit("x")).alias("k"), A.memo_key(a=A.F.lit("x"), b=A.F.lit(1)).alias("same"), A.memo_key(2, a=A.F.lit("x"), b=A.F.lit(1)).alias("other")).first()
+    assert one.k == one.same != one.other
 
 
 LOG = "batch_id long, position long, state string, at_ms long, seq long"
@@ -136,10 +180,79 @@ def test_batches(spark):
     items = spark.createDataFrame([(1, 0, 1, "running"), (1, 1, 1, "complete"), (1, 2, 2, "running"), (1, 3, 1, "failed")], "batch_id long, position long, attempt long, state string")
     receipts = spark.createDataFrame([(1, 0, 1, True), (1, 2, 1, True), (1, 1, 1, False)], "batch_id long, position long, attempt long, is_valid boolean")
     done = B.reconciled(items, receipts)
-    assert {r.position: r.state for r in done.collect()} == {0: "complete", 1: "needs-reprocessing", 2: "running", 3: "failed"}
+    assert {r.position: r.state for r in done.collect()} == {0: "complete", 1: "needs-reprocessing", 2: "needs-reprocessing", 3: "failed"}
     assert [r.position for r in B.resume_plan(done).collect()] == [1, 2, 3]
 
 
+def journal(path, scope="/w", **changes):
+    state = lambda status, number=1, start=5, end=9: {"status": status} if status == "pending" else {"status": status, "attempt": {"number": number, "started_at_ms": start, "finished_at_ms": end}}
+    item = lambda position, *s, **k: {"position": position, "source": f"/w/{position}", "workspace": f"/w/o{position}", "published_base": f"/w/{position}", "state": state(*s)} | k
+    good = {"schema_version": 1, "id": path, "tool_version": "1", "created_at_ms": 10, "updated_at_ms": 20, "cwd": "/w", "corrections": None, "items": [item(0, "complete"), item(1, "running", 2, 5, None), item(2, "pending")]}
+    return (path, scope, json.dumps(good | (changes.get("change") or (lambda item: {}))(item)))
+
+
+def test_journals(spark):
+    cases = {
+        "a": (None, None),
+        "b": (lambda item: {"created_at_ms": 11, "items": [item(0, "complete")]}, None),
+        "c": (lambda item: {"schema_version": 2}, "unsupported version"),
+        "d": (lambda item: {"id": "no name"}, "no name"),
+        "e": (lambda item: {"updated_at_ms": 9}, "updated before it was created"),
+        "f": (lambda item: {"items": [item(0, "complete", source="rel")]}, "a path is not absolute"),
+        "g": (lambda item: {"items": []}, "no items"),
+        "h": (lambda item: {"items": [item(0, "pending"), item(0, "pending")]}, "a position is there twice"),
+        "i": (lambda item: {"items": [item(0, "odd")]}, "unknown state"),
+        "j": (lambda item: {"items": [item(0, "failed", 0)]}, "an attempt has no number"),
+        "k": (lambda item: {"items": [item(0, "running")]}, "a running item is finished"),
+        "l": (lambda item: {"items": [item(0, "missing", 1, 5, None)]}, "an item has no end"),
+        "m": (lambda item: {"items": [item(0, "failed", 1, 5, 4)]}, "an item ends before it starts"),
+        "n": (lambda item: {"items": [item(1, "pending"), item(2, "pending")]}, "positions have a gap"),
+        "o": (lambda item: {"cwd": "/other"}, "not of this scope"),
+    }
+    raw = spark.createDataFrame([journal(k, change=c) for k, (c, _) in cases.items()] + [("p", "/w", "{"), ("q", "/w", None)], "path string, scope string, json string")
+    read = B.read_journals(raw)
+    assert {r.path: r.error for r in read.collect()} == {k: e for k, (_, e) in cases.items()} | {"p": "no journal", "q": "no journal"}
+    leases = spark.createDataFrame([("a",)], "batch_id string")
+    listing = W.batch_table(read, leases).orderBy("place").collect()
+    assert [(r.path, r.batch_id, r.activity) for r in listing[:3]] == [("b", "b", "complete"), ("a", "a", "active"), ("c", None, None)] and len(listing) == 17
+    receipts = spark.createDataFrame([("a", 1, 2, True), ("a", 0, 9, True)], "batch_id string, position int, attempt int, is_valid boolean")
+    assert [(r.batch_id, r.position, r.state) for r in W.resumed(read, receipts).collect()] == [("a", 0, "needs-reprocessing"), ("a", 2, "pending"), ("b", 0, "needs-reprocessing")]
+    log = spark.createDataFrame([("a", 0, "failed", 0, 5, 4), ("b", 0, "running", 1, 5, 6)], "batch_id string, position int, state string, attempt int, started_at_ms long, finished_at_ms long")
+    assert {(r.batch_id, r.error) for r in B.invalid(log).collect()} == {("a", "an attempt has no number"), ("a", "an item ends before it starts"), ("b", "a running item is finished")}
+
+
+def test_discovery(spark, tmp_path):
+    listed = [("/r", f"/r/{p}", n) for p, n in [("a.md", 5), ("a/b/c/d/x.TXT", 5), ("a/b/c/d/e/x.txt", 5), (".git/x.txt", 5), (".env", 5), ("x.env", 5), ("big.py", 1_000_001), ("a.png", 5), ("noend", 5), (".hidden.md", 5)]]
+    kept = S.term_files(spark.createDataFrame([*listed, ("/r", "/other/a.md", 5)], "root string, path string, length long"))
+    assert {r.path for r in kept.collect()} == {"/r/a.md", "/r/a/b/c/d/x.TXT", "/r/x.env", "/r/.hidden.md"}
+    sizes = spark.createDataFrame([("r", p, n) for p, n in [("a", 6), ("b", 5), ("c", 3), ("d", 2), ("d", 2), ("e", 1), ("f", 99)]] + [("s", "a", 10)], "root string, path string, length long")
+    assert sorted((r.root, r.path) for r in S.within_budget(sizes, 3, 10).collect()) == [("r", "a"), ("r", "c"), ("r", "e"), ("s", "a")]
+    assert sorted((r.path) for r in S.within_budget(sizes.filter("root = 'r'"), 2, 10).collect()) == ["a", "c"]
+    files = lambda rows: spark.createDataFrame(rows, "root string, path string, text string")
+    terms = S.union_of_terms([(files([("r", "1", "Aaa Bbb Aaa"), ("r", "2", "Ccc Aaa Ddd"), ("r", "3", "Aaa Eee")]), True, 3), (files([("r", "1", "Zzz"), ("r", "9", "A.b Aaa")]), False, 0)])
+    assert sorted((r.path, r.token, r.authoritative) for r in terms.filter("path in ('1', '9')").collect()) == [("1", "Aaa", True), ("1", "Aaa", True), ("1", "Bbb", True), ("9", "A.b", False), ("9", "Aaa", False)]
+    cut = lambda **k: [r.token for r in S.within_terms(terms, **k).orderBy("rank", "path", "line", "place").collect()]
+    assert cut() == ["Aaa", "Bbb", "Aaa", "Ccc", "Aaa", "Ddd", "Aaa", "Eee", "A.b", "Aaa"]
+    assert cut(max_evidence=4) == ["Aaa", "Bbb", "Aaa", "Ccc"]
+    assert cut(max_terms=3) == ["Aaa", "Bbb", "Aaa", "Ccc", "Aaa"]  # the second file until its new term; the third isn't begun
+    assert cut(max_terms=4) == ["Aaa", "Bbb", "Aaa", "Ccc", "Aaa", "Ddd"]
+    own = spark.createDataFrame([("/m", "/m/.cue/one")], "root string, workspace string")
+    others = spark.createDataFrame([(f"/m/.cue/{w}/{f}", n, f"/m/.cue/{w}") for w in ("one", "two") for f, n in (("transcript.txt", 9), ("summary.md", 9), ("x/transcript.txt", 1_000_001))], "path string, length long, workspace string")
+    assert [tuple(r) for r in S.sibling_files(others, own).collect()] == [("/m", "/m/.cue/two/transcript.txt", 9)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.md").write_text("Some Term")
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
+    assert [(r.path, r.text) for r in S.read_term_files(spark, str(tmp_path)).collect()] == [(f"{tmp_path}/a/x.md", "Some Term")]
+    assert S.relative_path("/a/b", "/a/c/./d") == "../c/d"
+
+
+def test_normalized_files(spark):
+    good = json.dumps({"schema_version": 1, "language": "en", "chunks": [{"start_ms": 0, "end_ms": 5, "text": " one "}, {"start_ms": 5, "end_ms": 9, "text": " "}]})
+    read = T.normalized_files(spark.createDataFrame([(1, good), (2, '{"schema_version": 2, "chunks": []}'), (3, "{"), (4, "{}")], "transcript_id long, json string"))
+    assert {r.transcript_id: r.error for r in read.collect()} == {1: None, 2: "unsupported version", 3: "no JSON", 4: "chunks are missing"}
+    assert [tuple(r) for r in T.chunks(read).collect()] == [(1, 0, 0, 5, " one "), (1, 1, 5, 9, " ")]
+
+
 def test_a_stream_of_changes_goes_on_where_it_ended(spark, tmp_path):
     write = lambda rows: spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     states = lambda: {(r.position): r.state for r in spark.read.parquet(f"{tmp_path}/out").groupBy("position").agg(B.F.max_by("state", "at_ms").alias("state")).collect()}
