@@ -61,18 +61,19 @@ def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.publication(one(i % 2 == 0, i % 5), one(i % 3 != 0, i % 4), one(i % 7 != 0, i % 6))
 
 
-LISTED = [(0, "b/two.MP4"), (0, "b/one.mp4"), (0, "b/notes.txt"), (1, "a/x.tar.WAV"), (1, "b/one.mp4"), (1, "b/.mkv"), (1, "mp3"), (2, "a/z.opus"), (2, "a/Z.opus")]
-
-
 def media_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.media_inputs(spark.createDataFrame(LISTED, "group_pos long, path string"))
+    """Documents as files named on three command lines, some by a roundabout path, some with other endings."""
+    i = F.col("doc_id")
+    ending = F.when(i % 4 == 0, ".MP4").when(i % 4 == 1, ".txt").when(i % 4 == 2, ".tar.wav").otherwise("")
+    path = F.concat(F.lit("in/"), "source", F.when(i % 5 == 0, "/x/../").when(i % 5 == 1, "/./").otherwise("/"), (i % 700).cast("string"), ending)
+    found = S.media_inputs(X.table(spark, sf_dir, "documents").select((i % 3).alias("group_pos"), path.alias("path")))
     return found.withColumn("position", F.col("position").cast("long"))
 
 
 def output_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = X.table(spark, sf_dir, "documents")
-    name = F.substring("text", 1, 3)
-    return A.collisions(docs.select(F.concat("source", F.lit("/"), name).alias("path")))
+    """Whole texts as paths; of each that meets another its digest."""
+    found = A.collisions(X.table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select(F.col("text").alias("path")))
+    return found.select(F.sha2("folded", 256).alias("folded"), "n")
 
 
 _MAP = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATE.items()) + " END"
@@ -87,7 +88,7 @@ SQL = {
     "batch_counts": f"WITH {_COUNTS} SELECT * FROM counts",
     "batch_attempts": f"WITH {_LOG} SELECT batch_id, position, seq, (count(*) FILTER (state = 'running') OVER (PARTITION BY batch_id, position ORDER BY at_ms, seq)) AS attempt FROM log",
     "newest_incomplete": f"WITH {_COUNTS}, {_OPEN} SELECT scope, arg_max(batch_id, (created_ms, batch_id)) AS batch_id, max(created_ms) AS created_ms FROM created JOIN counts USING (batch_id) WHERE NOT is_complete GROUP BY scope",
-    "batch_activity": f"WITH {_COUNTS} SELECT batch_id, CASE WHEN is_complete THEN 'complete' WHEN batch_id % 4 = 0 THEN 'active' WHEN has_running THEN 'interrupted' ELSE 'incomplete' END AS activity FROM counts",
+    "batch_activity": f"WITH {_COUNTS} SELECT batch_id, CASE WHEN is_complete THEN 'complete' WHEN NOT has_running THEN 'incomplete' WHEN batch_id % 4 = 0 THEN 'active' ELSE 'interrupted' END AS activity FROM counts",
     "verify_files": """SELECT CASE WHEN doc_id % 17 = 0 THEN '../' ELSE '' END || 'doc-' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 'artifact' ELSE 'source' END AS kind,
                CASE WHEN doc_id % 17 = 0 THEN 'unsafe' WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'not-a-file' ELSE 'changed' END AS problem
         FROM documents WHERE doc_id % 17 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0""",
@@ -95,6 +96,8 @@ SQL = {
         a AS (SELECT path, CASE WHEN new IS NOT NULL AND there IS NULL THEN 'write' WHEN new = there THEN 'keep' WHEN new IS NOT NULL AND owned = there THEN 'write' WHEN new IS NOT NULL THEN 'refuse'
                                WHEN there IS NOT NULL AND owned = there THEN 'delete' WHEN owned IS NOT NULL AND there IS NOT NULL THEN 'leave' END AS action FROM d)
         SELECT * FROM a WHERE action IS NOT NULL""",
-    "media_inputs": "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 'b/one.mp4'), (1, 0, 'b/two.MP4'), (2, 1, 'a/x.tar.WAV'), (3, 1, 'b/.mkv'), (4, 2, 'a/Z.opus'), (5, 2, 'a/z.opus')) v(position, group_pos, path)",
-    "output_collisions": "SELECT lower(source || '/' || text[1:3]) AS folded, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "media_inputs": """WITH f AS (SELECT doc_id % 3 AS group_pos, 'in/' || source || '/' || (doc_id % 700) || CASE doc_id % 4 WHEN 0 THEN '.MP4' ELSE '.tar.wav' END AS path FROM documents WHERE doc_id % 4 IN (0, 2)),
+               o AS (SELECT path, min(group_pos) AS group_pos FROM f GROUP BY path)
+        SELECT row_number() OVER (ORDER BY group_pos, path) - 1 AS position, group_pos, path FROM o""",
+    "output_collisions": "SELECT sha256(lower(text)) AS folded, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY lower(text) HAVING count(*) > 1",
 }

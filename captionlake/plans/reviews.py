@@ -13,6 +13,7 @@ from captionlake.sources import files as S
 from captionlake.sources import fixtures as X
 
 CHUNK, SPAN = 1500, 2500
+SMALL_CHUNK, SMALL_SPAN = 300, 700
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,20 +60,22 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spoken_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.spoken_urls(_spoken(spark, sf_dir)).withColumn("confidence", F.round(F.col("confidence") * 100).cast("long")).withColumnRenamed("confidence", "percent")
+    """Addresses in the conversations as they are; tests compare the grammar with small cases, which SQL can't express."""
+    return V.spoken_urls(_words(spark, sf_dir))
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.conversation_segments(spark, sf_dir).filter(F.char_length("text") <= CHUNK)
+def planted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses where one is laid over every few words and no other can stand, so that SQL knows them."""
+    return V.spoken_urls(_spoken(spark, sf_dir)).withColumn("confidence", F.round(F.col("confidence") * 100).cast("long")).withColumnRenamed("confidence", "percent")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of turns of at most CHUNK characters, as its SQL has it; whole_chunks takes all turns."""
-    return K.chunked(_segments(spark, sf_dir), CHUNK)
+    """Chunks so small that most turns are cut between words."""
+    return K.chunked(X.conversation_segments(spark, sf_dir), SMALL_CHUNK)
 
 
 def analysis_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.span_groups(K.chunked(_segments(spark, sf_dir), CHUNK), SPAN)
+    return K.span_groups(chunks(spark, sf_dir), SMALL_SPAN)
 
 
 def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,59 +95,50 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chapters(topics)
 
 
-_FOLD = """walk AS (
-        SELECT transcript_id, n, start_ms, end_ms, text, 1 AS c, length(text) AS len, s AND length(text) >= {half} AS closed FROM ranked WHERE n = 1
-        UNION ALL
-        SELECT r.transcript_id, r.n, r.start_ms, r.end_ms, r.text, CASE WHEN alone THEN c + 1 ELSE c END, CASE WHEN alone THEN length(r.text) ELSE len + 1 + length(r.text) END,
-               r.s AND CASE WHEN alone THEN length(r.text) ELSE len + 1 + length(r.text) END >= {half}
-        FROM (SELECT k.*, r AS r, closed OR len + 1 + length(r.text) > {size} OR (r.s AND len >= {half}) AS alone FROM walk k JOIN ranked r ON r.transcript_id = k.transcript_id AND r.n = k.n + 1))"""
-_CHUNKS = (
-    WORDS
-    + rf""",
-    spans AS (SELECT transcript_id, segment_index, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM timed GROUP BY ALL),
-    turns AS (SELECT transcript_id, segment_index, start_ms, end_ms, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM spans JOIN conversations ON conv_id = transcript_id AND turn = segment_index WHERE length(text) <= {CHUNK}),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY segment_index) AS n, regexp_matches(text, '[.!?]$') AS s FROM turns),
-    {_FOLD.format(size=CHUNK, half=CHUNK // 2)},
-    chunks AS (SELECT transcript_id, (c - 1)::BIGINT AS chunk_index, arg_min(start_ms, n) AS start_ms, arg_max(end_ms, n) AS end_ms, string_agg(text, ' ' ORDER BY n) AS text FROM walk GROUP BY transcript_id, c)"""
-)
-#: As _CHUNKS, but of all turns: a longer one is cut to pieces in a walk over its words, and each piece is a chunk.
-_WHOLE = (
-    WORDS
-    + rf""",
+def chunk_sql(size: int) -> str:
+    """Chunks of all turns: one longer than size is cut to pieces in a walk over its words, and each piece is a chunk."""
+    return (
+        WORDS
+        + rf""",
     spans AS (SELECT transcript_id, segment_index, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM timed GROUP BY ALL),
     turns AS (SELECT transcript_id, segment_index, start_ms, end_ms, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM spans JOIN conversations ON conv_id = transcript_id AND turn = segment_index),
-    parts AS (SELECT w.transcript_id, w.segment_index, w.place, w.text FROM timed w JOIN turns t ON t.transcript_id = w.transcript_id AND t.segment_index = w.segment_index WHERE length(t.text) > {CHUNK}),
+    parts AS (SELECT w.transcript_id, w.segment_index, w.place, w.text FROM timed w JOIN turns t ON t.transcript_id = w.transcript_id AND t.segment_index = w.segment_index WHERE length(t.text) > {size}),
     cut AS (
         SELECT transcript_id, segment_index, place, text, 1 AS p, length(text) AS len FROM parts WHERE place = 0
         UNION ALL
-        SELECT r.transcript_id, r.segment_index, r.place, r.text, CASE WHEN len + 1 + length(r.text) > {CHUNK} THEN p + 1 ELSE p END, CASE WHEN len + 1 + length(r.text) > {CHUNK} THEN length(r.text) ELSE len + 1 + length(r.text) END
+        SELECT r.transcript_id, r.segment_index, r.place, r.text, CASE WHEN len + 1 + length(r.text) > {size} THEN p + 1 ELSE p END, CASE WHEN len + 1 + length(r.text) > {size} THEN length(r.text) ELSE len + 1 + length(r.text) END
         FROM cut k JOIN parts r ON r.transcript_id = k.transcript_id AND r.segment_index = k.segment_index AND r.place = k.place + 1),
     pieces AS (SELECT transcript_id, segment_index, p, string_agg(text, ' ' ORDER BY place) AS text FROM cut GROUP BY ALL),
     units AS (
-        SELECT transcript_id, segment_index, 0 AS p, start_ms, end_ms, text FROM turns WHERE length(text) <= {CHUNK}
+        SELECT transcript_id, segment_index, 0 AS p, start_ms, end_ms, text FROM turns WHERE length(text) <= {size}
         UNION ALL
         SELECT transcript_id, segment_index, p, start_ms, end_ms, c.text FROM pieces c JOIN spans USING (transcript_id, segment_index)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY segment_index, p) AS n, p > 0 AS piece, p = 0 AND regexp_matches(text, '[.!?]$') AS s FROM units),
     walk AS (
-        SELECT transcript_id, n, start_ms, end_ms, text, 1 AS c, length(text) AS len, piece OR (s AND length(text) >= {CHUNK // 2}) AS closed FROM ranked WHERE n = 1
+        SELECT transcript_id, n, start_ms, end_ms, text, 1 AS c, length(text) AS len, piece OR (s AND length(text) >= {size // 2}) AS closed FROM ranked WHERE n = 1
         UNION ALL
         SELECT r.transcript_id, r.n, r.start_ms, r.end_ms, r.text, CASE WHEN alone THEN c + 1 ELSE c END, CASE WHEN alone THEN length(r.text) ELSE len + 1 + length(r.text) END,
-               r.piece OR (r.s AND CASE WHEN alone THEN length(r.text) ELSE len + 1 + length(r.text) END >= {CHUNK // 2})
-        FROM (SELECT k.*, r AS r, closed OR r.piece OR len + 1 + length(r.text) > {CHUNK} OR (r.s AND len >= {CHUNK // 2}) AS alone FROM walk k JOIN ranked r ON r.transcript_id = k.transcript_id AND r.n = k.n + 1)),
+               r.piece OR (r.s AND CASE WHEN alone THEN length(r.text) ELSE len + 1 + length(r.text) END >= {size // 2})
+        FROM (SELECT k.*, r AS r, closed OR r.piece OR len + 1 + length(r.text) > {size} OR (r.s AND len >= {size // 2}) AS alone FROM walk k JOIN ranked r ON r.transcript_id = k.transcript_id AND r.n = k.n + 1)),
     chunks AS (SELECT transcript_id, (c - 1)::BIGINT AS chunk_index, arg_min(start_ms, n) AS start_ms, arg_max(end_ms, n) AS end_ms, string_agg(text, ' ' ORDER BY n) AS text FROM walk GROUP BY transcript_id, c)"""
-)
-#: The groups of chunks.
-_GROUPS = f"""g AS (
+    )
+
+
+def group_sql(size: int) -> str:
+    """The groups of chunks."""
+    return f"""g AS (
             SELECT transcript_id, chunk_index, length(text) AS chars, 0::BIGINT AS grp FROM chunks WHERE chunk_index = 0
             UNION ALL
-            SELECT c.transcript_id, c.chunk_index, CASE WHEN chars + length(c.text) > {SPAN} THEN length(c.text) ELSE chars + length(c.text) END, CASE WHEN chars + length(c.text) > {SPAN} THEN grp + 1 ELSE grp END
+            SELECT c.transcript_id, c.chunk_index, CASE WHEN chars + length(c.text) > {size} THEN length(c.text) ELSE chars + length(c.text) END, CASE WHEN chars + length(c.text) > {size} THEN grp + 1 ELSE grp END
             FROM g JOIN chunks c ON c.transcript_id = g.transcript_id AND c.chunk_index = g.chunk_index + 1)
         SELECT transcript_id, chunk_index, grp AS "group" FROM g"""
+
+
 _PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
 _KEY = "translate(regexp_replace({}, '[^0-9A-Za-z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _EDGE = "'\"''`()[]{}<>,;:'"
 
-QUERIES = {f.__name__: f for f in (low_confidence, fallback_timing, speaker_turns, term_candidates, spoken_urls, chunks, analysis_spans, whole_chunks, whole_analysis_spans, chapters)}
+QUERIES = {f.__name__: f for f in (low_confidence, fallback_timing, speaker_turns, term_candidates, spoken_urls, planted_urls, chunks, analysis_spans, whole_chunks, whole_analysis_spans, chapters)}
 SQL = {
     "low_confidence": f"WITH {WORDS} SELECT transcript_id, word_index, text, percent, start_ms, end_ms FROM timed WHERE percent < 75",
     "fallback_timing": f"""WITH {WORDS}, b AS (SELECT *, min(start_ms) OVER s AS a, max(end_ms) OVER s AS b, count(*) OVER s AS n FROM timed WINDOW s AS (PARTITION BY transcript_id, segment_index))
@@ -165,18 +159,13 @@ SQL = {
         best AS (SELECT * FROM sc WHERE score >= CASE WHEN code THEN 0.70::FLOAT ELSE 0.82::FLOAT END QUALIFY row_number() OVER (PARTITION BY o, code ORDER BY score DESC, n DESC, key, display) = 1)
         SELECT transcript_id, word_index AS candidate_index, word_index, text AS observed, display AS proposed, round(score::DOUBLE, 5) AS score
         FROM ok JOIN best USING (o, code) WHERE length(k) >= 4 AND n >= 2 AND k <> key""",
-    "spoken_urls": f"""WITH {WORDS}, n AS (SELECT *, count(*) OVER (PARTITION BY transcript_id, segment_index) AS n FROM timed)
+    "planted_urls": f"""WITH {WORDS}, n AS (SELECT *, count(*) OVER (PARTITION BY transcript_id, segment_index) AS n FROM timed)
         SELECT transcript_id, word_index + 1 AS word_index, '{" ".join(SPOKEN[1:])}' AS observed, 'example.com/docs/guide.html' AS proposed, (SELECT min(m.percent) FROM n m WHERE m.transcript_id = n.transcript_id AND m.word_index BETWEEN n.word_index + 1 AND n.word_index + {len(SPOKEN) - 1}) AS percent
         FROM n WHERE place % {EVERY} = 0 AND place + {len(SPOKEN)} < n""",
-    "chunks": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks",
-    "analysis_spans": f"""WITH RECURSIVE {_CHUNKS}, g AS (
-            SELECT transcript_id, chunk_index, length(text) AS chars, 0::BIGINT AS grp FROM chunks WHERE chunk_index = 0
-            UNION ALL
-            SELECT c.transcript_id, c.chunk_index, CASE WHEN chars + length(c.text) > {SPAN} THEN length(c.text) ELSE chars + length(c.text) END, CASE WHEN chars + length(c.text) > {SPAN} THEN grp + 1 ELSE grp END
-            FROM g JOIN chunks c ON c.transcript_id = g.transcript_id AND c.chunk_index = g.chunk_index + 1)
-        SELECT transcript_id, chunk_index, grp AS "group" FROM g""",
-    "whole_chunks": f"WITH RECURSIVE {_WHOLE} SELECT * FROM chunks",
-    "whole_analysis_spans": f"WITH RECURSIVE {_WHOLE}, {_GROUPS}",
+    "chunks": f"WITH RECURSIVE {chunk_sql(SMALL_CHUNK)} SELECT * FROM chunks",
+    "analysis_spans": f"WITH RECURSIVE {chunk_sql(SMALL_CHUNK)}, {group_sql(SMALL_SPAN)}",
+    "whole_chunks": f"WITH RECURSIVE {chunk_sql(CHUNK)} SELECT * FROM chunks",
+    "whole_analysis_spans": f"WITH RECURSIVE {chunk_sql(CHUNK)}, {group_sql(SPAN)}",
     "chapters": """SELECT user_id AS transcript_id, (event_id % 50) * 1000 AS start_ms, event_type AS title FROM events WHERE event_id % 9 <> 0 AND event_id % 3 > 0
         QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY event_id) = 1""",
 }
