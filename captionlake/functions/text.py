@@ -43,9 +43,12 @@ def ends_chunk(text: Column) -> Column:
 
 
 def phrase_pattern(find: Column) -> Column:
-    """A whole phrase, ASCII letters in any case, with no letter or number beside it."""
+    """A whole phrase, ASCII letters in any case, with no letter or number beside it.
+
+    What stands before is looked at once the phrase is found, as that is seldom.
+    """
     quoted = F.concat(F.lit(r"\Q"), F.replace(find, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.concat(F.lit(r"(?i)(?<![\p{IsAlphabetic}\p{N}])"), quoted, F.lit(r"(?![\p{IsAlphabetic}\p{N}])"))
+    return F.concat(F.lit("(?i)"), quoted, F.lit(r"(?<![\p{IsAlphabetic}\p{N}]"), quoted, F.lit(r")(?![\p{IsAlphabetic}\p{N}])"))
 
 
 def replacement(text: Column) -> Column:

@@ -72,7 +72,7 @@ def _pack(words: Column, policy: Policy) -> Column:
             (s["at"] + 1).alias("at"), s["at"].alias("first"), F.array(s["at"]).alias("lines"), size.alias("last"), w["start_ms"].alias("start"),
             F.greatest(w["end_ms"], w["start_ms"]).alias("end"), F.when(s["first"] >= 0, closed(s)).otherwise(s["done"]).alias("done"),
         )
-        return F.when(joins, grown).otherwise(begun).cast(_OPEN)
+        return F.when(joins, grown).otherwise(begun)
 
     return F.aggregate(words, empty, step, lambda s: F.when(s["first"] >= 0, closed(s)).otherwise(s["done"]))
 

@@ -168,22 +168,40 @@ def spoken_addresses(texts: list[str]) -> list[tuple[int, int, str]]:
     return found
 
 
+def _addresses(texts: pd.Series, before: pd.Series) -> pd.Series:
+    """Addresses in each list of words that don't begin among the first so many, which are there to be looked back at."""
+    found = [[(a, b, url) for a, b, url in spoken_addresses([t or "" for t in list_]) if a >= n] for list_, n in zip(texts, before, strict=True)]
+    return pd.Series([[{"first": a, "last": b, "url": url} for a, b, url in rows] for rows in found])
+
+
 def spoken_urls(words: DataFrame) -> DataFrame:
-    """words: transcript_id, word_index, text, confidence. word_index, observed, proposed, confidence (least) of each spoken address."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_index", kind="stable")
-        texts = [t or "" for t in pdf["text"]]
-        index, confidence = pdf["word_index"].tolist(), pdf["confidence"]
-        rows = [(index[a], " ".join(t.strip() for t in texts[a : b + 1]), url, confidence.iloc[a : b + 1].min()) for a, b, url in spoken_addresses(texts)]
-        out = pd.DataFrame(rows, columns=["word_index", "observed", "proposed", "confidence"])
-        out.insert(0, "transcript_id", pdf["transcript_id"].iloc[0])
-        return out.astype({"confidence": "float32"})
-
-    # Only transcripts with a word of the kind that joins an address go to Python.
-    joint = F.max(trim_space(F.col("text")).rlike(r"^[\s\"'`()\[\]{}<>,;:!?]*(\.|(?i)dot\b)")).over(Window.partitionBy("transcript_id"))
-    some = words.select("transcript_id", "word_index", "text", "confidence").withColumn("joint", joint).filter("joint").drop("joint")
-    return some.groupBy("transcript_id").applyInPandas(run, "transcript_id long, word_index long, observed string, proposed string, confidence float")
+    """words: transcript_id, word_index, text, confidence. word_index, observed, proposed, confidence (least) of each spoken address.
+
+    An address is a word and those right after it that join on: with a dot before them, as "dot" or
+    "slash", or after one of these. Such a run, with the words that stand around it, is all that
+    goes to Python, and no run is a part of another's address.
+    """
+    order = Window.partitionBy("transcript_id").orderBy("word_index")
+    edge = re.escape(_EDGE)
+    words = words.withColumn("text", F.coalesce("text", F.lit("")))
+    token = F.lower(F.regexp_replace("text", f"^[{edge}]+|[{edge}]+$", ""))
+    open_ = token.isin("dot", "slash", "/")
+    joins = open_ | token.rlike(rf"^\.{_C}\.*$") | F.coalesce(F.lag(open_).over(order), F.lit(False))
+    marked = words.select("transcript_id", "word_index", "text", "confidence", joins.alias("joins"))
+    near = [F.lag("text", 2).over(order).alias("back2"), F.lag("text", 1).over(order).alias("back1"), F.lead("text", 1).over(order).alias("ahead")]
+    run = F.sum((~F.col("joins")).cast("int")).over(order)
+    placed = marked.withColumn("run", run).select("*", *near, F.lead("joins").over(order).alias("next_joins"))
+    some = placed.filter(F.col("joins") | F.coalesce("next_joins", F.lit(False)))
+    row = F.struct("word_index", "text", "confidence", "back2", "back1", "ahead")
+    runs = some.groupBy("transcript_id", "run").agg(F.array_sort(F.collect_list(row)).alias("w"))
+    back = F.filter(F.array(F.col("w")[0]["back2"], F.col("w")[0]["back1"]), lambda t: t.isNotNull())
+    ahead = F.filter(F.array(F.element_at("w", -1)["ahead"]), lambda t: t.isNotNull())
+    spread = runs.select("transcript_id", "w", F.size(back).alias("n"), F.concat(back, F.transform("w", lambda x: x["text"]), ahead).alias("texts"))
+    found = F.pandas_udf(_addresses, "array<struct<first:int,last:int,url:string>>")
+    met = spread.withColumn("found", found("texts", "n")).select("transcript_id", "w", "n", "texts", F.explode("found").alias("f"))
+    own = F.slice("texts", F.col("f.first") + 1, F.col("f.last") - F.col("f.first") + 1)
+    least = F.array_min(F.transform(F.slice("w", F.col("f.first") - F.col("n") + 1, F.col("f.last") - F.col("f.first") + 1), lambda x: x["confidence"]))
+    return met.select("transcript_id", F.get("w", F.col("f.first") - F.col("n"))["word_index"].alias("word_index"), F.array_join(F.transform(own, trim_space), " ").alias("observed"), F.col("f.url").alias("proposed"), least.alias("confidence"))
 
 
 def report(parts: dict[str, DataFrame]) -> DataFrame:

@@ -59,7 +59,7 @@ WORD_RULES = [("the", "THE"), ("of the", "OF"), ("in", "IN ")]
 def corrected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word corrections; tests compare them with the literal search, which SQL can't express."""
     done = R.corrected_words(X.indexed(X.conversation_words(spark, sf_dir)), WORD_RULES)
-    return done.filter("text <> ''").select("transcript_id", "segment_index", "word_index", "text", "start_ms", "end_ms", "source_start", "source_end")
+    return done.withColumn("counts", F.array_join("counts", ","))
 
 
 def _values(rows: list[tuple]) -> str:

@@ -131,3 +131,13 @@ def test_spoken_urls_whatever_mark_a_joint_follows(spark):
     rows = [(n, 0, place, t, 0, 1, 0.5, None) for n, words in texts.items() for place, t in enumerate(words)]
     got = {r.transcript_id: (r.word_index, r.proposed) for r in V.spoken_urls(spark.createDataFrame(rows, WORDS)).collect()}
     assert got == {n: (1, "example.com") for n in texts}
+
+
+def test_spoken_urls_equal_a_scan_of_whole_transcripts(spark):
+    rng = random.Random(12)
+    pool = ["visit", "go", "to", "www", "at", "site", "a-b", ".com", ".io.", "dot", "Dot", "slash", "/", "docs", "", ",", "x.y", "(dot", "com)", "url", "end."]
+    texts = {t: [rng.choice(pool) for _ in range(rng.randint(0, 60))] for t in range(150)}
+    rows = [(t, 0, n, w or None, 0, 1, (n % 7) / 8, None) for t, ws in texts.items() for n, w in enumerate(ws)]
+    got = sorted((r.transcript_id, r.word_index, r.observed, r.proposed, r.confidence) for r in V.spoken_urls(spark.createDataFrame(rows, WORDS)).collect())
+    want = sorted((t, a, " ".join(ws[a : b + 1]), url, min((n % 7) / 8 for n in range(a, b + 1))) for t, ws in texts.items() for a, b, url in V.spoken_addresses(ws))
+    assert got == want and len(want) > 100
