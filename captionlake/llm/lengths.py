@@ -6,7 +6,10 @@ context limit is one look-up: ids at all lengths up to the limit, and the limit
 document. The sums go by blocks of lengths: within a block by a window of its own, over the blocks
 by their totals, so no task holds all lengths.
 
-A null or empty text has length 0. Repeated rows count each. An empty table gives no rows.
+Context limits that are no document's length are answered by rows of their own, of no documents.
+
+A null or empty text has length 0. Repeated rows count each. An empty table gives no rows but those of
+the limits asked for, with totals of zero. Other columns play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from captionlake.llm import bpe as bpe_
 from captionlake.llm.scratch import stored
 
 BLOCK = 4096
+#: Context limits that the registered query answers beside all lengths that occur.
+LIMITS = tuple(1 << n for n in range(7, 21))
 
 
 def lengths(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
@@ -60,23 +65,27 @@ def suffix_sums(hist: DataFrame, *, block: int = BLOCK) -> DataFrame:
     )
 
 
+def with_limits(hist: DataFrame, limits: DataFrame) -> DataFrame:
+    """hist with a row for each of limits (one column, limit: non-negative numbers) that isn't there, of no documents."""
+    asked = limits.select(F.col("limit").cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("docs"))
+    return hist.select("n_tokens", "docs").union(asked).groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
+
+
 def answers(sums: DataFrame) -> DataFrame:
-    """sums and, with each length as the context limit: tokens_truncated (ids left when every document is cut there) and share_at_most (of documents no longer)."""
+    """sums and, with each length as the context limit: tokens_truncated (ids left when every document is cut there) and share_at_most (of documents no longer; null if there are none)."""
     beyond = F.col("docs_at_least") - F.col("docs")
     tokens_beyond = F.col("tokens_at_least") - F.col("docs") * F.col("n_tokens")
     cut = F.col("all_tokens") - tokens_beyond + beyond * F.col("n_tokens")
-    return sums.select("*", cut.alias("tokens_truncated"), ((F.col("all_docs") - beyond) / F.col("all_docs")).alias("share_at_most"))
+    share = (F.col("all_docs") - beyond) / F.nullif(F.col("all_docs"), F.lit(0))
+    return sums.select("*", cut.alias("tokens_truncated"), share.alias("share_at_most"))
 
 
 def truncated(sums: DataFrame, limits: DataFrame) -> DataFrame:
     """limits: one column, limit, any non-negative numbers. limit, tokens_truncated, docs_truncated; zero for an empty corpus."""
-    # The first length above the limit has all that is needed; block by block, so no pair of all limits and all lengths is made.
-    marks = limits.select(F.col("limit").alias("at"), F.lit(0).alias("kind")).distinct().unionByName(sums.select((F.col("n_tokens") - 1).alias("at"), F.lit(1).alias("kind"), "docs_at_least", "tokens_at_least", "all_tokens"), allowMissingColumns=True)
-    up = Window.orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    first = [F.first(c, ignorenulls=True).over(up).alias(c) for c in ("docs_at_least", "tokens_at_least")]
-    got = marks.select("at", "kind", *first, F.max("all_tokens").over(Window.partitionBy()).alias("all_tokens")).filter("kind = 0")
-    docs, zero = F.coalesce("docs_at_least", F.lit(0)), F.lit(0).cast("long")
-    return got.select(F.col("at").alias("limit"), (F.coalesce("all_tokens", zero) - F.coalesce("tokens_at_least", zero) + docs * F.col("at")).alias("tokens_truncated"), docs.cast("long").alias("docs_truncated"))
+    asked = limits.select(F.col("limit").cast("long").alias("limit")).distinct()
+    every = answers(suffix_sums(with_limits(sums, asked)))
+    beyond = F.col("docs_at_least") - F.col("docs")
+    return every.join(asked, F.col("n_tokens") == F.col("limit")).select("limit", "tokens_truncated", beyond.alias("docs_truncated"))
 
 
 def quantile(sums: DataFrame, share: float | Column) -> DataFrame:

@@ -35,7 +35,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths.answers(lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents"), vocabulary())))
+    """All lengths that occur, and a list of context limits."""
+    hist = lengths.histogram(table(spark, sf_dir, "documents"), vocabulary())
+    limits = spark.createDataFrame([(n,) for n in lengths.LIMITS], "limit long")
+    return lengths.answers(lengths.suffix_sums(lengths.with_limits(hist, limits)))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
