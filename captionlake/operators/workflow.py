@@ -66,9 +66,6 @@ def correct(artifacts: DataFrame, rules_: DataFrame, dry_run: bool = False) -> D
     return told.drop("content") if dry_run else told
 
 
-ORDER = ["low-confidence", "spoken-url", "term-mismatch", "possible-fallback-timing", "ambiguous-speaker-turn", "unmatched-rule", "scope-conflict"]
-
-
 def review_report(words: DataFrame, segments: DataFrame, known: DataFrame | None = None, rules_: DataFrame | None = None, below: float = 0.75) -> DataFrame:
     """All findings of each transcript in the order in which a reviewer reads them: transcript_id, place, kind, candidate_id, segment_index, word_index, observed, proposed, confidence.
 
@@ -138,6 +135,13 @@ def resumed(journals: DataFrame, receipts_: DataFrame) -> DataFrame:
     return batches.resume_plan(batches.reconciled(batches.items_of(journals), receipts_))
 
 
+def planned(inputs: DataFrame, workspaces: DataFrame, rules_: DataFrame) -> DataFrame:
+    """inputs: position, source; workspaces: workspace, source; rules_: workspace and more. For each input, in its place: the workspace, if it has just one, and how many rules wait there."""
+    found = attest.located(inputs, workspaces)
+    waiting = rules_.groupBy("workspace").agg(F.count(F.lit(1)).alias("rules"))
+    return inputs.join(found, "source", "left").join(waiting, "workspace", "left").select("position", "source", "workspace", F.coalesce("rules", F.lit(0)).alias("rules"))
+
+
 def batch_table(journals: DataFrame, leases: DataFrame) -> DataFrame:
     """Each journal in the order of a listing: scope, place, path, batch_id, complete, incomplete, activity, error."""
     counted = batches.counts(batches.items_of(journals))

@@ -211,6 +211,30 @@ def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.promoted(rules, wanted, target, manifests, actual)
 
 
+def planned_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as inputs; each third has a workspace, each ninth two; its rules are as many as the last digit of its id."""
+    pages = X.table(spark, sf_dir, "pages").select(F.col("page_id").alias("position"), F.concat(F.lit("s"), F.col("page_id").cast("string")).alias("source"))
+    own = pages.filter("position % 3 = 0").select(F.concat(F.lit("w"), F.col("position").cast("string")).alias("workspace"), "source")
+    more = pages.filter("position % 9 = 0").select(F.concat(F.lit("v"), F.col("position").cast("string")).alias("workspace"), "source")
+    rules = pages.select(F.concat(F.lit("w"), F.col("position").cast("string")).alias("workspace"), F.explode(F.sequence(F.lit(0), F.col("position") % 10)).alias("n")).filter("n > 0")
+    return W.planned(pages, own.union(more), rules)
+
+
+def memo_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and what is remembered of them: a third of the entries is cut short, a fifth is missing."""
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"))
+    json = F.to_json(F.struct((F.col("doc_id") * 2).alias("n")))
+    raw = docs.filter("doc_id % 5 > 0").select("key", F.when(F.col("doc_id") % 3 == 0, F.substring(json, 1, 4)).otherwise(json).alias("json"))
+    known, fresh = A.memo_split(docs, A.memo_entries(raw, "n long"))
+    return known.select("doc_id", F.col("value.n").alias("n")).union(fresh.select("doc_id", F.lit(-1).cast("long")))
+
+
+def format_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = X.table(spark, sf_dir, "documents")
+    wanted = F.array(F.upper("lang"), F.when(F.col("doc_id") % 2 == 0, "SRT").otherwise("vtt"), F.lit("srt"), F.col("lang"))
+    return docs.select("doc_id", F.array_join(W.formats_of(wanted), ",").alias("formats"))
+
+
 _PLAIN = """plain AS (SELECT conv_id AS transcript_id, regexp_replace(string_agg(regexp_replace(text, '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g') || chr(10), '' ORDER BY turn), '\\n+$', chr(10)) AS t
         FROM conversations WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 0 GROUP BY conv_id)"""
 
@@ -261,7 +285,7 @@ _KEY = "translate(regexp_replace({}, '[^0-9A-Za-z]', '', 'g'), 'ABCDEFGHIJKLMNOP
 
 QUERIES = {f.__name__: f for f in (
     process_artifacts, corrected_artifacts, correction_dry_run, effective_rules, review_report, accepted_findings, receipt_problems, artifact_counts, run_findings, journal_listing, resumed_items, batch_outcome, discovered_files, discovered_terms,
-    sibling_transcripts, located_workspaces, promotions,
+    sibling_transcripts, located_workspaces, promotions, planned_inputs, memo_hits, format_lists,
 )}
 SQL = {
     "process_artifacts": f"""WITH RECURSIVE {PC.REPAIRED}, {_CUES}, {_PLAIN}, {_replaced('plain', 'transcript_id', 'transcript_id')}, every AS (SELECT transcript_id FROM plain)
@@ -311,6 +335,9 @@ SQL = {
         SELECT root, w || '/transcript.txt' AS path, length FROM l JOIN o USING (root) WHERE w <> own AND page_id % 4 > 0 AND length <= 1000000""",
     "located_workspaces": """WITH s AS (SELECT source || '-' || lang AS source, CASE WHEN doc_id % 40 = 0 THEN 'w' || doc_id END AS w FROM documents)
         SELECT source, count(w) AS n, CASE WHEN count(w) = 1 THEN min(w) END AS workspace FROM s GROUP BY source""",
+    "planned_inputs": "SELECT page_id AS position, 's' || page_id AS source, CASE WHEN page_id % 3 = 0 AND page_id % 9 > 0 THEN 'w' || page_id END AS workspace, CASE WHEN page_id % 3 = 0 AND page_id % 9 > 0 THEN page_id % 10 ELSE 0 END AS rules FROM pages",
+    "memo_hits": "SELECT doc_id, CASE WHEN doc_id % 5 > 0 AND doc_id % 3 > 0 THEN doc_id * 2 ELSE -1 END AS n FROM documents",
+    "format_lists": "SELECT doc_id, lower(lang) || CASE WHEN doc_id % 2 = 0 THEN ',srt' ELSE ',vtt,srt' END AS formats FROM documents",
     "promotions": """WITH t AS (SELECT lower(url) AS k, 'page ' || (min(page_id) + CASE WHEN min(page_id) % 8 = 0 THEN 0 ELSE 1 END) AS known FROM pages WHERE page_id % 4 = 0 GROUP BY url)
         SELECT page_id AS receipt_id, CASE WHEN page_id % 6 = 5 THEN 'unknown phrase' ELSE url END AS find, CASE WHEN page_id % 6 < 5 THEN 'page ' || page_id END AS replace,
                CASE WHEN page_id % 13 = 0 OR page_id % 7 = 0 THEN 'changed' WHEN page_id % 6 = 5 THEN 'unknown' WHEN known IS NULL THEN 'added' WHEN known = 'page ' || page_id THEN 'present' ELSE 'conflict' END AS outcome
