@@ -210,7 +210,7 @@ def links(fps: DataFrame, *, radius: int = 2, tile: int = TILE, within: int | No
             out = []
             for i, same in enumerate(batch.column(2).to_pylist()):
                 left, right = ([values[ends[i] : ends[i + 1]] for ends, values in side] for side in sides)
-                more = tuple(x[2].view(np.uint64).reshape(len(x[0]), -1) for x in (left, right)) if wide else None
+                more = tuple(x[2].view(np.uint64).reshape(len(x[0]), -1)[:, 1:] for x in (left, right)) if wide else None  # the first is fp
                 found = tile_links(left[0].view(np.uint64), right[0].view(np.uint64), same, radius, more, within or 0)
                 if len(found[0]):
                     names = left[wide] if same else np.concatenate([left[wide], right[wide]])

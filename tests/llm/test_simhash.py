@@ -179,3 +179,28 @@ def test_similar_equals_brute_force_near_the_limit(spark, monkeypatch, part):
     got = {r.doc_id for r in simhash.similar(docs).collect() if r.kept}
     assert got == set(root)
     assert 10 < len(got) < len(rows) - 10
+
+
+def test_recall_of_pairs_at_the_limit(spark):
+    """Pairs of their own words each, of all lengths: nearly all at 0.80 to 0.85 are linked, none below 0.8."""
+    rng = random.Random(15)
+    rows, near, far = [], [], []
+    for g in range(500):
+        size = rng.choice([9, 20, 60, 150, 400, 700])
+        base = [f"g{g}w{n}" for n in range(size)]
+        words = list(base) if size > 20 else base[: size - rng.randint(1, 2)]
+        for _ in range(0 if size <= 20 else rng.randint(size // 65, max(1, size // 40))):
+            words[rng.randrange(size)] = f"x{rng.randint(0, 10**9)}"
+        rows += [" ".join(base), " ".join(words)]
+        (near if 0.8 <= (j := jaccard(*rows[-2:])) <= 0.85 else far if j < 0.8 else []).append(len(rows) - 2)
+    assert len(near) > 100 and len(far) > 50
+    kept = {r.doc_id for r in simhash.similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect() if r.kept}
+    assert all(i in kept and i + 1 in kept for i in far)
+    assert sum(i + 1 not in kept for i in near) >= 0.95 * len(near)
+
+
+def test_tiles_of_sizes_too_far_apart_are_skipped_and_no_other(spark):
+    sizes = spark.range(1, 3000).select(F.col("id").alias("n"), simhash._size_class(F.col("id"), 0.8).alias("c")).collect()
+    by = {r.n: r.c for r in sizes}
+    assert all(abs(by[n] - by[m]) <= 1 for n in range(1, 2999) for m in range(n, min(2999, int(n / 0.8) + 1), 1 + n // 50) if n >= 0.8 * m)
+    assert by[2000] - by[1000] > 1
