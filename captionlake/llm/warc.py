@@ -29,6 +29,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,10 +90,25 @@ def _write(archives: DataFrame, path: str, end: bytes, compression: str) -> None
     rows.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", compression).text(path)
 
 
-def _plain(content: pa.BinaryScalar) -> bytes:
-    """The bytes of an archive, compressed or not."""
-    data = content.as_buffer().to_pybytes()
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+PIECE = 8192  # bytes of a compressed archive that are looked at beyond a member's end, at most
+
+
+def _members(content: pa.BinaryScalar, name: str) -> Iterator[bytes]:
+    """The parts of an archive: its gzip members one by one, or all of it where it isn't compressed."""
+    data = memoryview(content.as_buffer())
+    if data[:2] != b"\x1f\x8b":
+        yield data.tobytes()
+        return
+    at = 0
+    while at < len(data):
+        one, parts = zlib.decompressobj(wbits=31), []
+        while not one.eof and at < len(data):
+            parts.append(one.decompress(data[at : at + PIECE]))
+            at = min(len(data), at + PIECE)
+        if not one.eof:
+            raise ValueError(f"{name}: the archive is cut short")
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -198,18 +214,19 @@ def _whole(text: str | None) -> int | None:
 ROW = "record_id string, uri string, ip string, stamp string, page_id long, head binary, payload binary, payload_digest string, payload_sha256 binary, payload_bytes long"
 
 
-def read_arc(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
-    """A row for each record of the ARC files at path, with the fields that WARC asks for."""
+def read_arc(spark: SparkSession, path: str, *, with_payload: bool = True, with_digests: bool = True) -> DataFrame:
+    """A row for each record of the ARC files at path, with the fields that WARC asks for; payload and digests are null where they aren't asked for."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
-                for r in parse_arc(_plain(content), name):
+                for r in parse_arc(b"".join(_members(content, name)), name):
                     head, payload = split_http(bytes(r.block))
                     own = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{r.offset}")
                     page_id = _whole(http_field(head, "X-Page-Id"))
-                    rows.append((f"<urn:uuid:{own}>", r.url, r.ip, _stamp(r.date), page_id, head, payload if with_payload else None, digest(payload), hashlib.sha256(payload).digest(), len(payload)))
+                    digests = (digest(payload), hashlib.sha256(payload).digest()) if with_digests else (None, None)
+                    rows.append((f"<urn:uuid:{own}>", r.url, r.ip, _stamp(r.date), page_id, head, payload if with_payload else None, *digests, len(payload)))
                     size += len(r.block)
                     if size > ARCHIVE // 2:
                         yield _batch(rows)
@@ -251,8 +268,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, at_least: int
     first = first.select(*same, F.col("first.record_id").alias("to_id"), F.col("first.uri").alias("to_uri"), F.col("first.stamp").alias("to_stamp"))
     # Written first, so that nothing is grouped on the way to the join and Spark can split a hot payload's rows.
     types = facts.select("record_id", *same).join(stored(first, "warc-first"), same, "left")
-    types = types.select("record_id", *(F.when(F.col("to_id") != F.col("record_id"), F.col(c)).alias(c) for c in ("to_id", "to_uri", "to_stamp")))
-    rows = read_arc(spark, arc_path).join(types, "record_id")
+    types = types.select("record_id", "payload_digest", *(F.when(F.col("to_id") != F.col("record_id"), F.col(c)).alias(c) for c in ("to_id", "to_uri", "to_stamp")))
+    rows = read_arc(spark, arc_path, with_digests=False).drop("payload_digest", "payload_sha256").join(types, "record_id")
     names = ["record_id", "uri", "ip", "stamp", "head", "payload", "payload_digest", "to_id", "to_uri", "to_stamp"]
 
     def run(batches):
@@ -305,7 +322,7 @@ def read_warc(spark: SparkSession, path: str, *, with_payload: bool = False) ->
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
-                for fields, block in parse_warc(_plain(content), name):
+                for fields, block in (record for member in _members(content, name) for record in parse_warc(member, name)):
                     if (kind := fields["warc-type"]) not in ("response", "revisit"):
                         continue
                     head, payload = split_http(block)
