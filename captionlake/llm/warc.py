@@ -95,7 +95,7 @@ PIECE = 8192  # bytes of a compressed archive that are looked at beyond a member
 
 def _members(content: pa.BinaryScalar, name: str) -> Iterator[bytes]:
     """The parts of an archive: its gzip members one by one, or all of it where it isn't compressed."""
-    data = memoryview(content.as_buffer())
+    data = memoryview(content.as_buffer()).cast("B")
     if data[:2] != b"\x1f\x8b":
         yield data.tobytes()
         return
