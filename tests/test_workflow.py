@@ -73,7 +73,7 @@ def test_review_order_and_accept(spark):
     ]
     assert [(r.kind, r.word_index) for r in report.filter("transcript_id = 2").orderBy("place").collect()] == [("possible-fallback-timing", 0), ("possible-fallback-timing", 1)]
     ids = {r.kind: r.candidate_id for r in report.filter("candidate_id is not null").collect()}
-    assert W.review_report(words, segments, terms, rules).filter(report.candidate_id == ids["spoken-url"]).count() == 1
+    assert W.review_report(words, segments, terms, rules).filter(A.F.col("candidate_id") == ids["spoken-url"]).count() == 1
     chosen = spark.createDataFrame([(1, ids["spoken-url"]), (1, ids["term-mismatch"]), (1, "stale")], "transcript_id long, candidate_id string")
     manifest = spark.createDataFrame([(1, "KUBERNETIS", "kubernetes"), (1, "example.com", "other.com")], "transcript_id long, find string, replace string")
     told = {(r.candidate_id, r.find, r.replace, r.outcome) for r in W.accept(report, chosen, manifest).collect()}
