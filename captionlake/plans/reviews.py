@@ -59,9 +59,25 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.withColumn("text", F.when(inside, F.get(F.array(*map(F.lit, SPOKEN)), at.cast("int"))).otherwise(F.regexp_replace("text", r"(?i)^[\s.]*(visit|open|at|on|website|url|link|www)\W*$", "-")))
 
 
+def _spelt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address of each page as words: of odd ids with dots before parts, of even ones with "dot" between them. Its transcript is -1 less the id."""
+    i = F.col("page_id")
+    host, path = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.rtrim(F.regexp_extract("url", "^[a-z]+://[^/?#]+/?([^?#]*)", 1), F.lit("/"))
+
+    def parts(name):
+        joined = lambda p: F.when(i % 2 > 0, F.array(F.concat(F.lit("."), p))).otherwise(F.array(F.lit("dot"), p))
+        return F.flatten(F.transform(F.split(name, r"\."), lambda p, n: F.when(n == 0, F.array(p)).otherwise(joined(p))))
+
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    spelt = F.concat(F.array(F.lit("Please"), F.lit("visit")), parts(host), F.flatten(F.transform(segments, lambda s: F.concat(F.array(F.lit("slash")), parts(s)))), F.array(F.lit("today")))
+    words = X.table(spark, sf_dir, "pages").select((-1 - i).alias("transcript_id"), F.posexplode(spelt).alias("n", "text"), ((i % 100).cast("float") / 100).cast("float").alias("confidence"))
+    return words.select("transcript_id", F.col("n").cast("long").alias("word_index"), "text", "confidence")
+
+
 def spoken_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses in the conversations as they are; tests compare the grammar with small cases, which SQL can't express."""
-    return V.spoken_urls(_words(spark, sf_dir))
+    """Addresses in the conversations as they are, which hold none, and in those of all pages, spelt as one says them."""
+    words = _words(spark, sf_dir).select("transcript_id", "word_index", "text", "confidence").union(_spelt_pages(spark, sf_dir))
+    return V.spoken_urls(words).withColumn("confidence", F.round(F.col("confidence") * 100).cast("long")).withColumnRenamed("confidence", "percent")
 
 
 def planted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +175,9 @@ SQL = {
         best AS (SELECT * FROM sc WHERE score >= CASE WHEN code THEN 0.70::FLOAT ELSE 0.82::FLOAT END QUALIFY row_number() OVER (PARTITION BY o, code ORDER BY score DESC, n DESC, key, display) = 1)
         SELECT transcript_id, word_index AS candidate_index, word_index, text AS observed, display AS proposed, round(score::DOUBLE, 5) AS score
         FROM ok JOIN best USING (o, code) WHERE length(k) >= 4 AND n >= 2 AND k <> key""",
+    "spoken_urls": """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1), '/') AS path, CASE WHEN page_id % 2 > 0 THEN ' .' ELSE ' dot ' END AS dot FROM pages)
+        SELECT -1 - page_id AS transcript_id, 2::BIGINT AS word_index, replace(host, '.', dot) || CASE WHEN path <> '' THEN ' slash ' || replace(replace(path, '.', dot), '/', ' slash ') ELSE '' END AS observed,
+               lower(host) || CASE WHEN path <> '' THEN '/' || path ELSE '' END AS proposed, page_id % 100 AS percent FROM p""",
     "planted_urls": f"""WITH {WORDS}, n AS (SELECT *, count(*) OVER (PARTITION BY transcript_id, segment_index) AS n FROM timed)
         SELECT transcript_id, word_index + 1 AS word_index, '{" ".join(SPOKEN[1:])}' AS observed, 'example.com/docs/guide.html' AS proposed, (SELECT min(m.percent) FROM n m WHERE m.transcript_id = n.transcript_id AND m.word_index BETWEEN n.word_index + 1 AND n.word_index + {len(SPOKEN) - 1}) AS percent
         FROM n WHERE place % {EVERY} = 0 AND place + {len(SPOKEN)} < n""",
