@@ -56,7 +56,8 @@ def _ranges(spelt: str) -> list[range]:
     return [range(a, b + 1) for a, b in ends]
 
 
-_INERT = re.compile("([" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in _ranges(INERT_MARKS)) + "])")
+_SPANS = "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in _ranges(INERT_MARKS))
+_INERT = re.compile(f"([{_SPANS}])")
 _LOWER = {c: c + int(step, 16) for spelt, _, step in (x.partition(":") for x in LOWER_17.split()) for c in _ranges(spelt)[0]}
 
 
@@ -86,6 +87,18 @@ def _mixed() -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+@functools.cache
+def _rare() -> np.ndarray:
+    """For each code point whether it is one that Python's tables treat otherwise than the library's."""
+    rare = np.zeros(sys.maxunicode + 1, bool)
+    rare[[*_LOWER, *(c for r in _ranges(INERT_MARKS) for c in r)]] = True
+    return rare
+
+
+def _has_rare(text: str) -> bool:
+    return bool(_rare()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
 def _byte_chars() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -213,9 +226,10 @@ class WordBpe:
     def _plain(self, text: str) -> str:
         if text.isascii():
             return text.lower()
-        parts = _INERT.split(text) if _INERT.search(text) else [text]
-        normal = "".join(p if n % 2 else unicodedata.normalize("NFC", p) for n, p in enumerate(parts))
         # Lower-casing goes character by character: no final form of sigma.
+        if not _has_rare(text):
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        normal = "".join(p if n % 2 else unicodedata.normalize("NFC", p) for n, p in enumerate(_INERT.split(text)))
         return normal.replace("Σ", "σ").lower().translate(_LOWER)
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
