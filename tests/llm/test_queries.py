@@ -17,6 +17,9 @@ COLUMNS = {
     "op5_simhash": "doc_id fingerprint component_id", "op6_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op7_warc": "page_id payload_bytes payload_digest record_type refers_to", "op8_line_dedup": "doc_id n_lines n_dropped kept_sha256",
     "op9_quality": "doc_id held_out score predicted", "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op13_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
 PER_DOCUMENT = ["op1_exact_dedup", "op5_simhash", "op6_bpe", "op8_line_dedup", "op9_quality", "op10_sharding"]
 
