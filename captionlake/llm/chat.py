@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,8 +57,12 @@ class Template:
                 raise ValueError(f"what closes a turn has to hold a control string: {close!r}")
 
 
-def _spelt(control: str, marks: str) -> str:
-    return re.escape(control[0]) + marks + re.escape(control[1:])
+def _after(template: Template) -> dict[str, str]:
+    """For each first character of a control string, a pattern for what may follow it."""
+    rest: dict[str, list[str]] = {}
+    for control in template.controls:
+        rest.setdefault(control[0], []).append(re.escape(control[1:]))
+    return {re.escape(first): f"(?:{'|'.join(after)})" for first, after in rest.items()}
 
 
 def escaped(text: Column, control: str) -> Column:
@@ -66,8 +71,15 @@ def escaped(text: Column, control: str) -> Column:
 
 
 def unescaped(text: Column, template: Template) -> Column:
-    one = "|".join(f"(?<={re.escape(c[0])})\\\\(?=\\\\*{re.escape(c[1:])})" for c in template.controls)
-    return F.regexp_replace(text, F.lit(one), F.lit(""))
+    # The pattern begins with what is rare, and is not tried where there is none.
+    behind = "|".join(f"(?<={first}\\\\)(?=\\\\*{after})" for first, after in _after(template).items())
+    return F.when(text.contains(MARK), F.regexp_replace(text, F.lit(f"\\\\(?:{behind})"), F.lit(""))).otherwise(text)
+
+
+def holds_control(text: Column, template: Template) -> Column:
+    one = "|".join(f"{first}{after}" for first, after in _after(template).items())
+    first = reduce(lambda a, b: a | b, (text.contains(c) for c in {c[0]: None for c in template.controls}))
+    return first & text.rlike(one)
 
 
 def _escaped_all(text: Column, template: Template) -> Column:
@@ -93,25 +105,34 @@ def pieces(formatted: Column, template: Template) -> Column:
     return F.regexp_extract_all(formatted, F.lit(f"(?s)\\G(?:{turn})"), F.lit(0))
 
 
-def _read(piece: Column, template: Template) -> Column:
-    """role and text of one marked turn; the text is null where it holds a control string."""
+def _read(found: Column, template: Template) -> Column:
+    """role and text of each marked turn; the text is null where it holds a control string. Step by step, as what a lambda is given is worked out once."""
     before, after, close = template.other
-    named = F.locate(after, piece)
-    role, begin, shut = unescaped(piece.substr(F.lit(len(before) + 1), named - len(before) - 1), template), named + len(after), F.lit(len(close))
-    for name, opens, closes in sorted(template.forms, key=lambda f: len(f[1])):
-        here = piece.startswith(opens)
-        if len(opens) < len(before):
-            here &= ~piece.startswith(before)
-        role, begin, shut = (F.when(here, x).otherwise(y) for x, y in ((F.lit(name), role), (F.lit(len(opens) + 1), begin), (F.lit(len(closes)), shut)))
-    body = piece.substr(begin, F.char_length(piece) - begin + 1 - shut)
-    raw = "|".join(_spelt(c, "") for c in template.controls)
-    return F.struct(role.alias("role"), F.when(~body.rlike(raw), unescaped(body, template)).alias("text"))
+    shape = lambda role, begin, shut: F.struct(role.alias("role"), begin.alias("begin"), shut.alias("shut"))
+
+    def form(piece: Column) -> Column:
+        named = F.locate(after, piece)
+        own = shape(unescaped(piece.substr(F.lit(len(before) + 1), named - len(before) - 1), template), named + len(after), F.lit(len(close)))
+        for name, opens, closes in sorted(template.forms, key=lambda f: len(f[1])):
+            here = piece.startswith(opens)
+            if len(opens) < len(before):
+                here &= ~piece.startswith(before)
+            own = F.when(here, shape(F.lit(name), F.lit(len(opens) + 1), F.lit(len(closes)))).otherwise(own)
+        return F.struct(piece.alias("piece"), own.alias("f"))
+
+    def body(x: Column) -> Column:
+        return F.struct(x["f"]["role"].alias("role"), x["piece"].substr(x["f"]["begin"], F.char_length(x["piece"]) - x["f"]["begin"] + 1 - x["f"]["shut"]).alias("body"))
+
+    def text(x: Column) -> Column:
+        return F.struct(x["role"].alias("role"), F.when(~holds_control(x["body"], template), unescaped(x["body"], template)).alias("text"))
+
+    return F.transform(F.transform(F.transform(found, form), body), text)
 
 
 def parsed(formatted: Column, template: Template = Template()) -> Column:
     """The turns (role, text) of a formatted text; null where it isn't one turn after another."""
     found = pieces(formatted, template)
-    return F.when(F.array_join(found, "") == formatted, F.transform(found, lambda p: _read(p, template)))
+    return F.when(F.array_join(found, "") == formatted, _read(found, template))
 
 
 def format_conversations(turns: DataFrame, template: Template = Template(), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -147,8 +168,9 @@ def read_back(formatted: DataFrame, template: Template = Template(), id_col: str
     """What format_conversations has written: the id, formatted, turns (role, text), loss_texts: the text under each span of the mask, unescaped."""
     split = formatted.select(id_col, "formatted", "loss", pieces(F.col("formatted"), template).alias("pieces"))
     # A span lies in one turn: it is cut from that piece, not from the whole text.
-    under = F.transform("loss", lambda s: unescaped(F.get("pieces", s["turn"]).substr((s["start"] - s["turn_start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), template))
-    return split.select(id_col, "formatted", F.transform("pieces", lambda p: _read(p, template)).alias("turns"), under.alias("loss_texts"))
+    cut = F.transform("loss", lambda s: F.get("pieces", s["turn"]).substr((s["start"] - s["turn_start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    under = F.transform(cut, lambda t: unescaped(t, template))
+    return split.select(id_col, "formatted", _read(F.col("pieces"), template).alias("turns"), under.alias("loss_texts"))
 
 
 def round_trip_digests(turns: DataFrame, template: Template = Template(), id_col: str = "conv_id") -> DataFrame:
