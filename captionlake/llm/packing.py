@@ -6,9 +6,8 @@ document that fits a window, is a piece. The pieces of a block of about ``block`
 to the fewest windows that could hold them: each piece begins as a partial partition of its own,
 and the two partial partitions with the largest imbalance are merged again and again, the fullest
 windows of one with the emptiest of the other. If a window of the last one standing is above
-capacity, the number of windows rises and the block is dealt anew. Only where so many more windows
-would leave more than ``slack`` of their room empty, the longest piece of each window above capacity
-is cut where that window is full, and what is cut off goes to windows with room.
+capacity, the number of windows rises and the block is dealt anew, until all fit. So only what is
+longer than a window is ever cut.
 
 Nulls and empty texts hold the end id alone. Repeated rows are packed each. Rows may come from
 any partitioning; sequence ids are unique over all partitions but not gapless. Other columns of the
@@ -18,7 +17,6 @@ input play no part, whatever they are called. An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Sequence
@@ -33,7 +31,6 @@ from captionlake.llm import bpe as bpe_
 
 WINDOW = 2048
 BLOCK = 256
-SLACK = 0.005
 
 
 def differences(sizes: Sequence[int], k: int) -> list[list[int]]:
@@ -77,64 +74,29 @@ def differences(sizes: Sequence[int], k: int) -> list[list[int]]:
     return windows
 
 
-Piece = tuple[int, int, int]  # the place of a size, where the piece begins in it, and its length
-
-
-def pack_block(sizes: Sequence[int], window: int, slack: float = SLACK) -> list[list[Piece]]:
-    """sizes, none above window, in near-equal windows of that capacity, as few and as little cut as differencing finds."""
+def pack_block(sizes: Sequence[int], window: int) -> list[list[int]]:
+    """sizes, none above window, in near-equal windows of that capacity: the places of each window's members. The number of windows rises until all fit."""
     total = sum(sizes)
-    k = least = max(1, -(-total // window))
-    most = max(least, math.floor(total * (1 + slack) / window))
+    k = max(1, -(-total // window))
     while sizes:
-        dealt = differences(sizes, k)
-        full = [sum(sizes[i] for i in w) for w in dealt]
-        windows = [[(i, 0, sizes[i]) for i in w] for w in dealt] + [[] for _ in range(k - len(dealt))]
-        over = max(full) - window
+        windows = differences(sizes, k)
+        over = max(sum(sizes[i] for i in w) for w in windows) - window
         if over <= 0:
-            return [w for w in windows if w]
-        if k == most:
-            return _levelled(windows, window)
+            return windows
         # The excess over the mean stays about the same: lower the mean by what is over.
-        k = min(most, max(k + 1, -(-total // max(1, window - over)) if over < window // 8 else 0))
+        k = max(k + 1, -(-total // (window - over)) if over < window // 8 else 0)
     return []
 
 
-def _levelled(windows: list[list[Piece]], window: int) -> list[list[Piece]]:
-    """windows after what stands above their capacity has been cut off and put where there is room, the most to the most."""
-    excess, room = [], []
-    for at, members in enumerate(windows):
-        held = sum(s for _, _, s in members)
-        if held < window:
-            heapq.heappush(room, (held - window, at))
-        while held > window:  # the longest member is cut, or goes if that is not enough
-            longest = max(range(len(members)), key=lambda i: (members[i][2], -i))
-            n, start, s = members.pop(longest)
-            left = max(0, s - (held - window))
-            if left:
-                members.append((n, start, left))
-            heapq.heappush(excess, (left - s, n, start + left))
-            held -= s - left
-    while excess:
-        size, n, start = heapq.heappop(excess)
-        space, at = heapq.heappop(room)
-        put = min(-size, -space)
-        windows[at].append((n, start, put))
-        if put < -size:
-            heapq.heappush(excess, (size + put, n, start + put))
-        if put < -space:
-            heapq.heappush(room, (space + put, at))
-    return [w for w in windows if w]
-
-
-def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, window: int = WINDOW, slack: float = SLACK, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, window: int = WINDOW, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
     """A row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     start counts the document's ids before the piece, offset those before it in its sequence; both
     are gapless. ids_crc32 is over the ids as unsigned little-endian 32-bit numbers. doc_tokens
     counts the document's ids with the end id.
     """
-    if window < 1 or slack < 0:
-        raise ValueError("a window holds at least one id, and slack is no less than none")
+    if window < 1:
+        raise ValueError("a window holds at least one id")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long" + (", ids array<int>" if with_ids else "")
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
@@ -150,7 +112,7 @@ def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             full = [n for n, p in enumerate(held) if len(p[2]) == 4 * window]
             rest = [n for n, p in enumerate(held) if len(p[2]) < 4 * window]
             rows = []
-            for members in [*([(n, 0, window)] for n in full), *([(rest[i], at, s) for i, at, s in w] for w in pack_block([len(held[n][2]) // 4 for n in rest], window, slack))]:
+            for members in [*([(n, 0, window)] for n in full), *([(rest[i], 0, len(held[rest[i]][2]) // 4) for i in w] for w in pack_block([len(held[n][2]) // 4 for n in rest], window))]:
                 place = 0
                 for n, at, s in sorted(members):
                     doc, start, raw, tokens = held[n]

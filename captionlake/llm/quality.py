@@ -7,7 +7,8 @@ in a chunk is kept. A hidden layer sees a chunk's maxima, the mean of its values
 goes to a logistic unit: one probability of label 1 for each document, of whatever length.
 
 Training sees a bounded sample: of each label at most ``per_class`` labelled rows, those of least
-hash of their id, each with its whole text. A step takes a minibatch of documents, half of each label,
+hash of their id, each with its whole text, or with pieces from all over it where it has more than
+``per_text`` bytes, so what goes to the driver is bounded in bytes too. A step takes a minibatch of documents, half of each label,
 and of each of them at most ``DRAWN`` chunks, drawn anew each time from all of its chunks. One time in
 ten, whatever the label, a document stands for a short piece drawn from anywhere in it, as short texts
 are few among the labelled. Errors are weighted by the share of each label among all labelled rows,
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 HALF, WIDTH, FILTERS, HIDDEN = 128, 5, 16, 16
 CHUNK = 2 * HALF
 DRAWN = 8
+PIECE = 2048  # bytes of the pieces of a long text that training gets
 SHORT, DECAY = 0.1, 3e-3  # share of short pieces among what is drawn; weight decay
 SLICE = 256  # blocks of HALF bytes that are in work at once
 PAD = WIDTH - 1  # zero bytes before and, at least, after each text: no filter sees two texts
@@ -185,8 +187,16 @@ def fit(data: np.ndarray, ends: np.ndarray, label: np.ndarray, *, share: float =
     return Model(p[0], p[1], p[2], p[3], p[4], float(p[5][0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits a model to a bounded sample of the rows of docs that labels names and that aren't held out."""
+def drawn(text: Column, most: int) -> Column:
+    """A binary text, or of one longer than most bytes as many pieces of PIECE bytes as that holds, one after another, evenly from its beginning to its end."""
+    count = max(2, most // PIECE)
+    begin = lambda i: F.floor((F.octet_length(text) - PIECE) * i / (count - 1)) + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.hex(F.substring(text, begin(i).cast("int"), F.lit(PIECE))))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.unhex(F.array_join(pieces, "")))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, per_text: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fits a model to a bounded sample of the rows of docs that labels names and that aren't held out: at most per_class of each label, and per_text bytes of each."""
     key = F.col(id_col)
     known = labels.select(key.alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").select("id", "label")
@@ -195,8 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, id_col:
     some = [known.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(per_class) for v in (0, 1)]
     # At most 2 * per_class ids: this side is bounded.
     sample = texts.join(F.broadcast(some[0].union(some[1])), "id")
-    # One text of each id, and so few of them, go to the driver.
-    got = sample.groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id").select("label", "text").toArrow()
+    # One text of each id, and so few of them, go to the driver; of a long one, pieces from all over it.
+    got = sample.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "label", drawn(F.col("text"), per_text).alias("text")).orderBy("id").select("label", "text").toArrow()
     label = got.column("label").to_numpy()
     ones = int(label.sum())
     if not 0 < ones < len(label):

@@ -226,7 +226,8 @@ def groups(prints: DataFrame, *, radius: int = 2, id_col: str = "doc_id") -> Dat
     own = stored(prints.groupBy("fp").agg(F.min(id_col).alias("own")), "simhash-distinct")
     root = components(links(own.select("fp"), radius=radius)).withColumnRenamed("node", "fp")
     rooted = own.join(root, "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("own").alias("component_id"))
+    # Grouped sides are written first, so that their joins can split the rows of a large group.
+    least = stored(rooted.groupBy("root").agg(F.min("own").alias("component_id")), "simhash-least")
     return rooted.join(least, "root").select("fp", "component_id")
 
 
@@ -301,9 +302,8 @@ def _set_links(texts: DataFrame, candidates: DataFrame, words: int, similarity:
 
     own = texts.select("of", "text").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"])
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")
-    # Groups of more than one part are few, and known by a row each.
-    large = candidates.groupBy("root").agg(parts.alias("parts")).filter("parts > 1")
-    dealt = candidates.join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = stored(candidates.groupBy("root").agg(parts.alias("parts")).filter("parts > 1"), "similar-large")
+    dealt = candidates.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.join(own, "node").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int"))
     pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     member = F.struct((F.col("part") > F.col("other")).alias("right"), "node", "fps", "own")
@@ -358,7 +358,7 @@ def similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, size: i
     root = components(_set_links(texts, candidates, words, similarity, within))
     # Only members of groups move; a document alone keeps itself.
     first = F.struct(F.col("id").isNull().alias("none"), "id", "of")
-    grouped = prints.select("id", "of", "node").join(root, "node", "left").select("id", "of", F.coalesce("root", "node").alias("root"))
-    least = grouped.groupBy("root").agg(F.min(first).alias("least"))
+    grouped = stored(prints.select("id", "of", "node").join(root, "node", "left").select("id", "of", F.coalesce("root", "node").alias("root")), "similar-grouped")
+    least = stored(grouped.groupBy("root").agg(F.min(first).alias("least")), "similar-least")
     met = grouped.join(least, "root").select("id", "of", (first == F.col("least")).alias("kept"))
     return met.distinct().withColumnRenamed("id", id_col)

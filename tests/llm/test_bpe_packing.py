@@ -108,37 +108,27 @@ def test_packing_keeps_every_id_once(spark, library):
     assert used > 0.85 * packing.WINDOW * len(by_window)
 
 
-def whole(windows, sizes):
-    """Whether each size lies in the windows once, in pieces without gap or overlap."""
-    by = {}
-    for n, start, s in (p for w in windows for p in w):
-        by.setdefault(n, []).append((start, s))
-    return all(s > 0 for w in windows for _, _, s in w) and all(sorted(by.get(n, [])) and [a for a, _ in sorted(by[n])] == [sum(s for _, s in sorted(by[n])[:i]) for i in range(len(by[n]))] and sum(s for _, s in by[n]) == size for n, size in enumerate(sizes))
-
-
 def test_differencing_is_near_equal_and_raises_the_window_count():
     rng = random.Random(1)
     for top in (300, 1000, 2048):
         for _ in range(40):
             sizes = [rng.randint(1, top) for _ in range(rng.randint(1, 300))]
             windows = packing.pack_block(sizes, 2048)
-            assert whole(windows, sizes) and all(0 < sum(s for _, _, s in w) <= 2048 for w in windows)
-            assert len(windows) <= -(-sum(sizes) // 2048) * (1 + packing.SLACK) + 1
-            uncut = packing.pack_block(sizes, 2048, slack=9.0)  # room for as many windows as it takes
-            assert whole(uncut, sizes) and sorted(n for w in uncut for n, _, _ in w) == list(range(len(sizes)))
-            assert max(sum(s for _, _, s in w) for w in uncut) <= 2048
-    # Two windows would do by sum only: with slack the count rises, without it a document is cut.
-    assert len(packing.pack_block([1300, 1300, 1300], 2048, slack=1)) == 3
-    assert sorted(sum(s for _, _, s in w) for w in packing.pack_block([1300, 1300, 1300], 2048)) == [1852, 2048]
+            assert sorted(n for w in windows for n in w) == list(range(len(sizes))) and max(sum(sizes[n] for n in w) for w in windows) <= 2048
+            least = -(-sum(sizes) // 2048)
+            assert len(windows) <= (least * 1.01 + 1 if top == 300 else least * 1.06 + 1 if top == 1000 else least * 1.25 + 2)
+    assert len(packing.pack_block([1300, 1300, 1300], 2048)) == 3  # two would do by their sum
+    assert sorted(packing.pack_block([2048] * 5, 2048)) == [[n] for n in range(5)]
     assert packing.pack_block([], 2048) == []
 
 
-def test_few_documents_are_cut(spark):
+def test_only_what_exceeds_a_window_is_cut(spark):
     rng = random.Random(3)
-    rows = ["ab " * rng.randint(20, 1500) for _ in range(1200)]
+    rows = ["ab " * rng.randint(20, 1500) for _ in range(1200)] + ["ab " * 5000]
     pieces = packing.pack(frame(spark, rows).coalesce(1), PATH).collect()
-    assert len(pieces) < 1.5 * len(rows)
-    assert sum(p.length for p in pieces) > 0.985 * packing.WINDOW * len({p.sequence_id for p in pieces})
+    cut = {p.doc_id for p in pieces if p.length < p.doc_tokens}
+    assert cut == {p.doc_id for p in pieces if p.doc_tokens > packing.WINDOW} and len(pieces) == 1200 + -(-5001 // 2048)
+    assert sum(p.length for p in pieces) > 0.96 * packing.WINDOW * len({p.sequence_id for p in pieces})
 
 
 def test_empty_table(spark):

@@ -95,3 +95,14 @@ def test_all_of_a_long_text_is_learned_from():
     texts = [prose(6000) + ("$%" * 3000 if n % 2 else prose(6000)) + prose(6000) for n in range(200)]
     model = quality.fit(*quality.as_bytes(pa.array([t.encode() for t in texts])), np.array([1 - n % 2 for n in range(200)]), steps=300)
     assert model.scores(*quality.as_bytes(pa.array(["$%" * 50, prose(100)]))).round().tolist() == [0, 1]
+
+
+def test_long_texts_are_drawn_from_all_over(spark):
+    text = b"".join(b"%07d " % i for i in range(40_000))
+    short = text[: 1 << 15]
+    df = spark.createDataFrame([(bytearray(text),), (bytearray(short),)], "t binary")
+    long_, same = (bytes(r[0]) for r in df.select(quality.drawn(quality.F.col("t"), 1 << 15)).collect())
+    pieces = [long_[i : i + quality.PIECE] for i in range(0, len(long_), quality.PIECE)]
+    places = [text.index(p) for p in pieces]
+    assert same == short and len(long_) == 1 << 15 and places[0] == 0 and places[-1] == len(text) - quality.PIECE and places == sorted(places)
+    assert max(b - a for a, b in zip(places, places[1:])) < 1.1 * len(text) / len(pieces) + quality.PIECE

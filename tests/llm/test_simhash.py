@@ -204,3 +204,12 @@ def test_tiles_of_sizes_too_far_apart_are_skipped_and_no_other(spark):
     by = {r.n: r.c for r in sizes}
     assert all(abs(by[n] - by[m]) <= 1 for n in range(1, 2999) for m in range(n, min(2999, int(n / 0.8) + 1), 1 + n // 50) if n >= 0.8 * m)
     assert by[2000] - by[1000] > 1
+
+
+def test_components_of_a_hub(spark):
+    """A star of 100,000 leaves, a chain and repeats; the grouped side is read, not grouped, where it is joined."""
+    n = 100_000
+    links = spark.range(1, n + 1).select(F.lit(n + 10).alias("a"), F.col("id").alias("b")).union(spark.range(200_000, 200_050).select("id", F.col("id") + 1)).union(spark.createDataFrame([(7, 7), (3, n + 10)], "a long, b long"))
+    got = graph.components(links)
+    roots = {r.root: r["count"] for r in got.groupBy("root").count().collect()}
+    assert roots == {1: n, 200_000: 50}
