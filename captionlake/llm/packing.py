@@ -5,9 +5,9 @@ block. A document is its ids and an end id. Full windows are cut off its front;
 document that fits a window, is a piece. The pieces of a block of about ``block`` windows are dealt
 to the fewest windows that could hold them: each piece begins as a partial partition of its own,
 and the two partial partitions with the largest imbalance are merged again and again, the fullest
-windows of one with the emptiest of the other. If a window of the last one standing is above
-capacity, the number of windows rises and the block is dealt anew, until all fit. So only what is
-longer than a window is ever cut.
+windows of one with the emptiest of the other. Windows of the last one standing that are above
+capacity exchange members with others that have room; where that isn't enough the number of windows
+rises and the block is dealt anew, until all fit. So only what is longer than a window is ever cut.
 
 Nulls and empty texts hold the end id alone. Repeated rows are packed each. Rows may come from
 any partitioning; sequence ids are unique over all partitions but not gapless. Other columns of the
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from captionlake.llm import bpe as bpe_
 
 WINDOW = 2048
-BLOCK = 256
+BLOCK = 128
 
 
 def differences(sizes: Sequence[int], k: int) -> list[list[int]]:
@@ -74,17 +74,49 @@ def differences(sizes: Sequence[int], k: int) -> list[list[int]]:
     return windows
 
 
+def evened(windows: list[list[int]], sizes: np.ndarray, window: int) -> list[list[int]] | None:
+    """windows after exchanges that leave none above capacity; None where there are none that do.
+
+    The fullest window gives a member for a smaller one, or for nothing, of a window with room for
+    the difference: the least that brings it to its capacity, or else the most there is room for.
+    """
+    where = np.empty(len(sizes), np.int64)
+    for at, members in enumerate(windows):
+        where[members] = at
+    room = window - np.bincount(where, weights=sizes, minlength=len(windows)).astype(np.int64)
+    # A member of no size in each window: what is exchanged for it is given for nothing.
+    size, of = np.append(sizes, np.zeros(len(windows), np.int64)), np.append(where, np.arange(len(windows)))
+    while room.min() < 0:
+        at = int(room.argmin())
+        own = np.flatnonzero(of == at)
+        less = size[own][:, None] - size
+        fits = (less > 0) & (less <= room[of])
+        enough = np.where(fits & (less >= -room[at]), less, window + 1)
+        one, other = np.unravel_index(int(enough.argmin()), enough.shape)
+        if enough[one, other] > window:
+            most = np.where(fits, less, 0)
+            one, other = np.unravel_index(int(most.argmax()), most.shape)
+            if not most[one, other]:
+                return None
+        to, moved = int(of[other]), int(less[one, other])
+        of[own[one]], of[other] = to, at
+        room[at] += moved
+        room[to] -= moved
+    out: list[list[int]] = [[] for _ in windows]
+    for n, at in enumerate(of[: len(sizes)].tolist()):
+        out[at].append(n)
+    return out
+
+
 def pack_block(sizes: Sequence[int], window: int) -> list[list[int]]:
     """sizes, none above window, in near-equal windows of that capacity: the places of each window's members. The number of windows rises until all fit."""
-    total = sum(sizes)
-    k = max(1, -(-total // window))
-    while sizes:
+    own = np.asarray(sizes, np.int64)
+    k = max(1, -(-int(own.sum()) // window))
+    while len(own):
         windows = differences(sizes, k)
-        over = max(sum(sizes[i] for i in w) for w in windows) - window
-        if over <= 0:
-            return windows
-        # The excess over the mean stays about the same: lower the mean by what is over.
-        k = max(k + 1, -(-total // (window - over)) if over < window // 8 else 0)
+        if (fitting := evened(windows + [[] for _ in range(k - len(windows))], own, window)) is not None:
+            return [w for w in fitting if w]
+        k += 1
     return []
 
 
