@@ -6,6 +6,10 @@ failed, missing, needs-reprocessing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +23,110 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def attempts(log: DataFrame) -> DataFrame:
-    """log with attempt: how often an item had begun to run by then."""
+    """log with attempt: how often an item was said to run by then. history() tells which of these were refused."""
     order = Window.partitionBy("batch_id", "position").orderBy("at_ms", "seq")
     return log.withColumn("attempt", F.sum((F.col("state") == "running").cast("long")).over(order))
 
 
+#: What moves an item asks for, and the states it may be in. Interrupted is what a lease that runs out leaves.
+MOVES = {
+    "running": ("pending", "failed", "missing", "needs-reprocessing", "interrupted"),
+    "complete": ("running",),
+    "failed": ("running",),
+    "missing": ("running",),
+    "needs-reprocessing": ("running", "complete"),
+}
+REFUSED = {
+    "running": "an item that runs or is complete doesn't start",
+    "complete": "only an item that runs can end",
+    "failed": "only an item that runs can end",
+    "missing": "only an item that runs can end",
+    "needs-reprocessing": "only an item that runs or is complete can need reprocessing",
+}
+
+
+class Item(NamedTuple):
+    """Where an item stands: attempts rise by one with each start, since_ms is that of its last move."""
+
+    state: str = "pending"
+    attempt: int = 0
+    since_ms: int = 0
+
+    def expired(self, at_ms: int, lease_ms: int | None) -> Item | None:
+        """The item after its lease has run out, if it has by then."""
+        if lease_ms is None or self.state != "running" or self.since_ms + lease_ms > at_ms:
+            return None
+        return Item("interrupted", self.attempt, self.since_ms + lease_ms)
+
+    def moved(self, wanted: str | None, at_ms: int) -> tuple[Item, str | None]:
+        """The item after a change, or as it was and why the change is refused."""
+        if wanted == "pending":
+            return self, None if self.attempt == 0 else "an item that has begun isn't pending again"
+        if wanted not in MOVES:
+            return self, "unknown state"
+        if self.state not in MOVES[wanted]:
+            return self, REFUSED[wanted]
+        return Item(wanted, self.attempt + (wanted == "running"), at_ms), None
+
+    def after(self, wanted: str | None, at_ms: int, lease_ms: int | None) -> tuple[Item, list[tuple]]:
+        """The item after a change and what to tell of it: wanted, state, attempt, at_ms, error, of a lease that ran out before it too."""
+        told, item = [], self
+        if lapsed := item.expired(at_ms, lease_ms):
+            item = lapsed
+            told.append(("interrupted", *item, None))
+        item, error = item.moved(wanted, at_ms)
+        return item, [*told, (wanted, item.state, item.attempt, at_ms, error)]
+
+
+TOLD = "wanted string, state string, attempt long, at_ms long, error string"
+
+
+def history(log: DataFrame, lease_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    """What each change of a log did: batch_id, position, seq, wanted, state and attempt (after it), at_ms, error (why it was refused).
+
+    An item begins pending. A lease of lease_ms that runs out, by the next change or by until_ms, adds
+    a row whose seq is null. Changes of one item are in order of at_ms, seq, and state; those without
+    at_ms come first and count as at 0. An item's changes are a sequence: they are read one after
+    another in one task, which holds a batch of them and the item's state, however many there are.
+    """
+    schema = f"batch_id {_kind(log, 'batch_id')}, position {_kind(log, 'position')}, seq long, {TOLD}"
+    key = ["batch_id", "position"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        item = Item()
+
+        def end() -> list[tuple]:
+            lapsed = item.expired(until_ms, lease_ms) if now is not None and until_ms is not None else None
+            return [(*now, None, "interrupted", *lapsed, None)] if lapsed else []
+
+        def as_batch(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*key, "seq", "wanted", "state", "attempt", "at_ms", "error"])
+
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            out: list[tuple] = []
+            for batch_id, position, state, at_ms, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (batch_id, position):
+                    out += end()
+                    now, item = (batch_id, position), Item()
+                item, told = item.after(state, at_ms or 0, lease_ms)
+                lapsed = [None] * (len(told) - 1)
+                out += [(*now, n, *t) for n, t in zip([*lapsed, seq], told, strict=True)]
+            if out:
+                yield as_batch(out, types)
+        if last := end():
+            yield as_batch(last, types)
+
+    rows = log.select(*key, "state", F.col("at_ms").cast("long").alias("at_ms"), F.col("seq").cast("long").alias("seq"))
+    return rows.repartition(*key).sortWithinPartitions(*key, "at_ms", "seq", "state").mapInArrow(run, schema)
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def counts(items: DataFrame) -> DataFrame:
     """batch_id, complete, incomplete, is_complete, has_running."""
     done = F.count_if(F.col("state") == "complete")

@@ -5,14 +5,12 @@ rules: scope_rank (broad first), rule_index, find, replace and anything else.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionlake.functions.text import ascii_lower, count_phrase, phrase_pattern, replace_phrase
+from captionlake.functions.text import ascii_lower, count_phrase, phrase_pattern, replace_phrase, trim_space
 
 Rules = Sequence[tuple[str, str]]
 
@@ -101,51 +99,69 @@ def unmatched(texts: DataFrame, rules: Rules, text_col: str = "text") -> DataFra
     return told.select(F.col("n").cast("long").alias("rule_index"), F.get(table, F.col("n"))["find"].alias("find"), F.get(table, F.col("n"))["replace"].alias("replace"))
 
 
-def merge_words(texts: list[str], find: str, replace: str) -> list[tuple[int, int, str, int]]:
-    """Where a phrase stands in words: (first slot, last slot, text, how often), case and parts of words as they are.
-
-    All words since the last match become one with it. The words are joined once and searched on
-    from where the last match ended.
-    """
-    slots = [n for n, t in enumerate(texts) if t]
-    begin, at = [], 0
-    for n in slots:
-        begin.append(at)
-        at += len(texts[n]) + 1
-    joined = " ".join(texts[n] for n in slots)
-    found, slot, k = [], 0, 0
-    while k < len(slots) and (hit := joined.find(find, begin[k])) >= 0:
-        last = bisect_right(begin, hit + len(find) - 1) - 1
-        piece = joined[begin[k] : begin[last] + len(texts[slots[last]])]
-        found.append((slot, slots[last], piece.replace(find, replace), piece.count(find)))
-        slot, k = slots[last] + 1, last + 1
-    return found
+def _overlapping_chosen(slots: DataFrame, find: str) -> DataFrame:
+    """slots with ends: whether a match of a phrase of several words ends there; of matches that overlap, the leftmost and then the next one beyond it."""
+    more = find.count(" ")  # words that a match can have after its first
+    order = Window.partitionBy("transcript_id", "said").orderBy("word_index")
+    near = slots.withColumn("n", F.when(F.col("said"), F.row_number().over(order))).withColumn("parts", F.array("text", *(F.lead("text", k).over(order) for k in range(1, more + 1))))
+    at = F.locate(find, F.array_join("parts", " "))
+    begun = near.withColumn("at", F.when(F.col("said") & (at > 0) & (at <= F.char_length("text") + 1), at))
+    upto = F.transform(F.sequence(F.lit(1), F.lit(more + 1)), lambda k: F.char_length(F.array_join(F.slice("parts", F.lit(1), k), " ")))
+    last = F.col("n") + F.size(F.filter(upto, lambda length: length + 1 < F.col("at") + len(find) - 1))
+    found = begun.withColumn("last", F.when(F.col("at").isNotNull(), last)).drop("parts", "at")
+    # Matches that overlap one another are put in one row, with the words they cover; other words stay rows of their own.
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    met = found.withColumn("fresh", (F.col("last").isNotNull() & F.coalesce(F.col("n") > before, F.lit(True))).cast("long"))
+    covered = F.col("said") & (F.col("n") <= F.max("last").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    keyed = met.withColumn("key", F.when(covered, -F.sum("fresh").over(order)).otherwise(F.col("word_index") + 1)).drop("fresh")
+    row = F.struct(*(c for c in keyed.columns if c not in ("transcript_id", "key", "word_index")))
+    grouped = keyed.groupBy("transcript_id", "key").agg(F.array_sort(F.collect_list(F.struct("word_index", row.alias("r")))).alias("rows"))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("ends"))
+
+    def step(s: Column, x: Column) -> Column:
+        taken = x["r"]["last"].isNotNull() & (x["r"]["n"] > s["end"])
+        return F.when(taken, F.struct(x["r"]["last"].cast("int").alias("end"), F.concat(s["ends"], F.array(x["r"]["last"].cast("int"))).alias("ends"))).otherwise(s)
+
+    chosen = grouped.select("transcript_id", "rows", F.aggregate("rows", none, step)["ends"].alias("chosen"))
+    spread = chosen.select("transcript_id", "chosen", F.explode("rows").alias("x")).select("transcript_id", "x.word_index", "x.r.*", "chosen")
+    return spread.withColumn("ends", F.coalesce(F.array_contains("chosen", F.col("n").cast("int")), F.lit(False))).drop("chosen", "n", "last")
 
 
 def corrected_words(words: DataFrame, rules: Rules) -> DataFrame:
     """words (with transcript_id, segment_index, word_index, text, start_ms, end_ms) after the rules, in each transcript on its own.
 
-    A match may pass segments. The first word takes the text and the last one's end; the others are
-    blank. source_start and source_end say which words each stands for, counts (on the first word
-    of a transcript) how often each rule did something.
+    A rule's phrase is looked for as it is, case and parts of words too, in the words joined by
+    blanks. All words since the last match become one with those it stands in: the first takes the
+    text and the last one's end, the others are blank. A match may pass segments. source_start and
+    source_end say which words each stands for, counts (on the first word of a transcript) how often
+    each rule did something.
+
+    A phrase of one word ends where a word holds it; one of several is looked for from each word over
+    as many after it. Words then count the matches that ended before them, and those with one count
+    meet in one row if a match ends them. All goes by transcript after one shuffle; only words that
+    become one are ever in one row.
     """
-    fields = "transcript_id long, segment_index long, word_index long, text string, start_ms long, end_ms long, source_start long, source_end long, counts array<int>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["word_index"], kind="stable").reset_index(drop=True)
-        texts = [t.strip() for t in pdf["text"]]
-        ends, first, upto = pdf["end_ms"].tolist(), pdf["word_index"].tolist(), (pdf["word_index"] + 1).tolist()
-        counts = []
-        raw = pdf["text"].tolist()
-        for find, replace in rules:
-            total = 0
-            for a, b, text, n in merge_words(texts, find, replace):
-                texts[a : b + 1] = [text.strip()] + [""] * (b - a)
-                raw[a : b + 1] = [text] + [""] * (b - a)
-                ends[a], first[a], upto[a] = ends[b], min(first[a], first[b]), max(upto[a], upto[b])
-                total += n
-            counts.append(total)
-        return pdf.assign(text=raw, end_ms=ends, source_start=first, source_end=upto, counts=[counts] + [None] * (len(pdf) - 1))
-
-    given = words.select("transcript_id", "segment_index", "word_index", F.coalesce("text", F.lit("")).alias("text"), "start_ms", "end_ms")
-    return given.groupBy("transcript_id").applyInPandas(run, fields)
+    slots = words.select("transcript_id", "word_index", "segment_index", F.coalesce("text", F.lit("")).alias("raw"), "start_ms", "end_ms", F.col("word_index").alias("source_start"), (F.col("word_index") + 1).alias("source_end"))
+    by_place = Window.partitionBy("transcript_id").orderBy("word_index")
+    for k, (find, replace) in enumerate(rules):
+        kept = [c for c in slots.columns if c not in ("transcript_id", "word_index", "raw", "end_ms", "source_start", "source_end")]
+        slots = slots.withColumn("text", trim_space(F.col("raw"))).withColumn("said", F.col("text") != "")
+        slots = _overlapping_chosen(slots, find) if " " in find else slots.withColumn("ends", F.col("text").contains(find))
+        ended = F.col("ends").cast("long")
+        counted = slots.withColumn("earlier", F.coalesce(F.sum(ended).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum(ended).over(Window.partitionBy("transcript_id")))
+        keyed = counted.withColumn("key", F.when(F.col("earlier") < F.col("all"), -1 - F.col("earlier")).otherwise(F.col("word_index")))
+        one = F.array_sort(F.collect_list(F.struct("word_index", "raw", "text", "end_ms", "source_start", "source_end", *kept)))
+        met = keyed.groupBy("transcript_id", "key").agg(F.max("ends").alias("matched"), one.alias("x"))
+        met = met.select("transcript_id", "matched", "x", F.array_join(F.filter(F.transform("x", lambda w: w["text"]), lambda t: t != ""), " ").alias("joined"), F.element_at("x", -1).alias("last"))
+        count = ((F.char_length("joined") - F.char_length(F.replace("joined", F.lit(find), F.lit("")))) / len(find)).cast("int")
+        spread = met.select("transcript_id", "matched", "last", F.replace("joined", F.lit(find), F.lit(replace)).alias("replaced"), count.alias("n"), F.posexplode("x").alias("at", "w"))
+        taken = F.col("matched") & (F.col("at") == 0)
+        then = lambda new, old, taken=taken: F.when(taken, new).otherwise(old)
+        slots = spread.select(
+            "transcript_id", "w.word_index", *(f"w.{c}" for c in kept), F.when(taken, F.col("replaced")).when(F.col("matched"), "").otherwise(F.col("w.raw")).alias("raw"), then(F.col("last.end_ms"), F.col("w.end_ms")).alias("end_ms"),
+            then(F.least("w.source_start", "last.source_start"), F.col("w.source_start")).alias("source_start"), then(F.greatest("w.source_end", "last.source_end"), F.col("w.source_end")).alias("source_end"), then(F.col("n"), F.lit(0)).alias(f"c{k}"),
+        )
+    whole = Window.partitionBy("transcript_id")
+    totals = F.array(*(F.sum(f"c{k}").over(whole).cast("int") for k in range(len(rules)))).cast("array<int>")
+    first = F.row_number().over(by_place) == 1
+    return slots.select("transcript_id", "segment_index", "word_index", F.col("raw").alias("text"), "start_ms", "end_ms", "source_start", "source_end", F.when(first, totals).alias("counts"))

@@ -31,6 +31,18 @@ def batch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.attempts(_log(spark, sf_dir)).select("batch_id", "position", "seq", "attempt")
 
 
+LEASE_MS = 250
+
+
+def item_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of every item, whether it was refused, and the leases that ran out by the end of the log. Dear clicks ask for another run, dear errors say that something is gone."""
+    dear = X.table(spark, sf_dir, "events").filter("value > 60").select(F.col("event_id").alias("seq"), F.lit(True).alias("dear"))
+    other = F.when(F.col("dear") & (F.col("state") == "complete"), "needs-reprocessing").when(F.col("dear") & (F.col("state") == "failed"), "missing").otherwise(F.col("state"))
+    log = _log(spark, sf_dir).join(dear, "seq", "left").withColumn("state", other)
+    until = log.agg(F.max("at_ms")).first()[0]
+    return B.history(log, LEASE_MS, until)
+
+
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir).groupBy("batch_id").agg(F.min("at_ms").alias("created_ms"))
     return log.select("batch_id", (F.col("batch_id") % 6).alias("scope"), "created_ms")
@@ -82,11 +94,32 @@ _LATEST = f"{_LOG}, latest AS (SELECT batch_id, position, arg_max(state, (at_ms,
 _COUNTS = f"{_LATEST}, counts AS (SELECT batch_id, count(*) FILTER (state = 'complete') AS complete, count(*) FILTER (state <> 'complete') AS incomplete, bool_and(state = 'complete') AS is_complete, bool_or(state = 'running') AS has_running FROM latest GROUP BY batch_id)"
 _OPEN = "created AS (SELECT batch_id, batch_id % 6 AS scope, min(at_ms) AS created_ms FROM log GROUP BY batch_id)"
 
-QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, newest_incomplete, batch_activity, verify_files, publication, media_inputs, output_collisions)}
+QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, item_history, newest_incomplete, batch_activity, verify_files, publication, media_inputs, output_collisions)}
 SQL = {
     "batch_latest_state": f"WITH {_LATEST} SELECT * FROM latest",
     "batch_counts": f"WITH {_COUNTS} SELECT * FROM counts",
     "batch_attempts": f"WITH {_LOG} SELECT batch_id, position, seq, (count(*) FILTER (state = 'running') OVER (PARTITION BY batch_id, position ORDER BY at_ms, seq)) AS attempt FROM log",
+    "item_history": f"""WITH RECURSIVE log AS (
+            SELECT user_id AS batch_id, event_id % 10 AS position, CASE WHEN value > 60 AND event_type IN ('click', 'purchase') THEN 'needs-reprocessing' WHEN value > 60 AND event_type = 'error' THEN 'missing' ELSE {_MAP} END AS wanted,
+                   event_id // 7 AS at_ms, event_id AS seq FROM events),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id, position ORDER BY at_ms, seq) AS n FROM log),
+        walk AS (
+            SELECT batch_id, position, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS wanted, 'pending' AS state, 0::BIGINT AS attempt, 0::BIGINT AS since, 0::BIGINT AS at_ms, NULL::VARCHAR AS error, NULL::BIGINT AS lapsed, 0::BIGINT AS was
+            FROM ranked WHERE n = 1
+            UNION ALL
+            SELECT batch_id, position, n, seq, wanted, CASE WHEN error IS NULL AND wanted <> 'pending' THEN wanted ELSE now END,
+                   CASE WHEN error IS NULL AND wanted = 'running' THEN attempt + 1 ELSE attempt END, CASE WHEN error IS NULL AND wanted <> 'pending' THEN at_ms ELSE coalesce(lapsed, since) END, at_ms, error, lapsed, attempt
+            FROM (SELECT *, CASE WHEN wanted = 'pending' AND attempt = 0 THEN NULL WHEN wanted = 'pending' THEN 'an item that has begun isn''t pending again'
+                                 WHEN wanted = 'running' AND now IN ('running', 'complete') THEN 'an item that runs or is complete doesn''t start'
+                                 WHEN wanted IN ('complete', 'failed', 'missing') AND now <> 'running' THEN 'only an item that runs can end'
+                                 WHEN wanted = 'needs-reprocessing' AND now NOT IN ('running', 'complete') THEN 'only an item that runs or is complete can need reprocessing' END AS error
+                  FROM (SELECT r.*, w.attempt, w.since, CASE WHEN w.state = 'running' AND w.since + {LEASE_MS} <= r.at_ms THEN w.since + {LEASE_MS} END AS lapsed,
+                               CASE WHEN w.state = 'running' AND w.since + {LEASE_MS} <= r.at_ms THEN 'interrupted' ELSE w.state END AS now
+                        FROM walk w JOIN ranked r ON r.batch_id = w.batch_id AND r.position = w.position AND r.n = w.n + 1))),
+        last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY batch_id, position ORDER BY n DESC) = 1)
+        SELECT batch_id, position, seq, wanted, state, attempt, at_ms, error FROM walk WHERE n > 0
+        UNION ALL SELECT batch_id, position, NULL, 'interrupted', 'interrupted', was, lapsed, NULL FROM walk WHERE lapsed IS NOT NULL
+        UNION ALL SELECT batch_id, position, NULL, 'interrupted', 'interrupted', attempt, since + {LEASE_MS}, NULL FROM last WHERE state = 'running' AND since + {LEASE_MS} <= (SELECT max(at_ms) FROM log)""",
     "newest_incomplete": f"WITH {_COUNTS}, {_OPEN} SELECT scope, arg_max(batch_id, (created_ms, batch_id)) AS batch_id, max(created_ms) AS created_ms FROM created JOIN counts USING (batch_id) WHERE NOT is_complete GROUP BY scope",
     "batch_activity": f"WITH {_COUNTS} SELECT batch_id, CASE WHEN is_complete THEN 'complete' WHEN NOT has_running THEN 'incomplete' WHEN batch_id % 4 = 0 THEN 'active' ELSE 'interrupted' END AS activity FROM counts",
     "verify_files": """SELECT CASE WHEN doc_id % 17 = 0 THEN '../' ELSE '' END || 'doc-' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 'artifact' ELSE 'source' END AS kind,

@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """transcript_id, segment_index, speaker, place (in the segment), text, start_ms, end_ms, confidence (float)."""
-    # Dealt once, as turns: all that follows goes by conversation.
-    turns = table(spark, sf_dir, "conversations").repartition("conv_id").select("conv_id", "turn", "role", words_of(F.col("text")).alias("words"))
+    # Dealt once, as turns: all that follows goes by conversation. By a number of partitions, as turns are few bytes for the words they become: Spark would merge them to one.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    turns = table(spark, sf_dir, "conversations").repartition(n, "conv_id").select("conv_id", "turn", "role", words_of(F.col("text")).alias("words"))
     words = turns.select("conv_id", "turn", "role", F.posexplode("words").alias("place", "text"))
     length = F.char_length("text")
     step = length * 60 + 40 + F.when(F.col("text").endswith(","), 900).otherwise(0)
