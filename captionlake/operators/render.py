@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,21 @@ def vtt(captions: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
     return body.select("transcript_id", F.concat(F.lit("WEBVTT\n\n"), F.coalesce("body", F.lit(""))).alias("vtt"))
 
 
+def subtitles(captions: DataFrame, transcripts: DataFrame, formats: Sequence[str]) -> DataFrame:
+    """transcript_id, name, content: the files of all formats (srt, vtt) from one grouping; transcripts (transcript_id) without captions have empty ones."""
+    cue = F.struct("caption_index", "start_ms", "end_ms", "text")
+    listed = captions.groupBy("transcript_id").agg(F.array_sort(F.collect_list(cue)).alias("cues"))
+    met = transcripts.select("transcript_id").distinct().join(listed, "transcript_id", "left")
+    cues = F.coalesce("cues", F.array().cast(listed.schema["cues"].dataType))
+    shown = lambda clock, c: F.concat(clock(c["start_ms"]), F.lit(" --> "), clock(c["end_ms"]), F.lit("\n"), c["text"], F.lit("\n\n"))
+    bodies = {
+        "srt": F.array_join(F.transform(cues, lambda c: F.concat((c["caption_index"] + 1).cast("string"), F.lit("\n"), shown(srt_time, c))), ""),
+        "vtt": F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(cues, lambda c: shown(vtt_time, c)), "")),
+    }
+    files = F.array(*(F.struct(F.lit(f"subtitles.{f}").alias("name"), bodies[f].alias("content")) for f in formats))
+    return met.select("transcript_id", F.explode(files).alias("f")).select("transcript_id", "f.*")
+
+
 def plain_text(segments: DataFrame) -> DataFrame:
     """transcript_id, text: a trimmed line for each segment; several line ends at the very end are one."""
     joined = _joined(segments, "segment_index", F.concat(trim_space(F.col("text")), F.lit("\n")), "text")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionlake.functions.text import ascii_lower, count_phrase, phrase_pattern, replace_phrase, trim_space
+from captionlake.shared import checkpointed
 
 Rules = Sequence[tuple[str, str]]
 
@@ -33,6 +34,7 @@ def _array(rules: Rules) -> Column:
     return F.array(*(F.struct(F.lit(f).alias("find"), F.lit(r).alias("replace")) for f, r in rules))
 
 
+ROUNDS = 4  # of rules of each transcript that one plan holds
 CHAINED = 100  # so many rules at most become a step of the plan each
 
 
@@ -99,34 +101,73 @@ def unmatched(texts: DataFrame, rules: Rules, text_col: str = "text") -> DataFra
     return told.select(F.col("n").cast("long").alias("rule_index"), F.get(table, F.col("n"))["find"].alias("find"), F.get(table, F.col("n"))["replace"].alias("replace"))
 
 
-def _overlapping_chosen(slots: DataFrame, find: str) -> DataFrame:
-    """slots with ends: whether a match of a phrase of several words ends there; of matches that overlap, the leftmost and then the next one beyond it."""
-    more = find.count(" ")  # words that a match can have after its first
+_RULE = ("find", "replace")
+
+
+def _first_rule() -> list[Column]:
+    return [F.first(c).alias(c) for c in _RULE]
+
+
+def _overlapping_chosen(slots: DataFrame, more: int) -> DataFrame:
+    """slots with ends: whether a match of a phrase of up to more words after its first ends there; of matches that overlap, the leftmost and then the next one beyond it."""
     order = Window.partitionBy("transcript_id", "said").orderBy("word_index")
     near = slots.withColumn("n", F.when(F.col("said"), F.row_number().over(order))).withColumn("parts", F.array("text", *(F.lead("text", k).over(order) for k in range(1, more + 1))))
-    at = F.locate(find, F.array_join("parts", " "))
+    at = F.position("find", F.array_join("parts", " "))
     begun = near.withColumn("at", F.when(F.col("said") & (at > 0) & (at <= F.char_length("text") + 1), at))
     upto = F.transform(F.sequence(F.lit(1), F.lit(more + 1)), lambda k: F.char_length(F.array_join(F.slice("parts", F.lit(1), k), " ")))
-    last = F.col("n") + F.size(F.filter(upto, lambda length: length + 1 < F.col("at") + len(find) - 1))
+    last = F.col("n") + F.size(F.filter(upto, lambda length: length + 1 < F.col("at") + F.char_length("find") - 1))
     found = begun.withColumn("last", F.when(F.col("at").isNotNull(), last)).drop("parts", "at")
     # Matches that overlap one another are put in one row, with the words they cover; other words stay rows of their own.
     before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     met = found.withColumn("fresh", (F.col("last").isNotNull() & F.coalesce(F.col("n") > before, F.lit(True))).cast("long"))
     covered = F.col("said") & (F.col("n") <= F.max("last").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     keyed = met.withColumn("key", F.when(covered, -F.sum("fresh").over(order)).otherwise(F.col("word_index") + 1)).drop("fresh")
-    row = F.struct(*(c for c in keyed.columns if c not in ("transcript_id", "key", "word_index")))
-    grouped = keyed.groupBy("transcript_id", "key").agg(F.array_sort(F.collect_list(F.struct("word_index", row.alias("r")))).alias("rows"))
+    row = F.struct(*(c for c in keyed.columns if c not in ("transcript_id", "key", "word_index", *_RULE)))
+    grouped = keyed.groupBy("transcript_id", "key").agg(*_first_rule(), F.array_sort(F.collect_list(F.struct("word_index", row.alias("r")))).alias("rows"))
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("ends"))
 
     def step(s: Column, x: Column) -> Column:
         taken = x["r"]["last"].isNotNull() & (x["r"]["n"] > s["end"])
         return F.when(taken, F.struct(x["r"]["last"].cast("int").alias("end"), F.concat(s["ends"], F.array(x["r"]["last"].cast("int"))).alias("ends"))).otherwise(s)
 
-    chosen = grouped.select("transcript_id", "rows", F.aggregate("rows", none, step)["ends"].alias("chosen"))
-    spread = chosen.select("transcript_id", "chosen", F.explode("rows").alias("x")).select("transcript_id", "x.word_index", "x.r.*", "chosen")
+    chosen = grouped.select("transcript_id", *_RULE, "rows", F.aggregate("rows", none, step)["ends"].alias("chosen"))
+    spread = chosen.select("transcript_id", *_RULE, "chosen", F.explode("rows").alias("x")).select("transcript_id", *_RULE, "x.word_index", "x.r.*", "chosen")
     return spread.withColumn("ends", F.coalesce(F.array_contains("chosen", F.col("n").cast("int")), F.lit(False))).drop("chosen", "n", "last")
 
 
+def _slots(words: DataFrame) -> DataFrame:
+    return words.select("transcript_id", "word_index", "segment_index", F.coalesce("text", F.lit("")).alias("raw"), "start_ms", "end_ms", F.col("word_index").alias("source_start"), (F.col("word_index") + 1).alias("source_end"))
+
+
+def _one_rule(slots: DataFrame, k: int, more: int) -> DataFrame:
+    """slots (with find and replace, null where a transcript has no such rule) after the rule, and how often it did something as c<k>. more: the blanks in the phrase, at most."""
+    kept = [c for c in slots.columns if c not in ("transcript_id", "word_index", "raw", "end_ms", "source_start", "source_end", *_RULE)]
+    by_place = Window.partitionBy("transcript_id").orderBy("word_index")
+    slots = slots.withColumn("text", trim_space(F.col("raw"))).withColumn("said", F.col("text") != "")
+    slots = _overlapping_chosen(slots, more) if more else slots.withColumn("ends", F.coalesce(F.col("text").contains(F.col("find")), F.lit(False)))
+    ended = F.col("ends").cast("long")
+    counted = slots.withColumn("earlier", F.coalesce(F.sum(ended).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum(ended).over(Window.partitionBy("transcript_id")))
+    keyed = counted.withColumn("key", F.when(F.col("earlier") < F.col("all"), -1 - F.col("earlier")).otherwise(F.col("word_index")))
+    one = F.array_sort(F.collect_list(F.struct("word_index", "raw", "text", "end_ms", "source_start", "source_end", *kept)))
+    met = keyed.groupBy("transcript_id", "key").agg(*_first_rule(), F.max("ends").alias("matched"), one.alias("x"))
+    met = met.select("transcript_id", *_RULE, "matched", "x", F.array_join(F.filter(F.transform("x", lambda w: w["text"]), lambda t: t != ""), " ").alias("joined"), F.element_at("x", -1).alias("last"))
+    count = ((F.char_length("joined") - F.char_length(F.replace("joined", F.col("find"), F.lit("")))) / F.char_length("find")).cast("int")
+    spread = met.select("transcript_id", "matched", "last", F.replace("joined", F.col("find"), F.col("replace")).alias("replaced"), F.when(F.col("matched"), count).alias("n"), F.posexplode("x").alias("at", "w"))
+    taken = F.col("matched") & (F.col("at") == 0)
+    then = lambda new, old: F.when(taken, new).otherwise(old)
+    return spread.select(
+        "transcript_id", "w.word_index", *(f"w.{c}" for c in kept), F.when(taken, F.col("replaced")).when(F.col("matched"), "").otherwise(F.col("w.raw")).alias("raw"), then(F.col("last.end_ms"), F.col("w.end_ms")).alias("end_ms"),
+        then(F.least("w.source_start", "last.source_start"), F.col("w.source_start")).alias("source_start"), then(F.greatest("w.source_end", "last.source_end"), F.col("w.source_end")).alias("source_end"), then(F.col("n"), F.lit(0)).alias(f"c{k}"),
+    )
+
+
+def _told(slots: DataFrame, n_rules: int) -> DataFrame:
+    whole = Window.partitionBy("transcript_id")
+    totals = F.array(*(F.sum(f"c{k}").over(whole).cast("int") for k in range(n_rules))).cast("array<int>")
+    first = F.row_number().over(whole.orderBy("word_index")) == 1
+    return slots.select("transcript_id", "segment_index", "word_index", F.col("raw").alias("text"), "start_ms", "end_ms", "source_start", "source_end", F.when(first, totals).alias("counts"))
+
+
 def corrected_words(words: DataFrame, rules: Rules) -> DataFrame:
     """words (with transcript_id, segment_index, word_index, text, start_ms, end_ms) after the rules, in each transcript on its own.
 
@@ -141,27 +182,24 @@ def corrected_words(words: DataFrame, rules: Rules) -> DataFrame:
     meet in one row if a match ends them. All goes by transcript after one shuffle; only words that
     become one are ever in one row.
     """
-    slots = words.select("transcript_id", "word_index", "segment_index", F.coalesce("text", F.lit("")).alias("raw"), "start_ms", "end_ms", F.col("word_index").alias("source_start"), (F.col("word_index") + 1).alias("source_end"))
-    by_place = Window.partitionBy("transcript_id").orderBy("word_index")
+    slots = _slots(words)
     for k, (find, replace) in enumerate(rules):
-        kept = [c for c in slots.columns if c not in ("transcript_id", "word_index", "raw", "end_ms", "source_start", "source_end")]
-        slots = slots.withColumn("text", trim_space(F.col("raw"))).withColumn("said", F.col("text") != "")
-        slots = _overlapping_chosen(slots, find) if " " in find else slots.withColumn("ends", F.col("text").contains(find))
-        ended = F.col("ends").cast("long")
-        counted = slots.withColumn("earlier", F.coalesce(F.sum(ended).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum(ended).over(Window.partitionBy("transcript_id")))
-        keyed = counted.withColumn("key", F.when(F.col("earlier") < F.col("all"), -1 - F.col("earlier")).otherwise(F.col("word_index")))
-        one = F.array_sort(F.collect_list(F.struct("word_index", "raw", "text", "end_ms", "source_start", "source_end", *kept)))
-        met = keyed.groupBy("transcript_id", "key").agg(F.max("ends").alias("matched"), one.alias("x"))
-        met = met.select("transcript_id", "matched", "x", F.array_join(F.filter(F.transform("x", lambda w: w["text"]), lambda t: t != ""), " ").alias("joined"), F.element_at("x", -1).alias("last"))
-        count = ((F.char_length("joined") - F.char_length(F.replace("joined", F.lit(find), F.lit("")))) / len(find)).cast("int")
-        spread = met.select("transcript_id", "matched", "last", F.replace("joined", F.lit(find), F.lit(replace)).alias("replaced"), count.alias("n"), F.posexplode("x").alias("at", "w"))
-        taken = F.col("matched") & (F.col("at") == 0)
-        then = lambda new, old, taken=taken: F.when(taken, new).otherwise(old)
-        slots = spread.select(
-            "transcript_id", "w.word_index", *(f"w.{c}" for c in kept), F.when(taken, F.col("replaced")).when(F.col("matched"), "").otherwise(F.col("w.raw")).alias("raw"), then(F.col("last.end_ms"), F.col("w.end_ms")).alias("end_ms"),
-            then(F.least("w.source_start", "last.source_start"), F.col("w.source_start")).alias("source_start"), then(F.greatest("w.source_end", "last.source_end"), F.col("w.source_end")).alias("source_end"), then(F.col("n"), F.lit(0)).alias(f"c{k}"),
-        )
-    whole = Window.partitionBy("transcript_id")
-    totals = F.array(*(F.sum(f"c{k}").over(whole).cast("int") for k in range(len(rules)))).cast("array<int>")
-    first = F.row_number().over(by_place) == 1
-    return slots.select("transcript_id", "segment_index", "word_index", F.col("raw").alias("text"), "start_ms", "end_ms", "source_start", "source_end", F.when(first, totals).alias("counts"))
+        slots = _one_rule(slots.withColumn("find", F.lit(find)).withColumn("replace", F.lit(replace)), k, find.count(" "))
+    return _told(slots, len(rules))
+
+
+def corrected_words_each(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """words after the rules of their own transcript (rules: transcript_id, scope_rank, rule_index, find, replace), in order, as corrected_words.
+
+    A round for each place in the longest list of rules of one transcript, for all transcripts at
+    once. Every few rounds their result is checkpointed, so that plans don't grow with the rules.
+    """
+    order = Window.partitionBy("transcript_id").orderBy("scope_rank", "rule_index")
+    ranked = rules.select("transcript_id", "find", "replace", (F.row_number().over(order) - 1).alias("k"))
+    rounds = ranked.groupBy("k").agg(F.max(F.regexp_count("find", F.lit(" "))).alias("more")).orderBy("k").collect()  # a row for each round
+    slots = _slots(words)
+    for k, more in rounds:
+        slots = _one_rule(slots.join(ranked.filter(F.col("k") == k).drop("k"), "transcript_id", "left"), k, more)
+        if (k + 1) % ROUNDS == 0:
+            slots = checkpointed(slots)
+    return _told(slots, len(rounds))

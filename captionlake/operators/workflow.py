@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from captionlake.functions.text import ascii_lower
 from captionlake.operators import attest, batches, captions, render, review, rules
+from captionlake.shared import checkpointed
 
 FORMATS = ("srt", "vtt")
 
@@ -20,28 +21,62 @@ def formats_of(wanted: Column) -> Column:
     return F.array_distinct(F.transform(wanted, F.lower))
 
 
-def _named(rows: DataFrame, name: str, content: str) -> DataFrame:
-    return rows.select("transcript_id", F.lit(name).alias("name"), F.col(content).alias("content"))
+def transcript_json(words: DataFrame, segments: DataFrame, language: str = "unknown") -> DataFrame:
+    """words and segments of transcripts as sources.transcripts.transcript_files reads them: transcript_id, content. Words are in order, and each segment names its range of them."""
+    own = {c: F.col(c) if c in words.columns else F.lit(None).cast(t) for c, t in (("confidence", "float"), ("speaker", "string"))}
+    word = F.struct(F.coalesce("text", F.lit("")).alias("text"), "start_ms", "end_ms", *(c.alias(n) for n, c in own.items()))
+    said = words.groupBy("transcript_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_index", word.alias("w")))), lambda x: x["w"]).alias("words"), F.max("end_ms").alias("duration_ms"))
+    ranges = words.groupBy("transcript_id", "segment_index").agg(F.min("word_index").alias("a"), (F.max("word_index") + 1).alias("b"))
+    segment = F.struct("start_ms", "end_ms", "text", F.coalesce("a", F.lit(0)).cast("int").alias("word_start"), F.coalesce("b", F.lit(0)).cast("int").alias("word_end"))
+    met = segments.join(ranges, ["transcript_id", "segment_index"], "left").groupBy("transcript_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment_index", segment.alias("s")))), lambda x: x["s"]).alias("segments"))
+    whole = met.join(said, "transcript_id", "left")
+    none = F.array().cast(said.schema["words"].dataType)
+    fields = [F.lit(1).alias("schema_version"), F.lit(language).alias("language"), F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"), F.coalesce("words", none).alias("words"), "segments"]
+    return whole.select("transcript_id", F.to_json(F.struct(*fields)).alias("content"))
+
+
+def rendered(words: DataFrame, segments: DataFrame, rules_: DataFrame | None = None, policy: captions.Policy = captions.Policy(), formats: tuple[str, ...] = FORMATS) -> tuple[DataFrame, DataFrame]:
+    """What corrections change, made anew from words and segments: transcript_id, name, content, counts (for each effective rule, in order); and the rules in that order: transcript_id, find, replace, place.
+
+    transcript.txt has the rules applied to the text. Subtitles are captions of the words after the
+    rules, so a phrase matches over lines and captions too.
+    """
+    none = words.sparkSession.createDataFrame([], f"transcript_id {words.schema['transcript_id'].dataType.simpleString()}, scope_rank long, rule_index long, find string, replace string")
+    used = none if rules_ is None else effective(rules_)
+    counts = F.coalesce("counts", F.array().cast("array<int>")).alias("counts")
+    made = rules.corrected_each(render.plain_text(segments), used).select("transcript_id", F.lit("transcript.txt").alias("name"), F.col("text").alias("content"), counts)
+    if formats:
+        # Read twice, for captions and for counts.
+        said = words if rules_ is None else checkpointed(rules.corrected_words_each(words, used))
+        shown = captions.captions(said, policy)
+        every = segments.select("transcript_id").distinct()
+        done = every if rules_ is None else every.join(said.filter(F.col("counts").isNotNull()).select("transcript_id", "counts"), "transcript_id", "left")
+        done = done.select("transcript_id", counts if rules_ is not None else F.array().cast("array<int>").alias("counts"))
+        made = made.union(render.subtitles(shown, every, formats).join(done, "transcript_id").select("transcript_id", "name", "content", "counts"))
+    place = F.row_number().over(review.Window.partitionBy("transcript_id").orderBy("scope_rank", "rule_index")) - 1
+    return made, used.select("transcript_id", "find", "replace", place.alias("place"))
+
+
+def corrections_receipt(made: DataFrame, rules_: DataFrame) -> DataFrame:
+    """made and rules_: of rendered. transcript_id, name, content: for each rule what it replaced in each artifact, as JSON."""
+    each = made.select("transcript_id", "name", F.posexplode("counts").alias("place", "replacements"))
+    applied = F.array_sort(F.collect_list(F.struct(F.col("name").alias("artifact"), F.coalesce("replacements", F.lit(0)).alias("replacements"))))
+    counted = each.groupBy("transcript_id", "place").agg(applied.alias("applications"))
+    none = F.array().cast("array<struct<artifact:string,replacements:int>>")
+    rule = F.struct("place", F.struct("find", "replace", F.coalesce("applications", none).alias("applications")).alias("rule"))
+    listed = rules_.join(counted, ["transcript_id", "place"], "left").groupBy("transcript_id").agg(F.transform(F.array_sort(F.collect_list(rule)), lambda r: r["rule"]).alias("rules"))
+    return listed.select("transcript_id", F.lit("corrections.json").alias("name"), F.to_json(F.struct(F.lit(2).alias("schema_version"), "rules")).alias("content"))
 
 
 def process(words: DataFrame, segments: DataFrame, rules_: DataFrame | None = None, policy: captions.Policy = captions.Policy(), formats: tuple[str, ...] = FORMATS) -> DataFrame:
     """words and segments of transcripts; rules_: transcript_id, scope_rank, rule_index, find, replace. transcript_id, name, content of each artifact.
 
-    transcript.txt has the corrected text. Subtitles are of the words as they are; for corrected
-    ones give what rules.corrected_words makes of them.
+    transcript.json has the words as they are, transcript.txt and the subtitles are corrected, and
+    corrections.json tells what each rule did, for transcripts that have rules.
     """
-    text = render.plain_text(segments)
-    if rules_ is not None:
-        text = rules.corrected_each(text, effective(rules_)).drop("counts")
-    shown = captions.captions(words, policy)
-    transcripts = segments.select("transcript_id").distinct()
-    made = _named(text, "transcript.txt", "text")
-    if "srt" in formats:
-        body = transcripts.join(render.srt(shown), "transcript_id", "left").withColumn("srt", F.coalesce("srt", F.lit("")))
-        made = made.union(_named(body, "subtitles.srt", "srt"))
-    if "vtt" in formats:
-        made = made.union(_named(render.vtt(shown, transcripts), "subtitles.vtt", "vtt"))
-    return made
+    made, used = rendered(words, segments, rules_, policy, formats)
+    kept = transcript_json(words, segments).select("transcript_id", F.lit("transcript.json").alias("name"), "content").union(made.select("transcript_id", "name", "content"))
+    return kept if rules_ is None else kept.union(corrections_receipt(made, used))
 
 
 def effective(rules_: DataFrame) -> DataFrame:
@@ -118,15 +153,16 @@ def accept(report: DataFrame, chosen: DataFrame, manifest: DataFrame) -> DataFra
 
 
 def verify(raw: DataFrame, actual: DataFrame) -> DataFrame:
-    """raw: receipt_id, json, is_file; actual: receipt_id, path, digest, is_file. What is wrong with each run: receipt_id, path, problem. A receipt that can't be read, or is invalid, is its only finding."""
+    """raw: receipt_id, json, is_file; actual: receipt_id, path, digest, is_file, and algorithm (SHA-256 where there is no such column; a file may have a row for each). What is wrong with each run: receipt_id, path, problem. A receipt that can't be read, or is invalid, is its only finding."""
     read = attest.read_receipts(raw)
     unread = read.filter(F.col("error").isNotNull()).select("receipt_id", F.lit(None).cast("string").alias("path"), F.col("error").alias("problem"))
     invalid = attest.receipt_errors(read)
     sound = read.join(invalid.select("receipt_id").distinct(), "receipt_id", "left_anti")
     tracked = attest.tracked_files(sound)
-    there = actual.select("receipt_id", "path", F.col("digest").alias("found"), F.col("is_file").alias("regular"))
+    algorithm = F.col("algorithm") if "algorithm" in actual.columns else F.lit("sha256")
+    there = actual.select("receipt_id", "path", algorithm.alias("algorithm"), F.col("digest").alias("found"), F.col("is_file").alias("regular"))
     problem = F.when(F.col("regular").isNull(), "missing").when(~F.col("regular"), "not-a-file").when(F.lower("digest") != F.lower("found"), "changed")
-    changed = tracked.join(there, ["receipt_id", "path"], "left").select("receipt_id", "path", problem.alias("problem")).filter(F.col("problem").isNotNull())
+    changed = tracked.join(there, ["receipt_id", "path", "algorithm"], "left").select("receipt_id", "path", problem.alias("problem")).filter(F.col("problem").isNotNull())
     return unread.union(invalid.select("receipt_id", F.lit(None).cast("string"), "error")).union(changed)
 
 

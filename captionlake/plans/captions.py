@@ -42,8 +42,8 @@ PACKED = (
         FROM (SELECT k.*, r AS r, w + 1 + length(r.text) <= 42 AS beside,
                      greatest(e, r.end_ms) - s <= 6000 AND w <= 42 AND (w + 1 + length(r.text) <= 42 OR length(r.text) <= 42 AND l < 2) AS joins
               FROM walk k JOIN ranked r ON r.transcript_id = k.transcript_id AND r.segment_index = k.segment_index AND r.grp = k.grp AND r.n = k.n + 1)),
-    lines AS (SELECT transcript_id, segment_index, grp, c, l, string_agg(text, ' ' ORDER BY n) AS line, list(text ORDER BY n) AS parts FROM walk GROUP BY ALL),
-    laid AS (SELECT transcript_id, segment_index, grp, c, max(line) FILTER (l = 1) AS one, max(parts) FILTER (l = 1) AS parts, max(line) FILTER (l = 2) AS two FROM lines GROUP BY ALL),
+    lines AS (SELECT transcript_id, segment_index, grp, c, l, string_agg(text, ' ' ORDER BY n) AS line FROM walk GROUP BY ALL),
+    laid AS (SELECT transcript_id, segment_index, grp, c, max(line) FILTER (l = 1) AS one, string_split(max(line) FILTER (l = 1), ' ') AS parts, max(line) FILTER (l = 2) AS two FROM lines GROUP BY ALL),
     moved AS (
         SELECT *, CASE WHEN two IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(1, len(parts)), lambda m:
             length(array_to_string(parts[:len(parts) - m], ' ')) >= length(array_to_string(parts[len(parts) - m + 1:], ' ')) + 1 + length(two)

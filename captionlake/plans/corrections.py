@@ -82,25 +82,26 @@ def _chain() -> str:
     return ", ".join(out)
 
 
-def _walked() -> str:
-    """For each rule a walk over the words of each transcript: a piece grows word by word until it holds the phrase."""
-    out, before = [], "base"
-    for n, (find, replace) in enumerate(WORD_RULES):
+def walked(rules: list[tuple[str, str]], base: str) -> str:
+    """For each rule (SQL for what it finds and what it puts, where {t} is the transcript) a walk over the words of each transcript: a piece grows word by word until it holds the phrase. The last is done<n>."""
+    out, before = [], base
+    for n, (find, replace) in enumerate(rules):
         kept = "".join(f", c{i}" for i in range(n))
+        f, own = find.format(t="w.transcript_id"), find.format(t="transcript_id")
         out.append(f"""
         walk{n} AS (
-            SELECT transcript_id, word_index AS a, word_index AS b, trim(text) AS piece, contains(text, '{find}') AS hit FROM {before} WHERE word_index = 0
+            SELECT transcript_id, word_index AS a, word_index AS b, trim(text) AS piece, contains(text, {own}) AS hit FROM {before} WHERE word_index = 0
             UNION ALL
-            SELECT transcript_id, CASE WHEN hit THEN b + 1 ELSE a END, b + 1, p, contains(p, '{find}')
+            SELECT transcript_id, CASE WHEN hit THEN b + 1 ELSE a END, b + 1, p, contains(p, {own})
             FROM (SELECT k.*, CASE WHEN hit OR piece = '' THEN trim(w.text) WHEN trim(w.text) = '' THEN piece ELSE piece || ' ' || trim(w.text) END AS p
                   FROM walk{n} k JOIN {before} w ON w.transcript_id = k.transcript_id AND w.word_index = k.b + 1)),
         hits{n} AS (SELECT transcript_id, a, b, piece FROM walk{n} WHERE hit),
         done{n} AS (
             SELECT w.transcript_id, segment_index, word_index, start_ms{kept},
-                   CASE WHEN h.a IS NULL THEN w.text WHEN h.a = word_index THEN replace(h.piece, '{find}', '{replace}') ELSE '' END AS text,
+                   CASE WHEN h.a IS NULL THEN w.text WHEN h.a = word_index THEN replace(h.piece, {f}, {replace.format(t="w.transcript_id")}) ELSE '' END AS text,
                    CASE WHEN h.a = word_index THEN l.e ELSE w.end_ms END AS end_ms, CASE WHEN h.a = word_index THEN least(w.source_start, l.s) ELSE w.source_start END AS source_start,
                    CASE WHEN h.a = word_index THEN greatest(w.source_end, l.t) ELSE w.source_end END AS source_end,
-                   CASE WHEN h.a = word_index THEN (length(h.piece) - length(replace(h.piece, '{find}', ''))) // {len(find)} ELSE 0 END AS c{n}
+                   CASE WHEN h.a = word_index THEN (length(h.piece) - length(replace(h.piece, {f}, ''))) // length({f}) ELSE 0 END AS c{n}
             FROM {before} w ASOF LEFT JOIN hits{n} g ON w.transcript_id = g.transcript_id AND w.word_index >= g.a
             LEFT JOIN hits{n} h ON h.transcript_id = g.transcript_id AND h.a = g.a AND w.word_index <= h.b
             LEFT JOIN (SELECT transcript_id, word_index AS b, end_ms AS e, source_start AS s, source_end AS t FROM {before}) l ON l.transcript_id = h.transcript_id AND l.b = h.b)""")
@@ -108,6 +109,7 @@ def _walked() -> str:
     return ",".join(out)
 
 
+BASE = "base AS (SELECT transcript_id, segment_index, word_index, text, start_ms, end_ms, word_index AS source_start, word_index + 1 AS source_end FROM timed)"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SCOPED = f"r AS (SELECT *, {_LOW.format('find')} AS k FROM (VALUES {_values(SCOPED)}) v(scope_rank, rule_index, find, replace))"
 _LAST = f"s{len(RULES) - 1}_1"
@@ -124,7 +126,7 @@ SQL = {
     "corrected_text": f"WITH {_chain()} SELECT doc_id, sha256(t) AS sha256, {', '.join(f'c{n}_0 + c{n}_1 AS n{n}' for n in range(len(RULES)))} FROM {_LAST}",
     "replacement_counts": f"WITH {_chain()} " + " UNION ALL ".join(f"SELECT {n}::BIGINT AS rule_index, '{f}' AS find, sum(c{n}_0 + c{n}_1)::BIGINT AS replacements FROM {_LAST}" for n, (f, _) in enumerate(RULES)),
     "unmatched_rules": " UNION ALL ".join(f"SELECT {n}::BIGINT AS rule_index, '{f}' AS find, '{r}' AS replace WHERE NOT EXISTS (SELECT 1 FROM documents WHERE regexp_matches(text, {_pattern(f)}))" for n, (f, r) in enumerate(RULES)),
-    "corrected_words": f"""WITH RECURSIVE {WORDS}, base AS (SELECT transcript_id, segment_index, word_index, text, start_ms, end_ms, word_index AS source_start, word_index + 1 AS source_end FROM timed), {_walked()}
+    "corrected_words": f"""WITH RECURSIVE {WORDS}, {BASE}, {walked([(f"'{f}'", f"'{r}'") for f, r in WORD_RULES], "base")}
         SELECT transcript_id, segment_index, word_index, text, start_ms, end_ms, source_start, source_end,
                CASE WHEN row_number() OVER (PARTITION BY transcript_id ORDER BY word_index) = 1 THEN concat_ws(',', {", ".join(f"(sum(c{n}) OVER (PARTITION BY transcript_id))::BIGINT" for n in range(len(WORD_RULES)))}) END AS counts
         FROM done{len(WORD_RULES) - 1}""",

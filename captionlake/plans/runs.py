@@ -9,6 +9,7 @@ from captionlake.operators import attest as A
 from captionlake.operators import batches as B
 from captionlake.operators import workflow as W
 from captionlake.plans import captions as PC
+from captionlake.plans import corrections as PX
 from captionlake.plans import records as PR
 from captionlake.plans import reviews as PV
 from captionlake.plans.captions import WORDS
@@ -28,7 +29,7 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def process_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrected text and subtitles of every conversation, as digests."""
+    """All that a run makes of every conversation, as digests: the transcript, its corrected text and subtitles, and what each rule did."""
     made = W.process(PC.words(spark, sf_dir), X.conversation_segments(spark, sf_dir), _rules(spark, sf_dir))
     return made.select("transcript_id", "name", F.sha2("content", 256).alias("digest"))
 
@@ -256,6 +257,22 @@ def _clock(ms: str, dot: str) -> str:
 
 _CUES = f"""cues AS (SELECT transcript_id, string_agg((caption_index + 1) || chr(10) || {_clock('start_ms', ',')} || ' --> ' || {_clock('end_ms', ',')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY caption_index) AS srt,
                'WEBVTT' || chr(10) || chr(10) || string_agg({_clock('start_ms', '.')} || ' --> ' || {_clock('end_ms', '.')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY caption_index) AS vtt FROM shown GROUP BY transcript_id)"""
+#: The effective rules of each conversation in order: of odd ones "the" first, of even ones last.
+_ODD = "{t} % 2 = 1"
+_RULES = [(f"CASE WHEN {_ODD} THEN 'the' ELSE 'and' END", f"CASE WHEN {_ODD} THEN 'teh-' || {{t}} ELSE '& $1' END"), (f"CASE WHEN {_ODD} THEN 'and' ELSE 'no such phrase' END", f"CASE WHEN {_ODD} THEN '& $1' ELSE 'x' END"), (f"CASE WHEN {_ODD} THEN 'no such phrase' ELSE 'the' END", f"CASE WHEN {_ODD} THEN 'x' ELSE 'then' END")]
+_EACH = PX.BASE.replace("FROM timed", "FROM spoken") + ", " + PX.walked(_RULES, "base")
+_QUOTED = "'\"' || replace(replace(replace(replace({}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't') || '\"'"
+_JSON = f"""spans AS (SELECT transcript_id, segment_index, min(start_ms) AS a, max(end_ms) AS b, min(word_index) AS lo, max(word_index) + 1 AS hi FROM spoken GROUP BY ALL),
+        lists AS (SELECT transcript_id, max(end_ms) AS duration, string_agg('{{"text":' || {_QUOTED.format("text")} || ',"start_ms":' || start_ms || ',"end_ms":' || end_ms || ',"confidence":' || CAST(CAST(percent AS FLOAT) / 100 AS FLOAT) || ',"speaker":' || {_QUOTED.format("speaker")} || '}}', ',' ORDER BY word_index) AS words FROM spoken GROUP BY transcript_id),
+        parts AS (SELECT transcript_id, string_agg('{{"start_ms":' || a || ',"end_ms":' || b || ',"text":' || {_QUOTED.format("c.text")} || ',"word_start":' || lo || ',"word_end":' || hi || '}}', ',' ORDER BY segment_index) AS segments
+                  FROM spans JOIN conversations c ON c.conv_id = transcript_id AND c.turn = segment_index GROUP BY transcript_id),
+        canonical AS (SELECT transcript_id, '{{"schema_version":1,"language":"unknown","duration_ms":' || duration || ',"words":[' || words || '],"segments":[' || segments || ']}}' AS json FROM lists JOIN parts USING (transcript_id)),
+        heard AS (SELECT transcript_id, sum(c0) AS n0, sum(c1) AS n1, sum(c2) AS n2 FROM done2 GROUP BY transcript_id),
+        put AS (SELECT transcript_id, d0.c AS m0, d1.c - d0.c AS m1, d2.c - d1.c AS m2 FROM r01 d0 JOIN r11 d1 USING (transcript_id) JOIN r21 d2 USING (transcript_id)),
+        ordered AS (SELECT transcript_id, CASE WHEN transcript_id % 2 = 1 THEN [m0, m1, 0] ELSE [m1, 0, m2] END AS m FROM put),
+        told AS (SELECT transcript_id, '{{"schema_version":2,"rules":[' || list_aggregate(list_transform([1, 2, 3], lambda i: '{{"find":' || [{", ".join(_QUOTED.format("(" + f.format(t="transcript_id") + ")") for f, _ in _RULES)}][i] || ',"replace":' || [{", ".join(_QUOTED.format("(" + r.format(t="transcript_id") + ")") for _, r in _RULES)}][i]
+                   || ',"applications":[{{"artifact":"subtitles.srt","replacements":' || [n0, n1, n2][i] || '}},{{"artifact":"subtitles.vtt","replacements":' || [n0, n1, n2][i] || '}},{{"artifact":"transcript.txt","replacements":' || m[i] || '}}]}}'), 'string_agg', ',') || ']}}' AS json
+                 FROM ordered JOIN heard USING (transcript_id))"""
 _TOLD = " ".join(PV.SPOKEN[1:])
 _REPORT = f"""{WORDS}, n AS (SELECT *, count(*) OVER w AS n, min(start_ms) OVER w AS a, max(end_ms) OVER w AS b, (transcript_id + segment_index) % 7 = 0 AS flat FROM timed WINDOW w AS (PARTITION BY transcript_id, segment_index)),
     spoken AS (SELECT *, CASE WHEN place % {PV.EVERY} < {len(PV.SPOKEN)} AND place - place % {PV.EVERY} + {len(PV.SPOKEN)} < n THEN [{", ".join(f"'{w}'" for w in PV.SPOKEN)}][place % {PV.EVERY} + 1] WHEN regexp_matches(text, '(?i)^[\\s.]*(visit|open|at|on|website|url|link|www)\\W*$') THEN '-' ELSE text END AS said FROM n),
@@ -288,9 +305,12 @@ QUERIES = {f.__name__: f for f in (
     sibling_transcripts, located_workspaces, promotions, planned_inputs, memo_hits, format_lists,
 )}
 SQL = {
-    "process_artifacts": f"""WITH RECURSIVE {PC.REPAIRED}, {_CUES}, {_PLAIN}, {_replaced('plain', 'transcript_id', 'transcript_id')}, every AS (SELECT transcript_id FROM plain)
+    "process_artifacts": f"""WITH RECURSIVE {WORDS.replace("timed AS", "spoken AS").replace("FROM timed", "FROM spoken").replace("grouped AS", "unused AS")}, {_EACH}, {_PLAIN}, {_replaced('plain', 'transcript_id', 'transcript_id')},
+        timed AS (SELECT transcript_id, segment_index, word_index AS place, trim(text) AS text, word_index, start_ms, end_ms FROM done2 WHERE trim(text) <> ''),
+        grouped AS {WORDS.partition("grouped AS")[2]}{PC.REPAIRED.removeprefix(WORDS)}, {_CUES}, every AS (SELECT transcript_id FROM plain), {_JSON}
         SELECT transcript_id, 'transcript.txt' AS name, sha256(t) AS digest FROM r21 UNION ALL SELECT transcript_id, 'subtitles.srt', sha256(coalesce(srt, '')) FROM every LEFT JOIN cues USING (transcript_id)
-        UNION ALL SELECT transcript_id, 'subtitles.vtt', sha256(coalesce(vtt, 'WEBVTT' || chr(10) || chr(10))) FROM every LEFT JOIN cues USING (transcript_id)""",
+        UNION ALL SELECT transcript_id, 'subtitles.vtt', sha256(coalesce(vtt, 'WEBVTT' || chr(10) || chr(10))) FROM every LEFT JOIN cues USING (transcript_id)
+        UNION ALL SELECT transcript_id, 'transcript.json', sha256(json) FROM canonical UNION ALL SELECT transcript_id, 'corrections.json', sha256(json) FROM told""",
     "corrected_artifacts": f"""WITH turns AS (SELECT conv_id AS transcript_id, 'turn-' || turn AS name, text AS t FROM conversations WHERE text IS NOT NULL), {_replaced('turns', 'transcript_id', 'transcript_id, name')}
         SELECT transcript_id, name, sha256(t) AS digest, c::BIGINT AS replacements FROM r21""",
     "correction_dry_run": f"""WITH turns AS (SELECT conv_id AS transcript_id, role AS name, text AS t FROM conversations WHERE text IS NOT NULL), {_replaced('turns', 'transcript_id', 'transcript_id, name')}

@@ -8,6 +8,7 @@ from captionlake.operators import review as V
 from captionlake.operators import rules as R
 from captionlake.operators import workflow as W
 from captionlake.sources import files as S
+from captionlake.sources import transcripts as T
 
 WORDS = "transcript_id long, segment_index long, word_index long, text string, start_ms long, end_ms long, confidence float, speaker string"
 SEGMENTS = "transcript_id long, segment_index long, start_ms long, end_ms long, text string"
@@ -29,20 +30,49 @@ def said(spark):
 def test_process_and_receipts(spark):
     words, segments, rules = said(spark)
     got = {(r.transcript_id, r.name): r.content for r in W.process(words, segments, rules).collect()}
-    assert len(got) == 9
+    assert len(got) == 14  # four each, and what rules did to two
     assert got[1, "transcript.txt"] == "OTel visit example .com\napply Kubernetis now.\n" and got[2, "transcript.txt"] == "1 two\n"
     assert got[1, "subtitles.srt"].startswith("1\n00:00:00,000 --> ") and got[3, "subtitles.srt"] == "" and got[3, "subtitles.vtt"] == "WEBVTT\n\n"
-    assert {n for _, n in ((r.transcript_id, r.name) for r in W.process(words, segments, formats=("vtt",)).collect())} == {"transcript.txt", "subtitles.vtt"}
+    assert {n for _, n in ((r.transcript_id, r.name) for r in W.process(words, segments, formats=("vtt",)).collect())} == {"transcript.json", "transcript.txt", "subtitles.vtt"}
     assert spark.range(1).select(W.formats_of(A.F.array(A.F.lit("SRT"), A.F.lit("vtt"), A.F.lit("srt"))).alias("f")).first().f == ["srt", "vtt"]
     runs = [(1, "transcript-only", ("../t.mp4", ("sha256", "c" * 64)), [(s, "executed") for s in A.STAGES["transcript-only"]], [(s, "x") for s in A.PROVIDED])]
     runs = spark.createDataFrame(runs, "receipt_id long, mode string, source struct<path:string,digest:struct<algorithm:string,value:string>>, stages array<struct<stage:string,status:string>>, providers array<struct<stage:string,provider:string>>")
-    raw = W.receipts(W.process(words, segments, rules).union(segments.select("transcript_id", A.F.lit("transcript.json"), A.F.lit("{}")).distinct()), runs).withColumn("is_file", A.F.lit(True))
+    raw = W.receipts(W.process(words, segments, rules), runs).withColumn("is_file", A.F.lit(True))
     read = A.read_receipts(raw)
-    assert A.receipt_errors(read).count() == 0 and [r.n for r in A.artifact_count(read).collect()] == [4]
+    assert A.receipt_errors(read).count() == 0 and [r.n for r in A.artifact_count(read).collect()] == [5]
     tracked = {r.path: r.digest for r in A.tracked_files(read).collect()}
     assert tracked["transcript.txt"] == hashlib.sha256(got[1, "transcript.txt"].encode()).hexdigest()
 
 
+def test_what_is_processed_is_read_again_and_corrected_by_words(spark):
+    words, segments, _ = said(spark)
+    rules = spark.createDataFrame([(1, 0, 0, "telemetry visit", "Telemetry, see"), (1, 0, 1, "e", "E"), (2, 0, 0, "none", "x")], RULES)
+    got = {(r.transcript_id, r.name): r.content for r in W.process(words, segments, rules).collect()}
+    raw = spark.createDataFrame([(t, c) for (t, n), c in got.items() if n == "transcript.json"], "transcript_id long, json string")
+    read = T.transcript_files(raw)
+    assert read.filter("error is not null").count() == 0
+    key = lambda r: (r.transcript_id, r.word_index)
+    assert [tuple(r) for r in sorted(T.words(read).collect(), key=key)] == [(r.transcript_id, r.segment_index, r.word_index, r.text, r.start_ms, r.end_ms, r.confidence, r.speaker) for r in sorted(words.collect(), key=key)]
+    assert {tuple(r) for r in T.segments(read).collect()} == {tuple(r) for r in segments.collect()}
+    # The phrase stands over words; what was before it in the transcript becomes one word with it.
+    assert "OpEn TElEmEtry, sEE" in got[1, "subtitles.srt"] and "telemetry" not in got[1, "subtitles.vtt"]
+    told = {r["find"]: {a["artifact"]: a["replacements"] for a in r["applications"]} for r in json.loads(got[1, "corrections.json"])["rules"]}
+    assert told["telemetry visit"] == {"transcript.txt": 1, "subtitles.srt": 1, "subtitles.vtt": 1}
+    assert told["e"]["subtitles.srt"] == told["e"]["subtitles.vtt"] == 11 and told["e"]["transcript.txt"] == 0
+    assert json.loads(got[2, "corrections.json"])["rules"] == [{"find": "none", "replace": "x", "applications": [{"artifact": n, "replacements": 0} for n in ("subtitles.srt", "subtitles.vtt", "transcript.txt")]}]
+
+
+def test_rules_of_each_transcript_equal_those_of_all(spark):
+    words, _, _ = said(spark)
+    given = [("Open telemetry", "OT"), ("e", "E"), ("sE", "")]
+    each = spark.createDataFrame([(t, 0, n, f, r) for t in (1, 2, 3) for n, (f, r) in enumerate(given)], RULES)
+    key = lambda rows: sorted((r.transcript_id, r.word_index, r.text, r.end_ms, r.source_start, r.source_end, tuple(r.counts or ())) for r in rows)
+    assert key(R.corrected_words_each(words, each).collect()) == key(R.corrected_words(words, given).collect())
+    few = each.filter("transcript_id = 1 and rule_index < 2 or transcript_id = 2 and rule_index = 1")
+    some = key(R.corrected_words_each(words, few).collect())
+    assert [x for x in some if x[0] == 2][0][2] == "onE" and [x for x in some if x[0] == 3][0][2] == " "
+
+
 def test_correct(spark):
     words, segments, rules = said(spark)
     artifacts = segments.select("transcript_id", A.F.concat(A.F.lit("s"), "segment_index").alias("name"), A.F.col("text").alias("content"))
