@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionlake.operators import attest as A
 from captionlake.operators import batches as B
 from captionlake.sources import files as S
+from captionlake.shared import folder
 from captionlake.sources import fixtures as X
+from captionlake.sources import publish
 
 STATE = {"view": "pending", "signup": "running", "error": "failed", "click": "complete", "purchase": "complete"}
 
@@ -40,7 +44,7 @@ def item_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(F.col("dear") & (F.col("state") == "complete"), "needs-reprocessing").when(F.col("dear") & (F.col("state") == "failed"), "missing").otherwise(F.col("state"))
     log = _log(spark, sf_dir).join(dear, "seq", "left").withColumn("state", other)
     until = log.agg(F.max("at_ms")).first()[0]
-    return B.history(log, LEASE_MS, until)
+    return B.history(log, LEASE_MS, until).withColumn("seq", F.coalesce("seq", F.lit(-1))).withColumn("error", F.coalesce("error", F.lit("")))
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,17 @@ def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.publication(one(i % 2 == 0, i % 5), one(i % 3 != 0, i % 4), one(i % 7 != 0, i % 6))
 
 
+def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a file, published twice: at first those of even ids in upper case, then all; what lies there afterwards."""
+    root = f"{folder(spark)}/published-{uuid.uuid4().hex[:12]}"
+    publish.register(spark)
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id") % 10, F.lit("/doc-"), "doc_id", F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    for some in (docs.filter("doc_id % 2 = 0").select("path", F.upper("text").alias("content")).union(docs.filter("doc_id = 0").select(F.lit("stale.txt"), F.lit("x"))), docs.select("path", F.col("text").alias("content"))):
+        some.select("path", F.col("content").cast("binary").alias("content")).write.format("published").mode("append").option("root", root).save()
+    lie = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
+    return lie.select(F.regexp_extract("path", r"([^/]*/[^/]*\.txt)$", 1).alias("path"), F.sha2("content", 256).alias("digest"))
+
+
 def media_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files named on three command lines, some by a roundabout path, some with other endings."""
     i = F.col("doc_id")
@@ -94,7 +109,7 @@ _LATEST = f"{_LOG}, latest AS (SELECT batch_id, position, arg_max(state, (at_ms,
 _COUNTS = f"{_LATEST}, counts AS (SELECT batch_id, count(*) FILTER (state = 'complete') AS complete, count(*) FILTER (state <> 'complete') AS incomplete, bool_and(state = 'complete') AS is_complete, bool_or(state = 'running') AS has_running FROM latest GROUP BY batch_id)"
 _OPEN = "created AS (SELECT batch_id, batch_id % 6 AS scope, min(at_ms) AS created_ms FROM log GROUP BY batch_id)"
 
-QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, item_history, newest_incomplete, batch_activity, verify_files, publication, media_inputs, output_collisions)}
+QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, item_history, newest_incomplete, batch_activity, verify_files, publication, published_files, media_inputs, output_collisions)}
 SQL = {
     "batch_latest_state": f"WITH {_LATEST} SELECT * FROM latest",
     "batch_counts": f"WITH {_COUNTS} SELECT * FROM counts",
@@ -117,9 +132,9 @@ SQL = {
                                CASE WHEN w.state = 'running' AND w.since + {LEASE_MS} <= r.at_ms THEN 'interrupted' ELSE w.state END AS now
                         FROM walk w JOIN ranked r ON r.batch_id = w.batch_id AND r.position = w.position AND r.n = w.n + 1))),
         last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY batch_id, position ORDER BY n DESC) = 1)
-        SELECT batch_id, position, seq, wanted, state, attempt, at_ms, error FROM walk WHERE n > 0
-        UNION ALL SELECT batch_id, position, NULL, 'interrupted', 'interrupted', was, lapsed, NULL FROM walk WHERE lapsed IS NOT NULL
-        UNION ALL SELECT batch_id, position, NULL, 'interrupted', 'interrupted', attempt, since + {LEASE_MS}, NULL FROM last WHERE state = 'running' AND since + {LEASE_MS} <= (SELECT max(at_ms) FROM log)""",
+        SELECT batch_id, position, seq, wanted, state, attempt, at_ms, coalesce(error, '') AS error FROM walk WHERE n > 0
+        UNION ALL SELECT batch_id, position, -1, 'interrupted', 'interrupted', was, lapsed, '' FROM walk WHERE lapsed IS NOT NULL
+        UNION ALL SELECT batch_id, position, -1, 'interrupted', 'interrupted', attempt, since + {LEASE_MS}, '' FROM last WHERE state = 'running' AND since + {LEASE_MS} <= (SELECT max(at_ms) FROM log)""",
     "newest_incomplete": f"WITH {_COUNTS}, {_OPEN} SELECT scope, arg_max(batch_id, (created_ms, batch_id)) AS batch_id, max(created_ms) AS created_ms FROM created JOIN counts USING (batch_id) WHERE NOT is_complete GROUP BY scope",
     "batch_activity": f"WITH {_COUNTS} SELECT batch_id, CASE WHEN is_complete THEN 'complete' WHEN NOT has_running THEN 'incomplete' WHEN batch_id % 4 = 0 THEN 'active' ELSE 'interrupted' END AS activity FROM counts",
     "verify_files": """SELECT CASE WHEN doc_id % 17 = 0 THEN '../' ELSE '' END || 'doc-' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 'artifact' ELSE 'source' END AS kind,
@@ -129,6 +144,7 @@ SQL = {
         a AS (SELECT path, CASE WHEN new IS NOT NULL AND there IS NULL THEN 'write' WHEN new = there THEN 'keep' WHEN new IS NOT NULL AND owned = there THEN 'write' WHEN new IS NOT NULL THEN 'refuse'
                                WHEN there IS NOT NULL AND owned = there THEN 'delete' WHEN owned IS NOT NULL AND there IS NOT NULL THEN 'leave' END AS action FROM d)
         SELECT * FROM a WHERE action IS NOT NULL""",
+    "published_files": "SELECT doc_id % 10 || '/doc-' || doc_id || '.txt' AS path, sha256(coalesce(text, '')) AS digest FROM documents",
     "media_inputs": """WITH f AS (SELECT doc_id % 3 AS group_pos, 'in/' || source || '/' || (doc_id % 700) || CASE doc_id % 4 WHEN 0 THEN '.MP4' ELSE '.tar.wav' END AS path FROM documents WHERE doc_id % 4 IN (0, 2)),
                o AS (SELECT path, min(group_pos) AS group_pos FROM f GROUP BY path)
         SELECT row_number() OVER (ORDER BY group_pos, path) - 1 AS position, group_pos, path FROM o""",
