@@ -94,7 +94,7 @@ def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.col("turn") / 2) * 61_000).alias("start_ms"), (F.floor(F.col("turn") / 2) * 61_000 + F.col("turn") % 3).alias("end_ms"),
         F.when(F.col("turn") % 5 == 3, " ").otherwise(F.concat("role", F.lit(" "), F.col("turn").cast("string"))).alias("title"),
     )
-    row = F.struct("turn", topic.alias("t"), F.when(F.col("turn") % 4 == 1, F.concat(F.lit(" "), F.substring("text", 1, 40), F.lit(" "))).alias("p"), F.concat("role", F.lit(" of "), F.col("turn").cast("string")).alias("k"))
+    row = F.struct("turn", topic.alias("t"), F.when(F.col("turn") % 4 == 1, F.concat(F.lit(" "), "text", F.lit(" "))).alias("p"), F.concat("role", F.lit(" of "), F.col("turn").cast("string")).alias("k"))
     turns = _turns(spark, sf_dir).filter("length(trim(text)) > 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
     pick = lambda f: F.transform("r", lambda x: x[f])
     return turns.select(
@@ -177,7 +177,7 @@ _TRIM = "regexp_replace({}, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')"
 _ANALYSES = r"""
     a AS (SELECT conv_id, turn, role, text, turn // 2 * 61000 AS s, turn // 2 * 61000 + turn % 3 AS e, CASE WHEN turn % 5 = 3 THEN ' ' ELSE role || ' ' || turn END AS title FROM conversations WHERE length(trim(text)) > 0),
     head AS (SELECT conv_id, '# Talk ' || conv_id || chr(10) || chr(10) || count(*) || ' turns' || chr(10) AS head,
-                    coalesce(chr(10) || '## Key points' || chr(10) || string_agg('- ' || regexp_replace(text[1:40], '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') || chr(10), '' ORDER BY turn) FILTER (turn % 4 = 1), '') AS points,
+                    coalesce(chr(10) || '## Key points' || chr(10) || string_agg('- ' || regexp_replace(text, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') || chr(10), '' ORDER BY turn) FILTER (turn % 4 = 1), '') AS points,
                     CASE WHEN conv_id % 3 > 0 THEN chr(10) || string_agg('#' || role || 'of' || turn, ' ' ORDER BY turn) || chr(10) ELSE '' END AS tags FROM a GROUP BY conv_id),
     marks AS (SELECT * FROM a WHERE trim(title) <> '' AND s < e QUALIFY row_number() OVER (PARTITION BY conv_id, s ORDER BY turn) = 1),
     chaps AS (SELECT conv_id, string_agg('- ' || printf('%02d:%02d', s // 60000, s // 1000 % 60) || ' ' || title || chr(10), '' ORDER BY s) AS chapters FROM marks GROUP BY conv_id)"""
