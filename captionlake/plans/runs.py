@@ -13,6 +13,7 @@ from captionlake.plans import corrections as PX
 from captionlake.plans import records as PR
 from captionlake.plans import reviews as PV
 from captionlake.plans.captions import WORDS
+from captionlake.sources import budget as G
 from captionlake.sources import files as S
 from captionlake.sources import fixtures as X
 
@@ -173,14 +174,14 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a folder for each language, those that a discovery reads."""
-    return S.within_budget(S.term_files(_listed(spark, sf_dir)), *BUDGET).select("root", "path", "length")
+    return G.within_budget(S.term_files(_listed(spark, sf_dir)), *BUDGET).select("root", "path", "length")
 
 
 def discovered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of documents, by language, then of other transcripts, until there are so many."""
     docs = X.table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select(F.col("lang").alias("root"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), "text")
     turns = X.table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull()).select(F.lit("en").alias("root"), F.format_string("%09d", F.col("conv_id") * 100 + F.col("turn")).alias("path"), "text")
-    found = S.within_terms(S.union_of_terms([(docs, True, 3), (turns, False, 0)]), 3000, 20_000)
+    found = G.within_terms(S.union_of_terms([(docs, True, 3), (turns, False, 0)]), 3000, 20_000)
     return found.groupBy("root", "key").agg(F.min_by("token", F.struct("rank", "path", "line", "place")).alias("display"), F.count(F.lit(1)).alias("n"), F.bool_or("authoritative").alias("authoritative"))
 
 

@@ -103,9 +103,8 @@ def term_tokens(files: DataFrame, min_key: int = 3) -> DataFrame:
     return kept.filter(F.char_length("key") >= min_key)
 
 
-# How deep a crawl goes, how large a file may be, and what one discovery may take in all.
+# How deep a crawl goes and how large a file may be.
 DEPTH, FILE_BYTES = 4, 1_000_000
-MAX_FILES, MAX_BYTES, MAX_TERMS, MAX_EVIDENCE = 512, 16_000_000, 20_000, 50_000
 
 
 def term_files(listed: DataFrame) -> DataFrame:
@@ -133,39 +132,6 @@ def read_term_files(spark: SparkSession, root: str) -> DataFrame:
     return term_files(found).withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).filter(F.col("text").isNotNull()).drop("content")
 
 
-def within_budget(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """files: root (if there are several), path, length. For each root its files in order of path, each path once, until max_files are taken; one that would pass max_bytes is left out, smaller ones after it are not."""
-    if "root" not in files.columns:
-        return within_budget(files.withColumn("root", F.lit("")), max_files, max_bytes).drop("root")
-    state = "struct<n:int,bytes:bigint,taken:array<string>>"
-    begin = F.from_json(F.lit('{"n":0,"bytes":0,"taken":[]}'), state)
-
-    def step(s, f):
-        fits = (s["n"] < max_files) & (s["bytes"] + f["length"] <= max_bytes)
-        more = F.struct((s["n"] + 1).alias("n"), (s["bytes"] + f["length"]).alias("bytes"), F.concat(s["taken"], F.array(f["path"])).alias("taken"))
-        return F.when(fits, more).otherwise(s)
-
-    # Names and sizes alone; what is not small enough for the whole budget goes before.
-    sizes = files.filter(F.col("length") <= max_bytes).groupBy("root", "path").agg(F.min("length").cast("long").alias("length"))
-    listed = sizes.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("path", "length"))).alias("f"))
-    taken = listed.select("root", F.explode(F.aggregate("f", begin, step, lambda s: s["taken"])).alias("path"))
-    return files.dropDuplicates(["root", "path"]).join(taken, ["root", "path"], "left_semi")
-
-
-def within_terms(tokens: DataFrame, max_terms: int = MAX_TERMS, max_evidence: int = MAX_EVIDENCE) -> DataFrame:
-    """tokens: root, rank (of the kind of source), path, line, place, key. For each root those in order until it has so many terms or tokens.
-
-    A file is read on when the terms are all there, until it has one more; no further file is begun.
-    """
-    order = Window.partitionBy("root").orderBy("rank", "path", "line", "place")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    first = (F.row_number().over(Window.partitionBy("root", "key").orderBy("rank", "path", "line", "place")) == 1).cast("int")
-    counted = tokens.withColumn("_new", first).withColumn("_n", F.row_number().over(order)).withColumn("_terms", F.sum("_new").over(upto))
-    begun = F.min(F.struct("_n", (F.col("_terms") - F.col("_new")).alias("before"))).over(Window.partitionBy("root", "rank", "path"))["before"]
-    kept = counted.withColumn("_before", begun).filter((F.col("_n") <= max_evidence) & (F.col("_terms") <= max_terms) & (F.col("_before") < max_terms))
-    return kept.drop("_new", "_n", "_terms", "_before")
-
-
 def union_of_terms(sources: list[tuple[DataFrame, bool, int]]) -> DataFrame:
     """sources: files (root, path, text), whether they are authoritative, and the least length of a key. Their tokens, a path only from the first source that has it: root, rank, path, line, place, token, key, authoritative."""
     parts = []

@@ -12,6 +12,7 @@ from captionlake.operators import chunks as K
 from captionlake.operators import render as R
 from captionlake.operators import workflow as W
 from captionlake.plans import reviews
+from captionlake.sources import budget as G
 from captionlake.sources import files as S
 from captionlake.sources import fixtures
 from captionlake.sources import transcripts as T
@@ -57,7 +58,7 @@ def test_media_and_manifest_paths(spark, tmp_path):
     assert T.transcript_files(T.read_texts(spark, str(tmp_path))).filter("error is null").count() == 1
     assert S.media_inputs(S.list_files(spark, [str(tmp_path)])).count() == 1
     sizes = spark.createDataFrame([(f"f{n}", 10) for n in range(9)], "path string, length long")
-    assert S.within_budget(sizes, max_files=5).count() == 5 and S.within_budget(sizes, max_bytes=35).count() == 3
+    assert G.within_budget(sizes, max_files=5).count() == 5 and G.within_budget(sizes, max_bytes=35).count() == 3
     with pytest.raises(ValueError):
         S.contributing(S.manifest_rules(spark.createDataFrame([("m", 0, "# only")], "manifest string, scope_rank long, text string")), explicit=True)
 
@@ -226,12 +227,12 @@ def test_discovery(spark, tmp_path):
     kept = S.term_files(spark.createDataFrame([*listed, ("/r", "/other/a.md", 5)], "root string, path string, length long"))
     assert {r.path for r in kept.collect()} == {"/r/a.md", "/r/a/b/c/d/x.TXT", "/r/x.env", "/r/.hidden.md"}
     sizes = spark.createDataFrame([("r", p, n) for p, n in [("a", 6), ("b", 5), ("c", 3), ("d", 2), ("d", 2), ("e", 1), ("f", 99)]] + [("s", "a", 10)], "root string, path string, length long")
-    assert sorted((r.root, r.path) for r in S.within_budget(sizes, 3, 10).collect()) == [("r", "a"), ("r", "c"), ("r", "e"), ("s", "a")]
-    assert sorted((r.path) for r in S.within_budget(sizes.filter("root = 'r'"), 2, 10).collect()) == ["a", "c"]
+    assert sorted((r.root, r.path) for r in G.within_budget(sizes, 3, 10).collect()) == [("r", "a"), ("r", "c"), ("r", "e"), ("s", "a")]
+    assert sorted((r.path) for r in G.within_budget(sizes.filter("root = 'r'"), 2, 10).collect()) == ["a", "c"]
     files = lambda rows: spark.createDataFrame(rows, "root string, path string, text string")
     terms = S.union_of_terms([(files([("r", "1", "Aaa Bbb Aaa"), ("r", "2", "Ccc Aaa Ddd"), ("r", "3", "Aaa Eee")]), True, 3), (files([("r", "1", "Zzz"), ("r", "9", "A.b Aaa")]), False, 0)])
     assert sorted((r.path, r.token, r.authoritative) for r in terms.filter("path in ('1', '9')").collect()) == [("1", "Aaa", True), ("1", "Aaa", True), ("1", "Bbb", True), ("9", "A.b", False), ("9", "Aaa", False)]
-    cut = lambda **k: [r.token for r in S.within_terms(terms, **k).orderBy("rank", "path", "line", "place").collect()]
+    cut = lambda **k: [r.token for r in G.within_terms(terms, **k).orderBy("rank", "path", "line", "place").collect()]
     assert cut() == ["Aaa", "Bbb", "Aaa", "Ccc", "Aaa", "Ddd", "Aaa", "Eee", "A.b", "Aaa"]
     assert cut(max_evidence=4) == ["Aaa", "Bbb", "Aaa", "Ccc"]
     assert cut(max_terms=3) == ["Aaa", "Bbb", "Aaa", "Ccc", "Aaa"]  # the second file until its new term; the third isn't begun
