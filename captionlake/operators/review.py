@@ -63,29 +63,65 @@ def _pieces(size: Column, share: float) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.floor(i * size / n).cast("int").alias("at"), (F.floor((i + 1) * size / n) - F.floor(i * size / n)).cast("int").alias("len")))
 
 
-def _best(observed: DataFrame, forms: DataFrame, share: float) -> DataFrame:
-    """observed: observed, k (its key). For each spelling the terms with a form that is similar enough: observed, key, score.
+# A form with so many edits at most, and a piece so short, is met by deletions instead: texts of five
+# letters share pieces of one or two with too many others.
+DELETED, SHORT = 3, 3
+
+
+def _by_deletion(size: Column, share: float) -> Column:
+    """Whether forms of this length are met by what is left when letters are taken away."""
+    edits = _edits(size, share)
+    return edits.between(1, DELETED) & (F.floor(size / (edits + 1)) <= SHORT)
+
+
+def _less(text: Column, most: Column) -> Column:
+    """What is left of a text without some of its letters, of any up to most of them and DELETED: itself too, each once."""
+
+    def without_one(word: Column) -> Column:
+        places = F.when(F.char_length(word) > 0, F.sequence(F.lit(1), F.char_length(word))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda n: F.concat(F.substring(word, F.lit(1), n - 1), F.substring(word, n + 1, F.char_length(word))))
 
-    A form is cut into one piece more than it may have edits. Words meet forms of a length in reach
-    that have one of these pieces, no farther from its place than there may be edits; those that
-    meet are compared. Each spelling once, however often it was said.
+    left = level = F.array(text)
+    for n in range(DELETED):
+        level = F.array_distinct(F.flatten(F.transform(level, without_one)))
+        left = F.when(most > n, F.concat(left, level)).otherwise(left)
+        level = F.when(most > n, level).otherwise(F.array().cast("array<string>"))
+    return left
+
+
+def _met(observed: DataFrame, forms: DataFrame, share: float) -> DataFrame:
+    """Words and the forms that may be similar enough, each pair once: observed, k, key, form.
+
+    By deletions: if a word is so many edits from a form, both give one text when as many letters at
+    most are taken from each. By pieces: a form is cut into one piece more than it may have edits;
+    words meet those that have one of these pieces, no farther from its place than there may be edits.
     """
     long = F.char_length("k")
     sizes = F.explode(F.sequence(F.ceil(long * share).cast("int"), F.floor(long / share).cast("int"))).alias("size")
-    cuts = observed.select("observed", "k", sizes).select("observed", "k", "size", F.explode(_pieces(F.col("size"), share)).alias("p"))
-    far = _edits(F.col("size"), share)
-    low, high = F.greatest(F.col("p.at") - far, F.lit(0)), F.least(F.col("p.at") + far, F.char_length("k") - F.col("p.len"))
+    sized = observed.select("observed", "k", sizes)
+    few = _by_deletion(F.col("size"), share)
+    most = _edits(F.col("size"), share)
+    # A word with a letters less is a form of that size with b less: a is known from b, and at most as many.
+    rest = F.filter(_less(F.col("k"), most), lambda t: F.char_length(t) <= F.col("size"))
+    shorter = sized.filter(few).select("observed", "k", "size", F.lit(-1).alias("i"), F.explode(rest).alias("piece"))
+    left = forms.filter(few).select("key", "form", "size", F.lit(-1).alias("i"), F.explode(_less(F.col("form"), most)).alias("piece"))
+    cuts = sized.filter(~few).select("observed", "k", "size", F.explode(_pieces(F.col("size"), share)).alias("p"))
+    low, high = F.greatest(F.col("p.at") - most, F.lit(0)), F.least(F.col("p.at") + most, F.char_length("k") - F.col("p.len"))
     starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     spots = F.array_distinct(F.transform(starts, lambda s: F.substring(F.col("k"), s + 1, F.col("p.len"))))
     spelt = cuts.select("observed", "k", "size", F.col("p.i").alias("i"), F.explode(spots).alias("piece"))
-    cut = forms.select("key", "form", "size", F.explode(_pieces(F.col("size"), share)).alias("p"))
+    cut = forms.filter(~few).select("key", "form", "size", F.explode(_pieces(F.col("size"), share)).alias("p"))
     cut = cut.select("key", "form", "size", F.col("p.i").alias("i"), F.substring(F.col("form"), F.col("p.at") + 1, F.col("p.len")).alias("piece"))
-    met = spelt.join(cut, ["size", "i", "piece"]).select("observed", "k", "key", "form").distinct()
+    return spelt.union(shorter).join(cut.union(left), ["size", "i", "piece"]).select("observed", "k", "key", "form").distinct()
+
+
+def _best(observed: DataFrame, forms: DataFrame, share: float) -> DataFrame:
+    """observed: observed, k (its key). For each spelling the terms with a form that is similar enough: observed, key, score. Each spelling once, however often it was said."""
     longest = F.greatest(F.char_length("k"), F.char_length("form"))
     within = F.floor(longest * (1 - share) + 1e-6).cast("int")
     edits = F.call_function("levenshtein", F.col("k"), F.col("form"), within)
     score = F.lit(1.0).cast("float") - (edits / longest).cast("float")
-    return met.withColumn("edits", edits).filter("edits >= 0").withColumn("score", score).filter(F.col("score") >= F.lit(share).cast("float")).groupBy("observed", "key").agg(F.max("score").alias("score"))
+    return _met(observed, forms, share).withColumn("edits", edits).filter("edits >= 0").withColumn("score", score).filter(F.col("score") >= F.lit(share).cast("float")).groupBy("observed", "key").agg(F.max("score").alias("score"))
 
 
 def term_candidates(words: DataFrame, known: DataFrame, below: float = 0.75) -> DataFrame:

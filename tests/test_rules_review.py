@@ -141,3 +141,34 @@ def test_spoken_urls_equal_a_scan_of_whole_transcripts(spark):
     got = sorted((r.transcript_id, r.word_index, r.observed, r.proposed, r.confidence) for r in V.spoken_urls(spark.createDataFrame(rows, WORDS)).collect())
     want = sorted((t, a, " ".join(ws[a : b + 1]), url, min((n % 7) / 8 for n in range(a, b + 1))) for t, ws in texts.items() for a, b, url in V.spoken_addresses(ws))
     assert got == want and len(want) > 100
+
+
+def test_short_words_meet_by_deletions(spark):
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrst0"
+    forms = {"".join(rng.choice(letters) for _ in range(rng.randrange(3, 12))) for _ in range(1500)}
+    words = set()
+    for form in rng.sample(sorted(forms), 250):
+        word = list(form)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(word) + 1)
+            word[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        words.add("".join(word))
+    words = {w for w in words if len(w) >= 4} | {"aaaa", "aaaaa", "abababa"}
+    observed = spark.createDataFrame([(w, w) for w in words], "observed string, k string")
+    known = spark.createDataFrame([(f, f, len(f)) for f in forms], "key string, form string, size int")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, left = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+        return row[-1]
+
+    for share, most in ((V.PROSE, 4), (V.CODE, 160)):
+        near = {(w, f) for w in words for f in forms if abs(len(w) - len(f)) <= 6 and 1 - distance(w, f) / max(len(w), len(f)) >= share - 1e-9}
+        assert {(r.observed, r.key) for r in V._best(observed, known, share).collect()} == near
+        # How many forms a word is compared with, on average: of 1,500.
+        met = V._met(observed, known, share).count() / len(words)
+        assert met < most, met
