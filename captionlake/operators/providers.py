@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +18,6 @@ from captionlake.operators.chunks import span_groups
 Provider = Callable[[list[str]], list[str]]
 ANALYSIS = "schema_version int, language string, title string, summary string, topics array<struct<start_ms:bigint,end_ms:bigint,title:string,summary:string,key_points:array<string>>>, key_points array<string>, keywords array<string>"
 VERSION = 1
-# An object in braces; braces in strings don't count.
-_OBJECT = regex.compile(r'\{(?:[^{}"]++|"(?:[^"\\]|\\.)*+"|(?R))*+\}', regex.DOTALL)
 
 
 def control_prompt(text: Column, styling: str = "semi-formal", structure: str = "prose", context: str = "general") -> Column:
@@ -45,17 +42,29 @@ def normalized(chunks: DataFrame, provider: Provider) -> DataFrame:
     return done.withColumn("error", F.when(F.coalesce(text, F.lit("")) == "", "no text came back")).withColumn("text", text).drop("reply")
 
 
+# What a reply is made of: strings, braces, what is between, and a quote that nothing closes.
+_PARTS = r'(?s)"(?:[^"\\]|\\.)*+"|[{}]|[^{}"]++|"'
+
+
 def bare_object(reply: Column) -> Column:
-    """The first object of a reply, without the fence or prose around it; null where none is whole."""
+    """The first object of a reply, without the fence or prose around it; null where none is whole. Braces in strings don't count."""
     fenced = F.regexp_replace(trim_space(reply), r"^```(?:[A-Za-z0-9]*\n)?", "")
     text = F.when(trim_space(reply).startswith("```"), F.regexp_replace(fenced, "```$", "")).otherwise(reply)
+    return _first_object(F.when(F.contains(text, F.lit("{")), F.substring(text, F.instr(text, "{"), F.char_length(text))))
 
-    @F.pandas_udf("string")
-    def first(texts: pd.Series) -> pd.Series:
-        found = [_OBJECT.match(t, t.find("{")) if t and "{" in t else None for t in texts]
-        return pd.Series([m[0] if m else None for m in found], dtype=object)
 
-    return first(text)
+def _first_object(text: Column) -> Column:
+    """The object that a text begins with: up to where as many braces are closed as were opened."""
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(False).alias("over"), F.lit(False).alias("whole"))
+
+    def step(s: Column, part: Column) -> Column:
+        depth = s["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        # An open string is no part of an object.
+        next_ = F.struct(depth.alias("depth"), (s["read"] + F.char_length(part)).alias("read"), ((depth == 0) | (part == '"')).alias("over"), ((depth == 0) & (part != '"')).alias("whole"))
+        return F.when(s["over"], s).otherwise(next_)
+
+    end = F.aggregate(F.regexp_extract_all(text, F.lit(_PARTS), F.lit(0)), begin, step)
+    return F.when(end["whole"], F.substring(text, F.lit(1), end["read"]))
 
 
 def read_analysis(replies: DataFrame) -> DataFrame:

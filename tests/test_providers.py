@@ -1,7 +1,9 @@
 """Providers with deterministic stubs, and replies that aren't quite JSON."""
 
 import json
+import random
 
+import regex
 from pyspark.sql import functions as F
 
 from captionlake.operators import providers as P
@@ -18,6 +20,17 @@ def test_replies(spark):
     assert {r.reply: r.o for r in rows} == cases | {None: None}
 
 
+def test_objects_against_a_recursive_pattern(spark):
+    whole = regex.compile(r'\{(?:[^{}"]++|"(?:[^"\\]|\\.)*+"|(?R))*+\}', regex.DOTALL)
+    rng = random.Random(8)
+    texts = {"".join(rng.choice('{{}}""\\ab\n\U0001f600,') for _ in range(rng.randrange(30))) for _ in range(3000)}
+    texts |= {'{"a": "' + 'x\\n{' * 50_000 + '"} }', "{" * 3000 + "}" * 3000, "no {" + "x" * 100_000 + '} "', '{"open}'}
+    want = {t: (m[0] if (m := whole.match(t, t.find("{"))) else None) if "{" in t else None for t in texts}
+    rows = spark.createDataFrame([(t,) for t in texts], "reply string").select("reply", P._first_object(F.when(F.contains("reply", F.lit("{")), F.expr("substring(reply, instr(reply, '{'))"))).alias("o"))
+    assert {r.reply: r.o for r in rows.collect()} == want
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_normalizing(spark):
     chunks = spark.createDataFrame([(1, 0, "raw text"), (1, 1, "nothing")], "transcript_id long, chunk_index long, text string")
     reply = lambda prompts: [" done: " + p.split("\n")[1] if "raw" in p else "  " for p in prompts]
