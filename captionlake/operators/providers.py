@@ -1,21 +1,19 @@
 """Places where a model of the user's choice joins in: texts to texts, and spans to one analysis.
 
-A provider is a Python function over a list of prompts; it is sent to the executors and called once
-for each batch of rows. Prompts, grouping and the reading of replies are expressions.
+A provider is a Python function over a list of prompts; it is sent to the executors and called for a
+few of them at a time. What it raises is the error of their rows. Prompts, grouping and the reading of
+replies are expressions. operators.recovery keeps a log of attempts, and asks again what failed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionlake.functions.text import span_text, trim_space
 from captionlake.operators.chunks import span_groups
+from captionlake.operators.recovery import Provider, asked
 
-Provider = Callable[[list[str]], list[str]]
 ANALYSIS = "schema_version int, language string, title string, summary string, topics array<struct<start_ms:bigint,end_ms:bigint,title:string,summary:string,key_points:array<string>>>, key_points array<string>, keywords array<string>"
 VERSION = 1
 
@@ -25,21 +23,12 @@ def control_prompt(text: Column, styling: str = "semi-formal", structure: str =
     return F.concat(F.lit(f"[Styling: {styling}] [Structure: {structure}] [Context: {context}]\n"), text)
 
 
-def answered(rows: DataFrame, prompt: Column, provider: Provider, name: str = "reply") -> DataFrame:
-    """rows with what the provider makes of each prompt."""
-
-    @F.pandas_udf("string")
-    def ask(prompts: pd.Series) -> pd.Series:
-        return pd.Series(provider(prompts.tolist()), dtype=object)
-
-    return rows.withColumn(name, ask(prompt))
-
-
 def normalized(chunks: DataFrame, provider: Provider) -> DataFrame:
     """chunks with the text that the provider gives; error where it gives none."""
-    done = answered(chunks, control_prompt(F.col("text")), provider)
-    text = trim_space(F.col("reply"))
-    return done.withColumn("error", F.when(F.coalesce(text, F.lit("")) == "", "no text came back")).withColumn("text", text).drop("reply")
+    done = asked(chunks, control_prompt(F.col("text")), provider, "_reply", "_why")
+    text = trim_space(F.col("_reply"))
+    none = F.when(F.coalesce(text, F.lit("")) == "", "no text came back")
+    return done.withColumn("error", F.coalesce("_why", none)).withColumn("text", text).drop("_reply", "_why")
 
 
 # What a reply is made of: strings, braces, what is between, and a quote that nothing closes.
@@ -68,14 +57,15 @@ def _first_object(text: Column) -> Column:
 
 
 def read_analysis(replies: DataFrame) -> DataFrame:
-    """replies: transcript_id, language, reply. The analysis: its fields, and error. Version and an empty language are put right."""
-    read = replies.select("transcript_id", F.col("language").alias("own"), F.from_json(bare_object(F.col("reply")), ANALYSIS).alias("a"))
+    """replies: transcript_id, language, reply, and why there is none (error), where that is known. The analysis: its fields, and error. Version and an empty language are put right."""
+    why = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    read = replies.select("transcript_id", F.col("language").alias("own"), F.from_json(bare_object(F.col("reply")), ANALYSIS).alias("a"), why.alias("why"))
     missing = F.col("a").isNull() | F.col("a.title").isNull()
     none = F.array().cast("array<string>")
     return read.select(
         "transcript_id", F.lit(VERSION).alias("schema_version"), F.coalesce(F.nullif(F.col("a.language"), F.lit("")), F.col("own")).alias("language"), "a.title",
         F.coalesce("a.summary", F.lit("")).alias("summary"), F.coalesce("a.topics", F.expr("cast(array() as array<struct<start_ms:bigint,end_ms:bigint,title:string,summary:string,key_points:array<string>>>)")).alias("topics"),
-        F.coalesce("a.key_points", none).alias("key_points"), F.coalesce("a.keywords", none).alias("keywords"), F.when(missing, "no analysis in the reply").alias("error"),
+        F.coalesce("a.key_points", none).alias("key_points"), F.coalesce("a.keywords", none).alias("keywords"), F.coalesce("why", F.when(missing, "no analysis in the reply")).alias("error"),
     )
 
 
@@ -84,7 +74,8 @@ def analyzed(spans: DataFrame, provider: Provider, size: int = 4000, transcripts
 
     A transcript that fits in one group is asked about once. A longer one is asked about group by
     group, then about all the answers. With transcripts (transcript_id, language), one without spans
-    has an empty analysis called "Untitled"; else it has no row.
+    has an empty analysis called "Untitled"; else it has no row. If the answer to one group is missing,
+    so is the analysis: its error is that of the first such group.
     """
     line = F.concat(span_text(F.col("start_ms"), F.col("end_ms"), F.col("text")), F.lit("\n"))
     grouped = spans.join(span_groups(spans, size), ["transcript_id", "chunk_index"])
@@ -92,11 +83,14 @@ def analyzed(spans: DataFrame, provider: Provider, size: int = 4000, transcripts
     parts = grouped.groupBy("transcript_id", "language", "group").agg(F.array_join(lines, "").alias("excerpt"))
     parts = parts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("transcript_id")))
     head = F.when(F.col("n") == 1, F.concat(F.lit("Transcript language: "), "language", F.lit("\n\n"))).otherwise(F.concat(F.lit("Excerpt "), "group", F.lit(":\n")))
-    partial = answered(parts, F.concat(head, "excerpt"), provider)
+    # Parted before they are asked about, so that nothing is asked twice.
+    one, part = (asked(parts.filter(which), F.concat(head, "excerpt"), provider) for which in ("n = 1", "n > 1"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("group", "reply"))), lambda x: F.concat(F.lit("--- Partial "), x["group"], F.lit(" ---\n"), x["reply"], F.lit("\n\n")))
-    several = partial.filter("n > 1").groupBy("transcript_id", "language").agg(F.concat(F.array_join(listed, ""), F.lit("One analysis of all of these, please.")).alias("prompt"))
-    whole = answered(several, F.col("prompt"), provider).select("transcript_id", "language", "reply")
-    read = read_analysis(partial.filter("n = 1").select("transcript_id", "language", "reply").union(whole))
+    why = F.min(F.when(F.col("error").isNotNull(), F.struct("group", "error")))["error"]
+    several = part.groupBy("transcript_id", "language").agg(F.concat(F.array_join(listed, ""), F.lit("One analysis of all of these, please.")).alias("prompt"), why.alias("before"))
+    # Where a part has no answer nothing is asked.
+    whole = asked(several, F.when(F.col("before").isNull(), F.col("prompt")), provider).select("transcript_id", "language", "reply", F.coalesce("before", "error").alias("error"))
+    read = read_analysis(one.select("transcript_id", "language", "reply", "error").union(whole))
     if transcripts is None:
         return read
     empty = F.from_json(F.lit('{"title":"Untitled","summary":"","topics":[],"key_points":[],"keywords":[]}'), ANALYSIS)
@@ -105,6 +99,6 @@ def analyzed(spans: DataFrame, provider: Provider, size: int = 4000, transcripts
     return read.unionByName(silent.select("transcript_id", *fields))
 
 
-def transcribed(media: DataFrame, provider: Callable[[list[str]], list[str]]) -> DataFrame:
-    """media: transcript_id, path. transcript_id, json of a worker: input of sources.transcripts.worker_transcripts."""
-    return answered(media, F.col("path"), provider, "json").select("transcript_id", "json")
+def transcribed(media: DataFrame, provider: Provider) -> DataFrame:
+    """media: transcript_id, path. transcript_id, json of a worker (input of sources.transcripts.worker_transcripts), and error: why there is none."""
+    return asked(media.select("transcript_id", "path"), F.col("path"), provider, "json").select("transcript_id", "json", "error")

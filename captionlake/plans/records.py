@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from captionlake.operators import attest as A
 from captionlake.operators import batches as B
+from captionlake.operators import recovery
 from captionlake.sources import files as S
 from captionlake.shared import folder
 from captionlake.sources import fixtures as X
@@ -88,6 +89,24 @@ def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lie.select(F.regexp_extract("path", r"([^/]*/[^/]*\.txt)$", 1).alias("path"), F.sha2("content", 256).alias("digest"))
 
 
+def resumed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider asked about every turn in three runs over one log. In the first it fails where a text's length divides by three, in the second by nine, in the third by 27: these stay without an answer."""
+    turns = X.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.coalesce("text", F.lit("")).alias("prompt"))
+    log = f"{folder(spark)}/replies-{uuid.uuid4().hex[:12]}"
+
+    def failing(every: int):
+        def provider(prompts: list[str]) -> list[str]:
+            if len(prompts[0]) % every == 0:
+                raise TimeoutError(f"no answer to {len(prompts[0])} letters")
+            return [f"You said: {p}" for p in prompts]
+
+        return provider
+
+    for every in (3, 9, 27):
+        told = recovery.resume(turns, failing(every), log, per_call=1)
+    return told.select("key", F.col("attempts").cast("long").alias("attempts"), F.sha2(F.coalesce("reply", F.lit("")), 256).alias("reply_sha256"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def media_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files named on three command lines, some by a roundabout path, some with other endings."""
     i = F.col("doc_id")
@@ -109,7 +128,7 @@ _LATEST = f"{_LOG}, latest AS (SELECT batch_id, position, arg_max(state, (at_ms,
 _COUNTS = f"{_LATEST}, counts AS (SELECT batch_id, count(*) FILTER (state = 'complete') AS complete, count(*) FILTER (state <> 'complete') AS incomplete, bool_and(state = 'complete') AS is_complete, bool_or(state = 'running') AS has_running FROM latest GROUP BY batch_id)"
 _OPEN = "created AS (SELECT batch_id, batch_id % 6 AS scope, min(at_ms) AS created_ms FROM log GROUP BY batch_id)"
 
-QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, item_history, newest_incomplete, batch_activity, verify_files, publication, published_files, media_inputs, output_collisions)}
+QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, item_history, newest_incomplete, batch_activity, verify_files, publication, published_files, resumed_replies, media_inputs, output_collisions)}
 SQL = {
     "batch_latest_state": f"WITH {_LATEST} SELECT * FROM latest",
     "batch_counts": f"WITH {_COUNTS} SELECT * FROM counts",
@@ -145,6 +164,9 @@ SQL = {
                                WHEN there IS NOT NULL AND owned = there THEN 'delete' WHEN owned IS NOT NULL AND there IS NOT NULL THEN 'leave' END AS action FROM d)
         SELECT * FROM a WHERE action IS NOT NULL""",
     "published_files": "SELECT doc_id % 10 || '/doc-' || doc_id || '.txt' AS path, sha256(coalesce(text, '')) AS digest FROM documents",
+    "resumed_replies": """WITH t AS (SELECT conv_id || '-' || turn AS key, min(coalesce(text, '')) AS text FROM conversations GROUP BY ALL)
+        SELECT key, CASE WHEN length(text) % 3 > 0 THEN 1 WHEN length(text) % 9 > 0 THEN 2 ELSE 3 END::BIGINT AS attempts, sha256(CASE WHEN length(text) % 27 = 0 THEN '' ELSE 'You said: ' || text END) AS reply_sha256,
+               CASE WHEN length(text) % 27 = 0 THEN 'TimeoutError: no answer to ' || length(text) || ' letters' ELSE '' END AS error FROM t""",
     "media_inputs": """WITH f AS (SELECT doc_id % 3 AS group_pos, 'in/' || source || '/' || (doc_id % 700) || CASE doc_id % 4 WHEN 0 THEN '.MP4' ELSE '.tar.wav' END AS path FROM documents WHERE doc_id % 4 IN (0, 2)),
                o AS (SELECT path, min(group_pos) AS group_pos FROM f GROUP BY path)
         SELECT row_number() OVER (ORDER BY group_pos, path) - 1 AS position, group_pos, path FROM o""",
