@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captionlake.functions import paths
 from captionlake.operators import attest as A
 from captionlake.operators import batches as B
 from captionlake.operators import recovery
@@ -122,13 +123,25 @@ def output_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.sha2("folded", 256).alias("folded"), "n")
 
 
+def path_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages as files, some named from the working folder or in a roundabout way, seen from the folder of the page before, from one that holds the file and from one below the file's own."""
+    i, address = F.col("page_id"), F.regexp_replace("url", r"^[a-z]+://|/*([?#].*)?$", "")
+    spelt = F.when(i % 4 == 0, address).when(i % 4 == 1, F.concat(F.lit("/web/./"), address)).when(i % 4 == 2, F.concat(F.lit("x/..//"), address, F.lit("/"))).otherwise(F.concat(F.lit("/../web/y/z/../../"), address))
+    pages = X.table(spark, sf_dir, "pages").select(i, address.alias("address"), spelt.alias("path"))
+    before = pages.select((i + 1).alias("page_id"), F.concat(F.lit("/web/"), F.col("address"), F.lit("/..")).alias("before"))
+    base = F.when(i % 3 == 0, F.col("before")).when(i % 3 == 1, F.concat(F.lit("/web/"), F.regexp_extract("address", "^[^/]+", 0))).otherwise(F.concat(F.lit("/web/"), F.col("address"), F.lit("/../new/deep")))
+    met = pages.join(before, "page_id", "left").withColumn("base", F.coalesce(base, F.lit("/")))
+    seen = [f(F.col("base"), F.col("path"), "/web").alias(f.__name__) for f in (paths.tracked_reference, paths.manifest_reference)]
+    return met.select("page_id", paths.plain(F.col("path"), "/web").alias("path"), *seen)
+
+
 _MAP = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATE.items()) + " END"
 _LOG = f"log AS (SELECT user_id AS batch_id, event_id % 10 AS position, {_MAP} AS state, event_id // 7 AS at_ms, event_id AS seq FROM events)"
 _LATEST = f"{_LOG}, latest AS (SELECT batch_id, position, arg_max(state, (at_ms, seq, state)) AS state, max(at_ms) AS at_ms FROM log GROUP BY ALL)"
 _COUNTS = f"{_LATEST}, counts AS (SELECT batch_id, count(*) FILTER (state = 'complete') AS complete, count(*) FILTER (state <> 'complete') AS incomplete, bool_and(state = 'complete') AS is_complete, bool_or(state = 'running') AS has_running FROM latest GROUP BY batch_id)"
 _OPEN = "created AS (SELECT batch_id, batch_id % 6 AS scope, min(at_ms) AS created_ms FROM log GROUP BY batch_id)"
 
-QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, item_history, newest_incomplete, batch_activity, verify_files, publication, published_files, resumed_replies, media_inputs, output_collisions)}
+QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, item_history, newest_incomplete, batch_activity, verify_files, publication, published_files, resumed_replies, media_inputs, output_collisions, path_references)}
 SQL = {
     "batch_latest_state": f"WITH {_LATEST} SELECT * FROM latest",
     "batch_counts": f"WITH {_COUNTS} SELECT * FROM counts",
@@ -170,5 +183,13 @@ SQL = {
     "media_inputs": """WITH f AS (SELECT doc_id % 3 AS group_pos, 'in/' || source || '/' || (doc_id % 700) || CASE doc_id % 4 WHEN 0 THEN '.MP4' ELSE '.tar.wav' END AS path FROM documents WHERE doc_id % 4 IN (0, 2)),
                o AS (SELECT path, min(group_pos) AS group_pos FROM f GROUP BY path)
         SELECT row_number() OVER (ORDER BY group_pos, path) - 1 AS position, group_pos, path FROM o""",
+    "path_references": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|/*([?#].*)?$', '', 'g') AS address FROM pages),
+        f AS (SELECT p.page_id, list_concat(['web'], string_split(p.address, '/')) AS there,
+                     CASE WHEN p.page_id % 3 = 1 THEN ['web', string_split(p.address, '/')[1]] WHEN p.page_id % 3 = 2 THEN list_concat(['web'], string_split(p.address, '/')[:-2], ['new', 'deep'])
+                          WHEN b.address IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_concat(['web'], string_split(b.address, '/')[:-2]) END AS here
+              FROM p LEFT JOIN p b ON b.page_id = p.page_id - 1),
+        c AS (SELECT *, len(list_filter(range(1, least(len(here), len(there)) + 1), lambda k: here[:k] = there[:k])) AS common FROM f),
+        r AS (SELECT *, '/' || array_to_string(there, '/') AS path, array_to_string(list_concat(list_transform(range(len(here) - common), lambda k: '..'), there[common + 1:]), '/') AS tracked_reference FROM c)
+        SELECT page_id, path, tracked_reference, CASE WHEN common = len(here) OR common = len(there) - 1 THEN tracked_reference ELSE path END AS manifest_reference FROM r""",
     "output_collisions": "SELECT sha256(lower(text)) AS folded, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY lower(text) HAVING count(*) > 1",
 }

@@ -39,11 +39,6 @@ def _stepped(parts, part):
     return F.when(up, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(F.concat(parts, F.array(part)))
 
 
-def relative_path(base: str, path: str) -> str:
-    """path as seen from the folder base, both absolute or both not."""
-    return os.path.relpath(os.path.normpath(path), os.path.normpath(base))
-
-
 def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """group_pos, path of all files below each of paths."""
     found = None

@@ -244,7 +244,6 @@ def test_discovery(spark, tmp_path):
     (tmp_path / "a" / "x.md").write_text("Some Term")
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
     assert [(r.path, r.text) for r in S.read_term_files(spark, str(tmp_path)).collect()] == [(f"{tmp_path}/a/x.md", "Some Term")]
-    assert S.relative_path("/a/b", "/a/c/./d") == "../c/d"
 
 
 def test_normalized_files(spark):
