@@ -18,8 +18,8 @@ Rules = Sequence[tuple[str, str]]
 
 def winners(rules: DataFrame) -> DataFrame:
     """Of rules that find the same phrase (ASCII letters in any case) the last of the narrowest scope."""
-    last = Window.partitionBy(ascii_lower(F.col("find"))).orderBy(F.desc("scope_rank"), F.desc("rule_index"))
-    return rules.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n")
+    last = F.max_by(F.struct(*rules.columns), F.struct("scope_rank", "rule_index"))
+    return rules.groupBy(ascii_lower(F.col("find")).alias("_find")).agg(last.alias("_last")).select("_last.*")
 
 
 def conflicts(rules: DataFrame, *keys: str) -> DataFrame:

@@ -21,16 +21,20 @@ MANIFESTS = [
 ]
 
 
-def _rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCOPED, "scope_rank long, rule_index long, find string, replace string")
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of each document, to be replaced by its source or language, in three scopes; and some that differ in little."""
+    i = F.col("doc_id")
+    find = F.regexp_extract("text", "[^ \\t\\r\\n]+ +[^ \\t\\r\\n]+", 0)
+    some = X.table(spark, sf_dir, "documents").select((i % 3).alias("scope_rank"), (i + 10).alias("rule_index"), find.alias("find"), F.when(i % 2 == 0, F.col("source")).otherwise(F.col("lang")).alias("replace"))
+    return some.filter("find <> ''").union(spark.createDataFrame(SCOPED, some.schema))
 
 
 def rule_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.winners(_rules(spark))
+    return R.winners(_rules(spark, sf_dir))
 
 
 def rule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.conflicts(_rules(spark))
+    return R.conflicts(_rules(spark, sf_dir))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,10 @@ def unmatched_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.manifest_rules(spark.createDataFrame(MANIFESTS, "manifest string, scope_rank long, text string"))
+    """Documents as manifests, where "of" and "de" part what is to be found from what is to be written; and some that show each fault."""
+    i = F.col("doc_id")
+    docs = X.table(spark, sf_dir, "documents").select(i.cast("string").alias("manifest"), (i % 4).alias("scope_rank"), F.regexp_replace("text", " (of|de) ", " -> ").alias("text"))
+    return S.manifest_rules(docs.filter("text IS NOT NULL").union(spark.createDataFrame(MANIFESTS, docs.schema)))
 
 
 WORD_RULES = [("of the", "OF"), ("the", "THE"), ("de la", "dela "), ("in", "IN ")]
@@ -111,7 +118,9 @@ def walked(rules: list[tuple[str, str]], base: str) -> str:
 
 BASE = "base AS (SELECT transcript_id, segment_index, word_index, text, start_ms, end_ms, word_index AS source_start, word_index + 1 AS source_end FROM timed)"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_SCOPED = f"r AS (SELECT *, {_LOW.format('find')} AS k FROM (VALUES {_values(SCOPED)}) v(scope_rank, rule_index, find, replace))"
+_SCOPED = f"""v AS (SELECT * FROM (VALUES {_values(SCOPED)}) v(scope_rank, rule_index, find, replace)
+        UNION ALL SELECT doc_id % 3, doc_id + 10, regexp_extract(text, '[^ \\t\\r\\n]+ +[^ \\t\\r\\n]+'), CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END FROM documents),
+    r AS (SELECT *, {_LOW.format('find')} AS k FROM v WHERE find <> '')"""
 _LAST = f"s{len(RULES) - 1}_1"
 _TRIM = "regexp_replace({}, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')"
 
@@ -130,7 +139,8 @@ SQL = {
         SELECT transcript_id, segment_index, word_index, text, start_ms, end_ms, source_start, source_end,
                CASE WHEN row_number() OVER (PARTITION BY transcript_id ORDER BY word_index) = 1 THEN concat_ws(',', {", ".join(f"(sum(c{n}) OVER (PARTITION BY transcript_id))::BIGINT" for n in range(len(WORD_RULES)))}) END AS counts
         FROM done{len(WORD_RULES) - 1}""",
-    "manifest_parse": f"""WITH m AS (SELECT * FROM (VALUES {_values(MANIFESTS)}) v(manifest, scope_rank, text)),
+    "manifest_parse": f"""WITH m AS (SELECT * FROM (VALUES {_values(MANIFESTS)}) v(manifest, scope_rank, text)
+                   UNION ALL SELECT doc_id::VARCHAR, doc_id % 4, regexp_replace(text, ' (of|de) ', ' -> ', 'g') FROM documents WHERE text IS NOT NULL),
              l AS (SELECT manifest, scope_rank, unnest(regexp_split_to_array(text, '\\r?\\n')) AS raw, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) AS line FROM m),
              t AS (SELECT manifest, scope_rank, line, {_TRIM.format('raw')} AS raw FROM l),
              k AS (SELECT *, instr(raw, ' ->') AS hit FROM t WHERE raw <> '' AND raw NOT LIKE '#%')

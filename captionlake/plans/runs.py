@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from captionlake.operators import attest as A
 from captionlake.operators import batches as B
+from captionlake.operators import review as V
 from captionlake.operators import workflow as W
 from captionlake.plans import captions as PC
 from captionlake.plans import corrections as PX
@@ -69,6 +70,22 @@ def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).select("transcript_id", "place", "kind", *(F.coalesce(c, none).alias(c) for c in ("segment_index", "word_index")), "observed", "proposed")
 
 
+def whole_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over all words as they are, with terms of the benchmark's texts and the addresses of all pages as one says them; flat turns and words without a speaker as above."""
+    words, turns = PV._words(spark, sf_dir), X.conversation_segments(spark, sf_dir)
+    spans = turns.select("transcript_id", "segment_index", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
+    flat = (F.col("transcript_id") + F.col("segment_index")) % 7 == 0
+    words = words.join(spans, ["transcript_id", "segment_index"]).withColumn("start_ms", F.when(flat, F.col("a")).otherwise(F.col("start_ms"))).withColumn("end_ms", F.when(flat, F.col("b")).otherwise(F.col("end_ms")))
+    words = words.withColumn("speaker", F.when(F.round(F.col("confidence") * 100) == 3, None).otherwise(F.col("speaker")))
+    n = F.col("word_index")
+    spelt = PV._spelt_pages(spark, sf_dir).select("transcript_id", F.lit(0).cast("long").alias("segment_index"), n, "text", (n * 1000).alias("start_ms"), (n * 1000 + 500).alias("end_ms"), F.lit(1).cast("float").alias("confidence"), F.lit(None).cast("string").alias("speaker"))
+    pages = spelt.groupBy("transcript_id", "segment_index").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda w: w["text"]), " ").alias("text"))
+    files = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), "text", F.lit(False).alias("authoritative"))
+    told = W.review_report(words.select(*spelt.columns).union(spelt), turns.select(*pages.columns).union(pages), V.terms(S.term_tokens(files)), _rules(spark, sf_dir))
+    none = F.lit(-1).cast("long")
+    return told.select("transcript_id", "place", "kind", *(F.coalesce(c, none).alias(c) for c in ("segment_index", "word_index")), "observed", "proposed")
+
+
 def accepted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All addresses of a review accepted, into manifests that have them in every third conversation, to another end in every fifth."""
     report = _report(spark, sf_dir)
@@ -302,7 +319,7 @@ _TOKEN = "trim(raw, '\"''`()[]{}<>,;:')"
 _KEY = "translate(regexp_replace({}, '[^0-9A-Za-z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {f.__name__: f for f in (
-    process_artifacts, corrected_artifacts, correction_dry_run, effective_rules, review_report, accepted_findings, receipt_problems, artifact_counts, run_findings, journal_listing, resumed_items, batch_outcome, discovered_files, discovered_terms,
+    process_artifacts, corrected_artifacts, correction_dry_run, effective_rules, review_report, whole_review, accepted_findings, receipt_problems, artifact_counts, run_findings, journal_listing, resumed_items, batch_outcome, discovered_files, discovered_terms,
     sibling_transcripts, located_workspaces, promotions, planned_inputs, memo_hits, format_lists,
 )}
 SQL = {
@@ -320,6 +337,13 @@ SQL = {
             {'s': 0::BIGINT, 'i': 1::BIGINT, 'f': 'and', 'r': '& $1'}, {'s': 2::BIGINT, 'i': 0::BIGINT, 'f': 'no such phrase', 'r': 'x'},
             {'s': CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 0 END, 'i': CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END, 'f': 'the', 'r': CASE WHEN conv_id % 2 = 0 THEN 'then' ELSE 'teh-' || conv_id END}]) AS r FROM conversations)""",
     "review_report": f"""WITH {_REPORT} SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY section, x, y, z, observed NULLS FIRST, proposed NULLS FIRST) - 1 AS place, kind, segment_index::BIGINT AS segment_index, word_index::BIGINT AS word_index, observed, proposed FROM found""",
+    "whole_review": f"""WITH {_REPORT.replace("found AS (", "laid AS (")}, terms_ AS ({PV.SQL["term_candidates"]}), urls AS ({PV.SQL["spoken_urls"]}), found AS (
+            SELECT transcript_id, 'low-confidence' AS kind, 0 AS section, word_index AS x, 0 AS y, 0 AS z, -1 AS segment_index, word_index, text AS observed, NULL AS proposed FROM n WHERE percent < 75
+            UNION ALL SELECT transcript_id, 'spoken-url', 1, word_index, 0, 0, -1, word_index, observed, proposed FROM urls
+            UNION ALL SELECT transcript_id, 'term-mismatch', 2, word_index, 0, 0, -1, word_index, observed, proposed FROM terms_
+            UNION ALL SELECT transcript_id, 'possible-fallback-timing', 3, segment_index, 0, word_index, segment_index, word_index, text, NULL FROM n WHERE flat AND n > 1
+            UNION ALL SELECT * FROM laid WHERE kind IN ('ambiguous-speaker-turn', 'unmatched-rule', 'scope-conflict'))
+        SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY section, x, y, z, observed NULLS FIRST, proposed NULLS FIRST) - 1 AS place, kind, segment_index::BIGINT AS segment_index, word_index::BIGINT AS word_index, observed, proposed FROM found""",
     "accepted_findings": f"""WITH {_REPORT}, u AS (SELECT transcript_id, count(*) AS n FROM found WHERE kind = 'spoken-url' GROUP BY transcript_id), f AS (SELECT *, unnest(['{_FIND}', '{_FIND.replace(" .", ".").replace(" /", "/")}']) AS find FROM u)
         SELECT transcript_id, find, 'example.com/docs/guide.html' AS replace, CASE WHEN find <> '{_FIND}' OR transcript_id % 3 > 0 THEN 'added' WHEN transcript_id % 5 = 0 THEN 'conflict' ELSE 'present' END AS outcome, n FROM f""",
     "receipt_problems": f"WITH {_RECEIPTS} SELECT * FROM unread UNION ALL SELECT * FROM bad",
