@@ -15,14 +15,19 @@ from captionlake.sources import files as S
 from captionlake.shared import folder
 from captionlake.sources import fixtures as X
 from captionlake.sources import publish
+from captionlake.streaming import completions
 
 STATE = {"view": "pending", "signup": "running", "error": "failed", "click": "complete", "purchase": "complete"}
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(X.table(spark, sf_dir, "events"))
+
+
+def _changes(events: DataFrame) -> DataFrame:
     """Events as changes: a user is a batch, the event's kind a state; the last digit of the id is the item."""
     state = F.element_at(F.create_map(*(F.lit(x) for kv in STATE.items() for x in kv)), F.col("event_type"))
-    return X.table(spark, sf_dir, "events").select(F.col("user_id").alias("batch_id"), (F.col("event_id") % 10).alias("position"), state.alias("state"), F.floor(F.col("event_id") / 7).alias("at_ms"), F.col("event_id").alias("seq"))
+    return events.select(F.col("user_id").alias("batch_id"), (F.col("event_id") % 10).alias("position"), state.alias("state"), F.floor(F.col("event_id") / 7).alias("at_ms"), F.col("event_id").alias("seq"))
 
 
 def batch_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +42,16 @@ def batch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.attempts(_log(spark, sf_dir)).select("batch_id", "position", "seq", "attempt")
 
 
+def completion_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream follows the events and writes each end as it comes; both orders of the items from what it wrote."""
+    fields = X.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").schema
+    # A pattern, as a stream takes no path of a single file.
+    events = spark.readStream.schema(fields).parquet(f"{sf_dir}/events.parque[t]")
+    base = f"{folder(spark)}/ends-{uuid.uuid4().hex[:12]}"
+    completions.follow(_changes(events), f"{base}/state", f"{base}/out").awaitTermination()
+    return completions.orders(completions.followed(spark, f"{base}/out"))
+
+
 LEASE_MS = 250
 
 
@@ -141,11 +156,13 @@ _LATEST = f"{_LOG}, latest AS (SELECT batch_id, position, arg_max(state, (at_ms,
 _COUNTS = f"{_LATEST}, counts AS (SELECT batch_id, count(*) FILTER (state = 'complete') AS complete, count(*) FILTER (state <> 'complete') AS incomplete, bool_and(state = 'complete') AS is_complete, bool_or(state = 'running') AS has_running FROM latest GROUP BY batch_id)"
 _OPEN = "created AS (SELECT batch_id, batch_id % 6 AS scope, min(at_ms) AS created_ms FROM log GROUP BY batch_id)"
 
-QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, item_history, newest_incomplete, batch_activity, verify_files, publication, published_files, resumed_replies, media_inputs, output_collisions, path_references)}
+QUERIES = {f.__name__: f for f in (batch_latest_state, batch_counts, batch_attempts, completion_orders, item_history, newest_incomplete, batch_activity, verify_files, publication, published_files, resumed_replies, media_inputs, output_collisions, path_references)}
 SQL = {
     "batch_latest_state": f"WITH {_LATEST} SELECT * FROM latest",
     "batch_counts": f"WITH {_COUNTS} SELECT * FROM counts",
     "batch_attempts": f"WITH {_LOG} SELECT batch_id, position, seq, (count(*) FILTER (state = 'running') OVER (PARTITION BY batch_id, position ORDER BY at_ms, seq)) AS attempt FROM log",
+    "completion_orders": f"""WITH {_LOG}, items AS (SELECT batch_id, position, arg_max(state, (at_ms, seq)) AS state, max((at_ms, seq)) AS x, count(*) AS n_ends FROM log WHERE state IN ('complete', 'failed', 'missing') GROUP BY ALL)
+        SELECT batch_id, position, state, x[1] AS at_ms, n_ends, row_number() OVER (PARTITION BY batch_id ORDER BY position) - 1 AS input_place, row_number() OVER (PARTITION BY batch_id ORDER BY x) - 1 AS completion_place FROM items""",
     "item_history": f"""WITH RECURSIVE log AS (
             SELECT user_id AS batch_id, event_id % 10 AS position, CASE WHEN value > 60 AND event_type IN ('click', 'purchase') THEN 'needs-reprocessing' WHEN value > 60 AND event_type = 'error' THEN 'missing' ELSE {_MAP} END AS wanted,
                    event_id // 7 AS at_ms, event_id AS seq FROM events),
