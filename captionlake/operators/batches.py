@@ -172,8 +172,9 @@ VERSION = 1
 
 
 def read_journals(raw: DataFrame) -> DataFrame:
-    """raw: path, scope, json. The journal's fields, and error: the first reason why it can't be used. No row is dropped."""
-    parsed = raw.select("path", "scope", F.from_json("json", JOURNAL).alias("j"), F.get_json_object("json", "$").isNotNull().alias("is_json"))
+    """raw: path, scope, json, and problem, if a source has told one. The journal's fields, and error: the first reason why it can't be used. No row is dropped."""
+    problem = F.col("problem") if "problem" in raw.columns else F.lit(None).cast("string")
+    parsed = raw.select("path", "scope", problem.alias("problem"), F.from_json("json", JOURNAL).alias("j"), F.get_json_object("json", "$").isNotNull().alias("is_json"))
     j, items = F.col("j"), F.col("j.items")
     positions = F.array_distinct(F.transform(items, lambda i: i["position"]))
     absolute = lambda path: F.coalesce(path.startswith("/"), F.lit(False))
@@ -196,9 +197,9 @@ def read_journals(raw: DataFrame) -> DataFrame:
         "an item has no end": F.exists(over, lambda i: attempt(i)["finished_at_ms"].isNull()),
         "an item ends before it starts": F.exists(over, lambda i: attempt(i)["finished_at_ms"] < attempt(i)["started_at_ms"]),
         "positions have a gap": (F.array_max(positions) + 1 != F.size(items)) | (F.array_min(positions) != 0),
-        "not of this scope": j["cwd"] != F.col("scope"),
+        "not of this scope": ~j["cwd"].eqNullSafe(F.col("scope")),
     }
-    error = F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), k) for k, c in checks.items()))
+    error = F.coalesce("problem", *(F.when(F.coalesce(c, F.lit(False)), k) for k, c in checks.items()))
     return parsed.select("path", "scope", "j.*", error.alias("error"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,11 @@ from captionlake.plans import corrections as PX
 from captionlake.plans import records as PR
 from captionlake.plans import reviews as PV
 from captionlake.plans.captions import WORDS
+from captionlake.shared import folder
 from captionlake.sources import budget as G
 from captionlake.sources import files as S
 from captionlake.sources import fixtures as X
+from captionlake.sources import publish, recordfiles
 
 # -- artifacts and corrections ---------------------------------------------------------------------
 
@@ -126,6 +130,17 @@ def receipt_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.filter(F.col("error").isNotNull()).select("receipt_id", "error").union(A.receipt_errors(read))
 
 
+def receipt_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same receipts as files, each in its run's folder, or a folder where the file should be; what is wrong with those read back."""
+    root = f"{folder(spark)}/runs-{uuid.uuid4().hex[:12]}"
+    publish.register(spark)
+    path = F.concat(F.col("receipt_id"), F.lit("/receipt.json"), F.when(F.col("is_file"), "").otherwise("/other"))
+    _receipts(spark, sf_dir).select(path.alias("path"), F.coalesce("json", F.lit("")).cast("binary").alias("content")).write.format("published").mode("append").option("root", root).save()
+    # Beside the folders lies what the publication has noted.
+    read = A.read_receipts(recordfiles.receipt_files(spark, root).filter("NOT startswith(receipt_id, '.')")).withColumn("receipt_id", F.col("receipt_id").cast("long"))
+    return read.filter(F.col("error").isNotNull()).select("receipt_id", "error").union(A.receipt_errors(read))
+
+
 def artifact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.artifact_count(A.read_receipts(_receipts(spark, sf_dir)).filter(F.col("error").isNull()))
 
@@ -319,7 +334,7 @@ _TOKEN = "trim(raw, '\"''`()[]{}<>,;:')"
 _KEY = "translate(regexp_replace({}, '[^0-9A-Za-z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {f.__name__: f for f in (
-    process_artifacts, corrected_artifacts, correction_dry_run, effective_rules, review_report, whole_review, accepted_findings, receipt_problems, artifact_counts, run_findings, journal_listing, resumed_items, batch_outcome, discovered_files, discovered_terms,
+    process_artifacts, corrected_artifacts, correction_dry_run, effective_rules, review_report, whole_review, accepted_findings, receipt_problems, receipt_folders, artifact_counts, run_findings, journal_listing, resumed_items, batch_outcome, discovered_files, discovered_terms,
     sibling_transcripts, located_workspaces, promotions, planned_inputs, memo_hits, format_lists,
 )}
 SQL = {
@@ -347,6 +362,7 @@ SQL = {
     "accepted_findings": f"""WITH {_REPORT}, u AS (SELECT transcript_id, count(*) AS n FROM found WHERE kind = 'spoken-url' GROUP BY transcript_id), f AS (SELECT *, unnest(['{_FIND}', '{_FIND.replace(" .", ".").replace(" /", "/")}']) AS find FROM u)
         SELECT transcript_id, find, 'example.com/docs/guide.html' AS replace, CASE WHEN find <> '{_FIND}' OR transcript_id % 3 > 0 THEN 'added' WHEN transcript_id % 5 = 0 THEN 'conflict' ELSE 'present' END AS outcome, n FROM f""",
     "receipt_problems": f"WITH {_RECEIPTS} SELECT * FROM unread UNION ALL SELECT * FROM bad",
+    "receipt_folders": f"WITH {_RECEIPTS} SELECT * FROM unread UNION ALL SELECT * FROM bad",
     "artifact_counts": f"WITH {_RECEIPTS} SELECT i AS receipt_id, 1 + CASE WHEN i % 31 > 0 THEN 1 ELSE 0 END + CASE WHEN i % 17 = 0 THEN 1 ELSE 0 END + CASE WHEN i % 59 = 0 THEN 1 ELSE 0 END AS n FROM ok",
     "run_findings": f"""WITH {_RECEIPTS}, sound AS (SELECT * FROM ok WHERE i NOT IN (SELECT receipt_id FROM bad))
         SELECT receipt_id, NULL AS path, error AS problem FROM unread UNION ALL SELECT receipt_id, NULL, error FROM bad UNION ALL SELECT i, '../' || i || '.mp4', 'missing' FROM sound WHERE i % 11 = 0
