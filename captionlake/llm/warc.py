@@ -211,11 +211,16 @@ def _whole(text: str | None) -> int | None:
     return int(text) if text is not None else None
 
 
-ROW = "record_id string, uri string, ip string, stamp string, page_id long, head binary, payload binary, payload_digest string, payload_sha256 binary, payload_bytes long"
+def _record_id(name: str, offset: int) -> str:
+    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{offset}")
+    return f"<urn:uuid:{own}>"
 
 
-def read_arc(spark: SparkSession, path: str, *, with_payload: bool = True, with_digests: bool = True) -> DataFrame:
-    """A row for each record of the ARC files at path, with the fields that WARC asks for; payload and digests are null where they aren't asked for."""
+ROW = "file string, offset long, record_id string, uri string, ip string, stamp string, page_id long, head binary, payload binary, payload_digest string, payload_sha256 binary, payload_bytes long"
+
+
+def read_arc(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
+    """A row for each record of the ARC files at path, with its place and the fields that WARC asks for; payload is null where it isn't asked for."""
 
     def run(batches):
         for batch in batches:
@@ -223,10 +228,9 @@ def read_arc(spark: SparkSession, path: str, *, with_payload: bool = True, with_
                 rows, size = [], 0
                 for r in parse_arc(b"".join(_members(content, name)), name):
                     head, payload = split_http(bytes(r.block))
-                    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{r.offset}")
                     page_id = _whole(http_field(head, "X-Page-Id"))
-                    digests = (digest(payload), hashlib.sha256(payload).digest()) if with_digests else (None, None)
-                    rows.append((f"<urn:uuid:{own}>", r.url, r.ip, _stamp(r.date), page_id, head, payload if with_payload else None, *digests, len(payload)))
+                    digests = digest(payload), hashlib.sha256(payload).digest()
+                    rows.append((name, r.offset, _record_id(name, r.offset), r.url, r.ip, _stamp(r.date), page_id, head, payload if with_payload else None, *digests, len(payload)))
                     size += len(r.block)
                     if size > ARCHIVE // 2:
                         yield _batch(rows)
@@ -260,27 +264,39 @@ def _opening(name: str) -> bytes:
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, *, at_least: int = 0, archive: int = ARCHIVE) -> None:
     """The records of the ARC files at arc_path as WARC files at warc_path, equal payloads as revisits."""
-    # First the facts alone decide on types; payloads are then parsed anew and shuffled once.
+    # First the facts alone decide on types; the archives are then shuffled once, compressed as they are, each to where the types of its records go.
     same = ["payload_digest", "payload_sha256", "payload_bytes"]
-    facts = stored(read_arc(spark, arc_path, with_payload=False).select("record_id", "uri", "stamp", "page_id", *same), "warc-facts")
+    facts = stored(read_arc(spark, arc_path, with_payload=False).select("file", "offset", "record_id", "uri", "stamp", "page_id", *same), "warc-facts")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "uri", "stamp")
     first = facts.filter(F.col("payload_bytes") >= at_least).groupBy(*same).agg(F.min(order).alias("first"))
     first = first.select(*same, F.col("first.record_id").alias("to_id"), F.col("first.uri").alias("to_uri"), F.col("first.stamp").alias("to_stamp"))
     # Written first, so that nothing is grouped on the way to the join and Spark can split a hot payload's rows.
-    types = facts.select("record_id", *same).join(stored(first, "warc-first"), same, "left")
-    types = types.select("record_id", "payload_digest", *(F.when(F.col("to_id") != F.col("record_id"), F.col(c)).alias(c) for c in ("to_id", "to_uri", "to_stamp")))
-    rows = read_arc(spark, arc_path, with_digests=False).drop("payload_digest", "payload_sha256").join(types, "record_id")
-    names = ["record_id", "uri", "ip", "stamp", "head", "payload", "payload_digest", "to_id", "to_uri", "to_stamp"]
+    types = facts.select("file", "offset", "record_id", *same).join(stored(first, "warc-first"), same, "left")
+    types = types.select("file", "offset", "payload_digest", *(F.when(F.col("to_id") != F.col("record_id"), F.col(c)).alias(c) for c in ("to_id", "to_uri", "to_stamp")))
+    # An archive comes before the types of its records, which come in its order.
+    archives = _files(spark, arc_path).select(F.col("path").alias("file"), F.lit(-1).cast("long").alias("offset"), "content")
+    names = ["file", "offset", "content", "payload_digest", "to_id", "to_uri", "to_stamp"]
+    # About a task for an archive, as hashes of few names fall together; fewer where archives are small.
+    tasks = (facts.agg(F.sum("payload_bytes")).first()[0] or 0) // (ARCHIVE // 2) + 1
+    rows = archives.unionByName(types, allowMissingColumns=True).select(names).repartition(tasks, "file").sortWithinPartitions("file", "offset")
 
     def run(batches):
         def records():
-            for batch in batches:
-                for at in range(batch.num_rows):
-                    r = {n: c[at].as_py() for n, c in zip(names, batch.columns, strict=True)}
+            told = ({n: c[at] for n, c in zip(names, batch.columns, strict=True)} for batch in batches for at in range(batch.num_rows))
+            for first in told:
+                name = first["file"].as_py()
+                if not first["content"].is_valid:
+                    raise ValueError(f"{name}: there is no record at byte {first['offset']}")
+                for record in parse_arc(b"".join(_members(first["content"], name)), name):
+                    r = {n: v.as_py() for n, v in next(told, {}).items() if n != "content"}
+                    if (r.get("file"), r.get("offset")) != (name, record.offset):
+                        raise ValueError(f"{name}: the record at byte {record.offset} has no type")
                     again = r["to_id"] is not None
-                    block = r["head"] if again else r["head"] + r["payload"]
+                    block = bytes(record.block)
+                    if again:
+                        block, _ = split_http(block)
                     fields = {
-                        "WARC-Type": "revisit" if again else "response", "WARC-Record-ID": r["record_id"], "WARC-Date": r["stamp"], "WARC-Target-URI": r["uri"], "WARC-IP-Address": r["ip"],
+                        "WARC-Type": "revisit" if again else "response", "WARC-Record-ID": _record_id(name, record.offset), "WARC-Date": _stamp(record.date), "WARC-Target-URI": record.url, "WARC-IP-Address": record.ip,
                         "WARC-Profile": PROFILE if again else None, "WARC-Refers-To": r["to_id"], "WARC-Refers-To-Target-URI": r["to_uri"], "WARC-Refers-To-Date": r["to_stamp"],
                         "WARC-Payload-Digest": f"sha1:{r['payload_digest']}", "WARC-Block-Digest": f"sha1:{digest(block)}", "Content-Type": "application/http; msgtype=response",
                     }
@@ -289,7 +305,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, at_least: int
         part = TaskContext.get().partitionId()
         yield from _in_archives(records(), lambda n: _opening(f"{warc_path} {part} {n}"), archive, _member)
 
-    _write(rows.select(*names).mapInArrow(run, "archive binary"), warc_path, EMPTY_MEMBER, "none")
+    _write(rows.mapInArrow(run, "archive binary"), warc_path, EMPTY_MEMBER, "none")
 
 
 def parse_warc(content: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]:

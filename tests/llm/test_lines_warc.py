@@ -157,3 +157,41 @@ def test_warc_parser():
     for broken in (one[:-1], one[:-9], b"x" + one, one.replace(b"Length: 6", b"Length: 5")):
         with pytest.raises(ValueError):
             list(warc.parse_warc(broken))
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for others to read."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+
+
+def test_payloads_are_shuffled_as_compressed(spark, tmp_path):
+    rng = random.Random(9)
+    html = [base64.b32encode(rng.randbytes(12_500)).decode() for _ in range(150)]  # gzip takes a third off, LZ4 next to nothing
+    html += html[:20]
+    frame = spark.createDataFrame([(n, f"http://host/{n}", h) for n, h in enumerate(html)], "page_id long, url string, html string").repartition(3)
+    warc.write_arc(frame, f"{tmp_path}/arc", version=2, archive=400_000)
+    before = shuffled(spark)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a large table of types
+        warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", archive=400_000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < shuffled(spark) - before < 0.8 * sum(map(len, html))
+    got = warc.read_warc(spark, f"{tmp_path}/warc", with_payload=True).collect()
+    assert {(r.page_id, r.payload and bytes(r.payload).decode()) for r in got} == {(n, h if n < 150 else None) for n, h in enumerate(html)}
+
+
+@pytest.mark.parametrize("at_once", [1, 7])
+def test_archives_and_types_meet_across_batches(spark, at_once):
+    frame = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(5)
+    want = collections.Counter(map(tuple, warc.round_trip(frame, archive=1 << 24).collect()))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+        assert collections.Counter(map(tuple, warc.round_trip(frame, archive=3000).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
